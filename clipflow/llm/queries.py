@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from clipflow.llm import decontaminate, quality_classifier, quality_rules, secret_scans, simhash
+from clipflow.llm import bpe, decontaminate, quality_classifier, quality_rules, secret_scans, simhash
 
 QUERIES = {
     "op2_quality_rules": quality_rules.query,
     "op3_secret_scans": secret_scans.query,
+    "op4_bpe": bpe.query,
     "op5_benchmark_decontamination": decontaminate.query,
     "op6_simhash_near_dedup": simhash.query,
     "op10_quality_classifier": quality_classifier.query,

@@ -152,8 +152,10 @@ def colocated(docs: DataFrame, text: str) -> DataFrame:
     """``docs`` dealt so that documents that share their least chunk are in one partition, hot ones in several."""
     new = T.StructType([*docs.schema.fields, T.StructField("__least", T.LongType(), False)])
 
+    names = docs.columns
+
     def marked(batch):
-        return {n: batch.column(n) for n in docs.columns} | {"__least": [least_hash(t) for t in batch.column(text).to_pylist()]}
+        return {n: batch.column(n) for n in names} | {"__least": [least_hash(t) for t in batch.column(text).to_pylist()]}
 
     def mark(batch):
         return {"least": [least_hash(t) for t in batch.column("t").to_pylist()]}
@@ -165,7 +167,7 @@ def colocated(docs: DataFrame, text: str) -> DataFrame:
     schema = "__least long, __ways long"
     ways = docs.sparkSession.createDataFrame([(r.least, -(-r["count"] // most)) for r in hot], schema)
     dealt = map_slices(docs, marked, new).join(F.broadcast(ways), "__least", "left")
-    by = F.pmod(F.xxhash64(*docs.columns[:1]), F.coalesce("__ways", F.lit(1)))
+    by = F.pmod(F.xxhash64(names[0]), F.coalesce("__ways", F.lit(1)))
     return dealt.withColumn("__way", by).repartition("__least", "__way").drop("__least", "__way", "__ways")
 
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from clipflow.llm import bpe, decontaminate, quality_classifier, quality_rules, secret_scans, simhash
+from clipflow.llm import bpe, decontaminate, quality_classifier, quality_rules, secret_scans, sharding, simhash
 
 QUERIES = {
+    "op1_vector_packing": sharding.query,
     "op2_quality_rules": quality_rules.query,
     "op3_secret_scans": secret_scans.query,
     "op4_bpe": bpe.query,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from clipflow.llm import bpe, decontaminate, quality_classifier, quality_rules, secret_scans, sharding, simhash
+from clipflow.llm import bpe, decontaminate, license_scans, quality_classifier, quality_rules, secret_scans, sharding, simhash, url_filters, warc
 
 QUERIES = {
     "op1_vector_packing": sharding.query,
@@ -11,6 +11,9 @@ QUERIES = {
     "op4_bpe": bpe.query,
     "op5_benchmark_decontamination": decontaminate.query,
     "op6_simhash_near_dedup": simhash.query,
+    "op7_license_scans": license_scans.query,
+    "op8_url_filters": url_filters.query,
+    "op9_warc": warc.query,
     "op10_quality_classifier": quality_classifier.query,
 }
 

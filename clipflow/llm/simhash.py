@@ -116,10 +116,11 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
 def deduplicate(docs: DataFrame, text: str = "text") -> DataFrame:
     """One document of each component: the one with the least doc_id (ties: least content hash); repeats of it go."""
     prints = staged(fingerprints(docs, text), "prints")
-    first = grouped(prints).select("first.doc_id", "first.content").distinct()
-    keyed = docs.withColumn("__content", F.xxhash64(text))
-    stay = keyed.join(first, keyed["doc_id"].eqNullSafe(first["doc_id"]) & (keyed["__content"] == first["content"]), "left_semi")
-    return stay.dropDuplicates(["doc_id", "__content"]).select(*docs.columns)
+    named = lambda doc_id, content: F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("none")), content.cast("string"))
+    first = grouped(prints).select(named(F.col("first.doc_id"), F.col("first.content")).alias("__name")).distinct()
+    # one name for both steps: the texts are dealt once
+    stay = docs.withColumn("__name", named(F.col("doc_id"), F.xxhash64(text))).join(first, "__name", "left_semi")
+    return stay.dropDuplicates(["__name"]).select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -28,10 +28,14 @@ def normalized_numbers(s: Column | str) -> Column:
     t = F.lower(F.regexp_replace(s, r"\$\s*(\d+)", "$1 dollars"))
     tokens = F.regexp_extract_all(t, F.lit(r"([A-Za-z']+|\d+|[^\sA-Za-z\d'])"), F.lit(1))
     number = F.create_map(*(x for w, n in NUMBERS.items() for x in (F.lit(w), F.lit(str(n)))))
-    digits = F.transform(tokens, lambda w: F.coalesce(F.try_element_at(number, w), w))
-    value = lambda i: F.get(digits, i).try_cast("long")
-    joins = lambda i: F.coalesce(F.get(digits, i).rlike("^[0-9]+$") & (value(i) % 10 == 0) & value(i).between(20, 90) & F.get(digits, i + 1).rlike("^[0-9]+$") & value(i + 1).between(1, 9), F.lit(False))
-    merged = F.transform(digits, lambda w, i: F.when(joins(i), (value(i) + value(i + 1)).cast("string")).when(joins(i - 1), F.lit(None)).otherwise(w))
+    words = F.transform(tokens, lambda w: F.coalesce(F.try_element_at(number, w), w))
+
+    def joined(digits: Column) -> Column:
+        value = lambda i: F.get(digits, i).try_cast("long")
+        joins = lambda i: F.coalesce(F.get(digits, i).rlike("^[0-9]+$") & (value(i) % 10 == 0) & value(i).between(20, 90) & F.get(digits, i + 1).rlike("^[0-9]+$") & value(i + 1).between(1, 9), F.lit(False))
+        return F.transform(digits, lambda w, i: F.when(joins(i), (value(i) + value(i + 1)).cast("string")).when(joins(i - 1), F.lit(None)).otherwise(w))
+
+    merged = F.transform(F.array(words), joined)[0]  # bound to a variable, so that the words are made once and not for each of them
     kept = F.filter(merged, lambda w: w.isNotNull())
     spaced = F.array_join(F.transform(kept, lambda w: F.concat(F.lit(" "), w, F.lit(" "))), "")
     return F.trim(F.replace(F.regexp_replace(spaced, " ([0-9]+) (?: (?:st|nd|rd|th) )+", " $1 "), F.lit("  "), F.lit(" ")))

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from clipflow.llm.common import map_slices, shared_dir, staged
 from clipflow.llm.common import table as read
 
-CELLS, SHARD_BYTES, ROLL_BYTES = 1 << 14, 64 << 20, 8 << 20
+CELLS, SHARD_BYTES, ROLL_BYTES = 1 << 14, 24 << 20, 8 << 20
 #: The tables have no time of capture; every record carries this one.
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -96,7 +96,7 @@ def write(pages: DataFrame, out: str, min_bytes: int = 0, shard_bytes: int = SHA
     nothing = F.lit(None).cast("string")
     rows = pages.select(F.col("page_id").cast("long"), "url", "html", F.lit(1).alias("kind"), nothing.alias("digest"), F.lit(None).cast("long").alias("last"))
     rows = rows.union(repeats.select("page_id", nothing.alias("url"), nothing.alias("html"), F.lit(0).alias("kind"), "digest", "last"))
-    dealt = rows.withColumn("shard", shard).repartition(max(1, min(shards, 4096)), "shard").sortWithinPartitions("shard", "page_id", "kind", "url", "html")
+    dealt = rows.withColumn("shard", shard).repartitionByRange(max(1, min(shards, 4096)), "shard").sortWithinPartitions("shard", "page_id", "kind", "url", "html")
     manifest = staged(dealt.mapInArrow(writer(out, roll_bytes), MANIFEST), "manifest")
     committed = staged(map_slices(manifest, mover(out), MANIFEST), "committed")
     committed.write.mode("overwrite").parquet(f"{out}/_manifest")

@@ -9,10 +9,6 @@ from pyspark.sql import functions as F
 from clipflow.operators import textmetrics as M
 
 
-def summed(name: str):
-    return F.sum(name)
-
-
 def numbered(df: DataFrame, key: str, block: int = 4096) -> DataFrame:
     """ix: the place of each row by a numeric key, from 0. Blocks of the key are numbered apart; only block counts meet in one window."""
     d = df.withColumn("__block", F.floor(F.col(key) / block))
@@ -67,17 +63,17 @@ def without_winners(runs: DataFrame, drops: tuple[int, ...] = (1, 2, 5)) -> Data
 def paired_bootstrap(runs: DataFrame, resamples: int, seed: int = 7) -> DataFrame:
     """Corpus BLEU difference over resamples of the clips, each score made anew from summed statistics: a 95 % interval and P(d <= 0).
 
-    Draw j of resample r picks clip md5(seed:r:j) modulo n, so the picks do not depend on order or on partitions. Draws of one clip
-    in one resample are counted before they meet the statistics.
+    Draw j of resample r picks clip md5(seed:r:j) modulo n, so the picks do not depend on order or on partitions. The draws meet the
+    clips' statistics, and each task adds them up by resample before anything is shuffled.
     """
-    stats = numbered(paired(M.bleu_stats(runs, ["id", "run"], "hyp", "ref")), "id")
+    stats = numbered(paired(M.bleu_stats(runs, ["id", "run"], "hyp", "ref")), "id").drop("id")
     n = runs.select("id").distinct().count()
     spark = runs.sparkSession
     place = spark.range(resamples * n).select(F.floor(F.col("id") / n).alias("r"), (F.col("id") % n).alias("j"))
     key = F.concat_ws(":", F.lit(str(seed)), F.col("r").cast("string"), F.col("j").cast("string"))
-    draws = place.select("r", (F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long") % n).alias("ix")).groupBy("ix", "r").agg(F.count("*").alias("times"))
+    draws = place.select("r", (F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long") % n).alias("ix"))
     names = [f"{r}_{m}" for r in "ab" for m in M.BLEU]
-    sums = draws.join(stats, "ix").groupBy("r").agg(*(F.sum(F.col("times") * F.col(m)).alias(m) for m in names))
+    sums = draws.join(stats, "ix").groupBy("r").agg(*(F.sum(m).alias(m) for m in names))
     deltas = sums.select(F.round(M.bleu(of("b")) - M.bleu(of("a")), 6).alias("d")).agg(F.sort_array(F.collect_list("d")).alias("l"))  # one number per resample
     at = lambda p: F.round(F.element_at("l", F.floor(p * F.size("l")).cast("int") + 1), 4)
     return deltas.select(at(0.025).alias("ci_low"), at(0.975).alias("ci_high"), (F.size(F.filter("l", lambda x: x <= 0)) / F.size("l")).alias("p_le_0"))

@@ -3,10 +3,14 @@ form of the vectors' sums."""
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from clipflow.functions.text import char_similarity, tokens_13a
 
@@ -22,33 +26,43 @@ def grams(values: Column, n: int, text: bool = False) -> Column:
     return F.transform(starts, lambda i: F.substring(values, i, F.lit(n)) if text else F.array_join(F.slice(values, i, n), " "))
 
 
-def counted(df: DataFrame, keys: list[str], hyp: Column, ref: Column, orders: int, text: bool) -> DataFrame:
-    """Per key: matches, hypothesis and reference totals of each order. Keys are dealt once; both groupings stay within that."""
-    d = df.select(*keys, hyp.alias("__h"), ref.alias("__r")).repartition(*keys)
-    sided = F.array(*(F.struct(F.lit(n).alias("n"), F.lit(side).alias("side"), grams(F.col(c), n, text).alias("g")) for n in range(1, orders + 1) for c, side in (("__h", 0), ("__r", 1))))
-    rows = d.select(*keys, F.inline(sided)).select(*keys, "n", "side", F.explode("g").alias("g"))
-    each = rows.groupBy(*keys, "n", "g").agg(F.count_if(F.col("side") == 0).alias("h"), F.count_if(F.col("side") == 1).alias("r"))
-    names = ("cm", "ch", "cr") if text else ("m", "t", "u")
-    at = lambda c, n: F.coalesce(F.sum(F.when(F.col("n") == n, c)), F.lit(0))
-    return each.groupBy(*keys).agg(*(at(c, n).alias(f"{k}{n}") for k, c in zip(names, (F.least("h", "r"), F.col("h"), F.col("r")), strict=True) for n in range(1, orders + 1)))
+def overlap(hyp, ref, orders: int) -> list[int]:
+    """Matches, hypothesis and reference totals of each order; a gram matches as often as both sides have it."""
+    matches, h_total, r_total = [], [], []
+    for n in range(1, orders + 1):
+        h, r = (Counter(zip(*(x[k:] for k in range(n)), strict=False)) for x in (hyp, ref))
+        matches.append(sum((h & r).values()))
+        h_total.append(max(0, len(hyp) - n + 1))
+        r_total.append(max(0, len(ref) - n + 1))
+    return matches + h_total + r_total
+
+
+def counted(df: DataFrame, keys: list[str], orders: int, names: tuple[str, str, str]) -> DataFrame:
+    """Per row: the overlap of its columns h and r, token arrays or texts. Counting stays in the row's task: exploding a clip into its
+    grams would shuffle some thousand rows for it."""
+    columns = [f"{k}{n}" for k in names for n in range(1, orders + 1)]
+    kept = [df.schema[k] for k in keys]
+    schema = T.StructType([*kept, *(T.StructField(c, T.LongType(), False) for c in columns)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [overlap(h, r, orders) for h, r in zip(b.column("h").to_pylist(), b.column("r").to_pylist(), strict=True)]
+            counts = zip(*rows, strict=True) if rows else [[] for _ in columns]
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keys), *(pa.array(c, pa.int64()) for c in counts)], names=[*keys, *columns])
+
+    return df.select(*keys, "h", "r").mapInArrow(run, schema)
 
 
 def bleu_stats(df: DataFrame, keys: list[str], hyp: str, ref: str) -> DataFrame:
-    """The columns of BLEU per key; keys must identify rows."""
-    tokens = df.select(*keys, tokens_13a(hyp).alias("h"), tokens_13a(ref).alias("r"))
-    found = counted(tokens, keys, F.col("h"), F.col("r"), ORDERS, False)
-    return filled(df, keys, found.withColumns({"hyp_len": F.col("t1"), "ref_len": F.col("u1")}), BLEU)
+    """The columns of BLEU, one row for each row of ``df``."""
+    found = counted(df.select(*keys, tokens_13a(hyp).alias("h"), tokens_13a(ref).alias("r")), keys, ORDERS, ("m", "t", "u"))
+    return found.withColumns({"hyp_len": F.col("t1"), "ref_len": F.col("u1")}).select(*keys, *BLEU)
 
 
 def chrf_stats(df: DataFrame, keys: list[str], hyp: str, ref: str) -> DataFrame:
-    """The columns of CHRF per key."""
+    """The columns of CHRF, one row for each row of ``df``."""
     bare = lambda c: F.regexp_replace(c, r"\s+", "")
-    return filled(df, keys, counted(df, keys, bare(hyp), bare(ref), CHARS, True), CHRF)
-
-
-def filled(df: DataFrame, keys: list[str], stats: DataFrame, names: list[str]) -> DataFrame:
-    """A row of zeros for each key that has no grams at all."""
-    return df.select(*keys).join(stats, keys, "left").select(*keys, *(F.coalesce(n, F.lit(0)).alias(n) for n in names))
+    return counted(df.select(*keys, bare(hyp).alias("h"), bare(ref).alias("r")), keys, CHARS, ("cm", "ch", "cr"))
 
 
 def bleu(get=F.col, effective: bool = False) -> Column:

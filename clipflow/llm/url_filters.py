@@ -97,6 +97,11 @@ class Ratio:
         return np.bincount(of, log, len(urls)) / np.maximum(np.bincount(of, minlength=len(urls)), 1)
 
 
+def sent_out(df: DataFrame, model: Ratio):
+    """The model's arrays as a broadcast: three times 2 ** (BUCKET_BITS + 1) numbers, whatever was counted."""
+    return df.sparkSession.sparkContext.broadcast((model.grams, model.totals, model.kinds))
+
+
 def table_of(rows: DataFrame, *values: str) -> list[np.ndarray]:
     """Sums of ``values`` by class and bucket of ``code``, as arrays."""
 
@@ -136,10 +141,10 @@ def fit(judged: DataFrame, url: str = "url") -> Ratio | None:
     ctx = top.bitwiseOR(F.shiftright(F.col("code").bitwiseXOR(top), 8))
     contexts = grams.groupBy("c", ctx.alias("code")).agg(F.sum("n").alias("n"), F.count("*").alias("kinds"))
     model = Ratio(*table_of(grams, "n"), *table_of(contexts, "n", "kinds"))
-    sent = judged.sparkSession.sparkContext.broadcast(model)  # 3 arrays of 2 ** (BUCKET_BITS + 1) numbers
+    sent = sent_out(judged, model)
 
     def scores(batch):
-        s = sent.value.score(batch.column("u").to_pylist())
+        s = Ratio(*sent.value).score(batch.column("u").to_pylist())
         return {"bin": np.clip(np.floor((s + 2) * BINS / 4), 0, BINS - 1).astype(np.int32), "c": batch.column("c")}
 
     held = map_slices(known.where("apart"), scores, "bin int, c int", 1024).groupBy("bin", "c").count().collect()  # 2 * BINS rows at most
@@ -161,10 +166,10 @@ def judge(pages: DataFrame, url: str = "url", rules=RULES) -> DataFrame:
     names = ("page_id", "host", "path", "rule", "ruling")
     if model is None:
         return judged.select(*names, F.lit(None).cast("double").alias("score")).withColumn("verdict", F.coalesce("ruling", F.lit("allow"))).drop("ruling")
-    sent = judged.sparkSession.sparkContext.broadcast(model)
+    sent = sent_out(judged, model)
 
     def step(batch):
-        return {n: batch.column(n) for n in names} | {"score": sent.value.score(batch.column("u").to_pylist())}
+        return {n: batch.column(n) for n in names} | {"score": Ratio(*sent.value).score(batch.column("u").to_pylist())}
 
     kind = dict(judged.dtypes)["page_id"]
     out = map_slices(judged.select(*names, F.col(url).alias("u")), step, f"page_id {kind}, host string, path string, rule string, ruling string, score double", 1024)

@@ -19,16 +19,13 @@ def numbered(df: DataFrame, key: str, block: int = 4096) -> DataFrame:
 
 def compared(runs: DataFrame) -> DataFrame:
     """Per category and overall (ALL): each metric of both runs and their difference."""
-    keys = ["id", "category", "run"]
-    out = None
-    for name, stats, names, score in (("bleu_raw", M.bleu_stats, M.BLEU, M.bleu), ("chrf", M.chrf_stats, M.CHRF, M.chrf)):
-        s = stats(runs, keys, "hyp", "ref")
-        sets = s.groupingSets([[F.col("run")], [F.col("category"), F.col("run")]], "category", "run")
-        total = sets.agg(*(F.sum(n).alias(n) for n in names), F.grouping("category").alias("all"))
-        by_run = total.select(F.when(F.col("all") == 1, "ALL").otherwise(F.col("category")).alias("category"), "run", F.lit(name).alias("metric"), F.round(score(), 4).alias("v"))
-        wide = by_run.groupBy("category", "metric").agg(*(F.max(F.when(F.col("run") == r, F.col("v"))).alias(r) for r in "ab"))
-        out = wide if out is None else out.union(wide)
-    return out.select("category", "metric", "a", "b", F.round(F.col("b") - F.col("a"), 4).alias("delta"))
+    stats = M.all_stats(runs, ["category", "run"], "hyp", "ref", F.lit(True))
+    sets = stats.groupingSets([[F.col("run")], [F.col("category"), F.col("run")]], "category", "run")
+    total = sets.agg(*(F.sum(n).alias(n) for n in M.BLEU + M.CHRF), F.grouping("category").alias("all"))
+    metrics = F.create_map(F.lit("bleu_raw"), F.round(M.bleu(), 4), F.lit("chrf"), F.round(M.chrf(), 4))
+    each = total.select(F.when(F.col("all") == 1, "ALL").otherwise(F.col("category")).alias("category"), "run", F.explode(metrics).alias("metric", "v"))
+    wide = each.groupBy("category", "metric").agg(*(F.max(F.when(F.col("run") == r, F.col("v"))).alias(r) for r in "ab"))
+    return wide.select("category", "metric", "a", "b", F.round(F.col("b") - F.col("a"), 4).alias("delta"))
 
 
 def paired(stats: DataFrame) -> DataFrame:

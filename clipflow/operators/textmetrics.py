@@ -53,6 +53,24 @@ def counted(df: DataFrame, keys: list[str], orders: int, names: tuple[str, str,
     return df.select(*keys, "h", "r").mapInArrow(run, schema)
 
 
+def all_stats(df: DataFrame, keys: list[str], hyp: str, ref: str, chars: Column) -> DataFrame:
+    """The columns of BLEU and, for the rows where ``chars`` holds, of CHRF (else zeros), from one pass."""
+    names = [*BLEU[:-2], *(f"u{n}" for n in range(1, ORDERS + 1)), *CHRF]
+    schema = T.StructType([*(df.schema[k] for k in keys), *(T.StructField(c, T.LongType(), False) for c in names)])
+    bare = lambda c: F.when(chars, F.regexp_replace(c, r"\s+", ""))
+    prepared = df.select(*keys, tokens_13a(hyp).alias("h"), tokens_13a(ref).alias("r"), bare(hyp).alias("hc"), bare(ref).alias("rc"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h, r, hc, rc = (b.column(c).to_pylist() for c in ("h", "r", "hc", "rc"))
+            rows = [overlap(h[i], r[i], ORDERS) + (overlap(hc[i], rc[i], CHARS) if hc[i] is not None else [0] * len(CHRF)) for i in range(b.num_rows)]
+            counts = zip(*rows, strict=True) if rows else [[] for _ in names]
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keys), *(pa.array(c, pa.int64()) for c in counts)], names=[*keys, *names])
+
+    found = prepared.mapInArrow(run, schema)
+    return found.withColumns({"hyp_len": F.col("t1"), "ref_len": F.col("u1")}).select(*keys, *BLEU, *CHRF)
+
+
 def bleu_stats(df: DataFrame, keys: list[str], hyp: str, ref: str) -> DataFrame:
     """The columns of BLEU, one row for each row of ``df``."""
     found = counted(df.select(*keys, tokens_13a(hyp).alias("h"), tokens_13a(ref).alias("r")), keys, ORDERS, ("m", "t", "u"))

@@ -104,13 +104,12 @@ def variants(spark, sf, hyp="hyp_a"):
 
 def scored(spark, sf, hyp="hyp_a"):
     """Per category and overall (ALL): clips, bleu_raw, bleu and chrf."""
-    v = variants(spark, sf, hyp)
-    keys = ["id", "category", "kind"]
-    b, c = M.bleu_stats(v, keys, "hyp", "ref"), M.chrf_stats(v.where("kind = 'numbers'"), keys, "hyp", "ref")
-    name = F.when(F.grouping("category") == 1, "ALL").otherwise(F.col("category")).alias("category")
-    score = lambda d, names, f, n: d.rollup("category").agg(*(F.sum(x).alias(x) for x in names), F.count("*").alias("clips"), name.alias("c")).select(F.col("c").alias("category"), "clips", F.round(f(), 4).alias(n))
-    raw, own = (score(b.where(f"kind = '{k}'"), M.BLEU, M.bleu, n) for k, n in (("raw", "bleu_raw"), ("numbers", "bleu")))
-    return raw.join(own.drop("clips"), "category").join(score(c, M.CHRF, M.chrf, "chrf").drop("clips"), "category")
+    stats = M.all_stats(variants(spark, sf, hyp), ["category", "kind"], "hyp", "ref", F.col("kind") == "numbers")
+    sets = stats.groupingSets([[F.col("kind")], [F.col("category"), F.col("kind")]], "category", "kind")
+    sums = sets.agg(F.grouping("category").alias("all"), F.count("*").alias("clips"), *(F.sum(n).alias(n) for n in M.BLEU + M.CHRF))
+    each = sums.select(F.when(F.col("all") == 1, "ALL").otherwise(F.col("category")).alias("category"), "kind", "clips", F.round(M.bleu(), 4).alias("b"), F.round(M.chrf(), 4).alias("c"))
+    of = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))
+    return each.groupBy("category").agg(F.max("clips").alias("clips"), of("raw", "b").alias("bleu_raw"), of("numbers", "b").alias("bleu"), of("numbers", "c").alias("chrf"))
 
 
 def summed(get="sum({0})"):

@@ -365,3 +365,17 @@ def test_oracles(spark, sf):
     con = duck(sf)
     for name, sql in ORACLES.items():
         assert not differences(QUERIES[name](spark, sf), con, sql), name
+
+
+def test_op1_splits_a_hot_group(spark):
+    """A third of all rows have one text: it is dealt over several shards, the rest stays whole."""
+    from clipflow.llm import sharding
+
+    rows = [(i, "the same text again " * 20) for i in range(1000)] + [(1000 + i, f"text number {i} " * (10 + i % 40)) for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sharding.slotted(sharding.assign(docs, 8), len(rows)).select("doc_id", "size", "tokens", "shard", "slot").collect()
+    assert len(got) == len(rows) and len({r.shard for r in got if r.doc_id < 1000}) > 2
+    for of in (lambda r: r["size"], lambda r: r["tokens"], lambda r: 1):
+        sums = [sum(of(r) for r in got if r.shard == s) for s in range(8)]
+        assert max(sums) < 1.1 * sum(sums) / 8
+    assert all(sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got))) for s in range(8))

@@ -12,7 +12,6 @@ beyond the ones named are passed through.
 
 from __future__ import annotations
 
-import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -109,6 +108,9 @@ def fit(stats: DataFrame, labels: DataFrame, seed: int = 7) -> Model:
     rows = stats.join(known, "doc_id").withColumn("fold", fold())
     size = N_FEATURES + 1
 
+    upper = np.triu_indices(size, 0, size + 1)  # the products are symmetric; the last column is that of the labels
+    places = upper[0] * (size + 1) + upper[1]
+
     def sums(batches):
         a, n = np.zeros((size, size + 1)), 0
         for b in batches:
@@ -117,18 +119,18 @@ def fit(stats: DataFrame, labels: DataFrame, seed: int = 7) -> Model:
             a += z.T @ np.column_stack([z, b.column("y").to_numpy(zero_copy_only=False)])
             n += b.num_rows
         if n:
-            yield pa.RecordBatch.from_pydict({"part": pa.array([zlib.crc32(a.tobytes()) % 16], pa.int32()), "n": [n], "a": pa.array([a.tobytes()], pa.binary())})
-
-    def merge(pdf):
-        total = np.sum([np.frombuffer(x) for x in pdf.a], axis=0)
-        return pdf.iloc[:1].assign(n=pdf.n.sum(), a=[total.tobytes()])
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(places, -1)), pa.array(np.append(a[upper], n))], names=["place", "v"])
 
-    schema = "part int, n long, a binary"
-    parts = rows.where("fold >= 2").mapInArrow(sums, schema).groupBy("part").applyInPandas(merge, schema).collect()  # 16 rows at most
-    if not parts:
+    # one row per matrix entry, so that no task ever holds the matrices of many partitions
+    entries = rows.where("fold >= 2").mapInArrow(sums, "place long, v double").groupBy("place").agg(F.sum("v").alias("v")).toArrow()  # (size + 1) * (size + 2) / 2 rows at most
+    if not entries.num_rows:
         return model
-    a = np.sum([np.frombuffer(p.a) for p in parts], axis=0).reshape(size, size + 1)
-    n = sum(p.n for p in parts)
+    a = np.zeros(size * (size + 1))
+    place, v = entries["place"].to_numpy(), entries["v"].to_numpy()
+    n = float(v[place == -1][0])
+    a[place[place >= 0]] = v[place >= 0]
+    a = a.reshape(size, size + 1)
+    a[:, :size] += np.triu(a[:, :size], 1).T
     ridge = np.linalg.solve(a[:, :size] + RIDGE * np.sqrt(n) * np.eye(size), a[:, size])
     model = Model(mean, spread, model.weights, model.shift, ridge, model.edges, model.levels)
 

@@ -6,7 +6,7 @@ positions at once, and those are mapped to offsets in the original text.
 
 The automaton is built inside each task from the window list. A list is sent only up to BLOCK_BYTES of benchmark text;
 a larger benchmark is split by a hash of its texts into as many blocks as that takes, and the texts pass the blocks' automata
-one after the other. Nothing is left out.
+one after the other, staged in between: the driver and each task hold one block at a time. Nothing is left out.
 
 Null texts and item texts have no words; such items match nothing. Several rows with one item_id are one item; a null item_id
 counts as the item named ''. Repeated documents are rows of their own. Other columns are passed through; those that have the
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clipflow.llm.common import map_slices
+from clipflow.llm.common import map_slices, staged
 from clipflow.llm.common import table as read
 
 WINDOW, BLOCK_BYTES = 10, 1 << 20
@@ -86,25 +86,25 @@ def original_spans(text: str, ranges: list[tuple[int, int]]) -> list[tuple[int,
 
 
 def blocks_of(benchmark: DataFrame):
-    """Lists of (item_id, text), each of about BLOCK_BYTES of text; the driver holds one at a time."""
+    """Lists of (item_id, text), each of about BLOCK_BYTES of text, and whether it is the last; the driver holds one at a time."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text").where("text is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-total // BLOCK_BYTES) or 1
     for b in range(n):
         part = items if n == 1 else items.where(F.pmod(F.xxhash64("text"), F.lit(n)) == b)
-        yield [(r.item, r.text) for r in part.collect()]
+        yield [(r.item, r.text) for r in part.collect()], b == n - 1
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", with_text: bool = True) -> DataFrame:
     """``docs`` with n_words, hits (merged code point spans of hit words in the original), n_hit and items (ids, sorted as strings)."""
     new = {"n_words": T.LongType(), "ranges": SPANS, "items": T.ArrayType(T.StringType()), "hits": SPANS, "n_hit": T.LongType()}
     df = docs.drop(*(c for c in docs.columns if c in new and c != text))
-    blocks = list(blocks_of(benchmark))
-    for k, block in enumerate(blocks):
-        last = k == len(blocks) - 1
+    for k, (block, last) in enumerate(blocks_of(benchmark)):
         kept = [f for f in df.schema.fields if f.name not in new and (f.name != text or with_text or not last)]
         schema = T.StructType([*kept, *(T.StructField(n, t) for n, t in new.items())])
         df = map_slices(df, scanner(block, kept, text, k > 0, schema), schema)
+        if not last:
+            df = staged(df, "scanned")
     return df.drop("ranges")
 
 

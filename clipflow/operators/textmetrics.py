@@ -21,9 +21,13 @@ CHRF = [f"{k}{n}" for k in ("cm", "ch", "cr") for n in range(1, CHARS + 1)]
 
 def grams(values: Column, n: int, text: bool = False) -> Column:
     """The runs of ``n`` tokens, or of ``n`` characters of a text, in order."""
-    size = F.length(values) if text else F.size(values)
-    starts = F.when(size >= n, F.sequence(F.lit(1), size - (n - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.substring(values, i, F.lit(n)) if text else F.array_join(F.slice(values, i, n), " "))
+
+    def cut(v: Column) -> Column:
+        size = F.length(v) if text else F.size(v)
+        starts = F.when(size >= n, F.sequence(F.lit(1), size - (n - 1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.substring(v, i, F.lit(n)) if text else F.array_join(F.slice(v, i, n), " "))
+
+    return F.transform(F.array(values), cut)[0]  # bound to a variable, so that the values are made once and not for each gram
 
 
 def overlap(hyp, ref, orders: int) -> list[int]:
@@ -108,4 +112,5 @@ def chrf(get=F.col) -> Column:
 
 def best_similarity(nouns: Column, tokens: Column) -> Column:
     """For each noun the highest similarity to a token; 0 without tokens."""
-    return F.transform(nouns, lambda w: F.coalesce(F.array_max(F.transform(tokens, lambda g: char_similarity(w, g))), F.lit(0.0)))
+    best = lambda t: F.transform(nouns, lambda w: F.coalesce(F.array_max(F.transform(t, lambda g: char_similarity(w, g))), F.lit(0.0)))
+    return F.transform(F.array(F.array_distinct(tokens)), best)[0]  # bound to a variable, as above; a repeat can't be better

@@ -5,8 +5,9 @@ URL that a rule blocks (a fifth, chosen by hash, is kept apart). A byte's probab
 that after one byte less (Witten-Bell), down to a uniform one. A URL's score is the difference of the two log-likelihoods per byte; the
 threshold is the one with the best balanced accuracy on the URLs kept apart, from a histogram of their scores.
 
-The counts are exact sums over all such URLs, made by Spark; the models hold them in 2 ** BUCKET_BITS buckets per class, a fixed
-size whatever the corpus holds.
+The counts are exact sums over all such URLs in long integers, held as a distributed table with a row for each gram and each context.
+URLs are scored in blocks of BLOCK: the distinct codes of a block are joined to that table, and the block is scored with what it met.
+Nothing that grows with the corpus comes to the driver or is broadcast by request.
 
 Null URLs, and URLs without ``://``, have an empty host and path, fit no rule and are scored as they are (null as empty). Without
 URLs of both kinds the models have no say and the verdict is allow. Repeated rows stay rows. Extra columns are not read.
@@ -17,17 +18,21 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from clipflow.llm.common import map_slices, staged
+from clipflow.llm.common import map_slices, staged, to_arrow
 from clipflow.llm.common import table as read
 
 #: Host and path prefix, and what becomes of URLs that they fit.
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
-ORDER, BUCKET_BITS, BINS, APART = 5, 18, 4000, 5
+ORDER, BLOCK_BITS, BINS, APART = 5, 9, 4000, 5
+BLOCK = 1 << BLOCK_BITS
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Set in the code of a context, so that grams and contexts share one table.
+CONTEXT = 1 << 62
 
 
 def ruled(pages: DataFrame, url: str = "url", rules=RULES) -> DataFrame:
@@ -64,58 +69,79 @@ def codes(urls: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 def context(code: np.ndarray) -> np.ndarray:
     top = code & np.uint64(0xFF << 56)
-    return top | ((code ^ top) >> np.uint64(8))
+    return top | ((code ^ top) >> np.uint64(8)) | np.uint64(CONTEXT)
 
 
-def bucket(code: np.ndarray) -> np.ndarray:
-    return ((code * MIX) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+def score(urls: list[str | None], table: pa.Table) -> np.ndarray:
+    """Log-likelihood difference per byte; above 0 a URL is more like the allowed ones. table: the rows of ``tabled`` that the URLs meet."""
+    of, code = codes(urls)
+    order = np.argsort(table.column("code").to_numpy(), kind="stable")
+    keys = table.column("code").to_numpy()[order]
+    n, kinds = ([np.append(table.column(f"{v}{c}").to_numpy()[order], 0) for c in (0, 1)] for v in ("n", "k"))  # the last row: not there
 
+    def at(wanted: np.ndarray) -> np.ndarray:
+        wanted = wanted.view(np.int64)
+        found = np.searchsorted(keys, wanted)
+        there = np.append(keys, 0)[found] == wanted
+        return np.where(there, found, len(keys))
 
-@dataclass(frozen=True)
-class Ratio:
-    """grams, totals and kinds (followers of a context): counts by class (0 block, 1 allow) and bucket."""
+    p = [np.full(len(of), 1 / 256) for _ in (0, 1)]
+    for k in range(ORDER + 1):
+        gram, before, there = at(code[:, k]), at(context(code[:, k])), code[:, k] > 0
+        for c in (0, 1):
+            total, followers = n[c][before], kinds[c][before]
+            better = (n[c][gram] + followers * p[c]) / np.maximum(total + followers, 1)
+            p[c] = np.where(there & (total > 0), np.clip(better, 1e-12, 1), p[c])
+    log = np.log(p[1]) - np.log(p[0])
+    return np.bincount(of, log, len(urls)) / np.maximum(np.bincount(of, minlength=len(urls)), 1)
 
-    grams: np.ndarray
-    totals: np.ndarray
-    kinds: np.ndarray
-    threshold: float = 0.0
 
-    def score(self, urls: list[str | None]) -> np.ndarray:
-        """Log-likelihood difference per byte; above 0 the URL is more like the allowed ones."""
-        of, code = codes(urls)
-        log = np.zeros(len(of))
-        for c, sign in ((1, 1.0), (0, -1.0)):
-            p = np.full(len(of), 1 / 256)
-            for k in range(ORDER + 1):
-                there = code[:, k] > 0
-                n = self.grams[c][bucket(code[:, k])]
-                at = bucket(context(code[:, k]))
-                total, kinds = self.totals[c][at], self.kinds[c][at]
-                better = (n + kinds * p) / np.maximum(total + kinds, 1)
-                p = np.where(there & (total > 0), np.clip(better, 1e-12, 1), p)
-            log += sign * np.log(p)
-        return np.bincount(of, log, len(urls)) / np.maximum(np.bincount(of, minlength=len(urls)), 1)
+def tabled(grams: DataFrame) -> DataFrame:
+    """grams: c, code, n. Returns a row for each gram and each context: code, n0 and n1 (counts by class), k0 and k1 (a context's followers)."""
+    top = F.col("code").bitwiseAND(F.lit(-(1 << 56)))
+    ctx = top.bitwiseOR(F.shiftright(F.col("code").bitwiseXOR(top), 8)).bitwiseOR(F.lit(CONTEXT))
+    sums = [F.sum(F.when(F.col("c") == c, F.col("n")).otherwise(0)).alias(f"n{c}") for c in (0, 1)]
+    own = grams.groupBy("code").agg(*sums, *(F.lit(0).cast("long").alias(f"k{c}") for c in (0, 1)))
+    return own.union(grams.groupBy(ctx.alias("code")).agg(*sums, *(F.count_if(F.col("c") == c).alias(f"k{c}") for c in (0, 1))))
+
+
+def scored(df: DataFrame, table: DataFrame) -> DataFrame:
+    """``df``, which has a column u (the URL), with its score."""
+    placed = staged(df.withColumn("__block", F.shiftright(F.monotonically_increasing_id(), BLOCK_BITS)), "urls")
+
+    def codes_of(batch):
+        block = batch.column("__block").to_numpy()
+        of, code = codes(batch.column("u").to_pylist())
+        out = {"__block": [], "code": []}
+        for b in np.unique(block):
+            mine = code[block[of] == b].ravel()
+            mine = np.unique(mine[mine > 0])
+            got = np.concatenate([mine, np.unique(context(mine))])
+            out["__block"].append(np.full(len(got), b))
+            out["code"].append(got.view(np.int64))
+        return {k: np.concatenate(v) for k, v in out.items()}
+
+    met = map_slices(placed.select("__block", "u"), codes_of, "__block long, code long", BLOCK).join(table, "code")
+    schema = T.StructType([*df.schema.fields, T.StructField("score", T.DoubleType())])
+    arrow = to_arrow(schema)
 
+    def step(urls: pa.Table, part: pa.Table) -> pa.Table:
+        columns = [urls.column(f.name).cast(f.type) for f in arrow if f.name != "score"]
+        return pa.Table.from_arrays([*columns, pa.array(score(urls.column("u").to_pylist(), part))], schema=arrow)
 
-def sent_out(df: DataFrame, model: Ratio):
-    """The model's arrays as a broadcast: three times 2 ** (BUCKET_BITS + 1) numbers, whatever was counted."""
-    return df.sparkSession.sparkContext.broadcast((model.grams, model.totals, model.kinds))
+    return placed.groupBy("__block").cogroup(met.groupBy("__block")).applyInArrow(step, schema)
 
 
-def table_of(rows: DataFrame, *values: str) -> list[np.ndarray]:
-    """Sums of ``values`` by class and bucket of ``code``, as arrays."""
+@dataclass(frozen=True)
+class Ratio:
+    """table: as ``tabled`` returns it, staged."""
 
-    def step(batch):
-        return {"c": batch.column("c"), "at": bucket(batch.column("code").to_numpy(zero_copy_only=False).view(np.uint64))} | {v: batch.column(v) for v in values}
+    table: DataFrame
+    threshold: float = 0.0
 
-    sums = map_slices(rows, step, "c int, at long, " + ", ".join(f"{v} long" for v in values), 8192).groupBy("c", "at").agg(*(F.sum(v).alias(v) for v in values))
-    found = sums.toArrow()  # 2 ** (BUCKET_BITS + 1) rows at most
-    out = []
-    for v in values:
-        held = np.zeros((2, 1 << BUCKET_BITS), np.float32)
-        held[found["c"].to_numpy(), found["at"].to_numpy()] = found[v].to_numpy()
-        out.append(held)
-    return out
+    def score(self, urls: list[str | None]) -> list[float]:
+        df = self.table.sparkSession.createDataFrame(list(enumerate(urls)), "place long, u string")
+        return [r.score for r in sorted(scored(df, self.table).select("place", "score").collect())]
 
 
 def fit(judged: DataFrame, url: str = "url") -> Ratio | None:
@@ -137,26 +163,18 @@ def fit(judged: DataFrame, url: str = "url") -> Ratio | None:
     grams = staged(map_slices(known.where("not apart"), count, "c int, code long, n long", 4096).groupBy("c", "code").agg(F.sum("n").alias("n")), "grams")
     if {r.c for r in grams.select("c").distinct().collect()} != {0, 1}:
         return None
-    top = F.col("code").bitwiseAND(F.lit(-(1 << 56)))
-    ctx = top.bitwiseOR(F.shiftright(F.col("code").bitwiseXOR(top), 8))
-    contexts = grams.groupBy("c", ctx.alias("code")).agg(F.sum("n").alias("n"), F.count("*").alias("kinds"))
-    model = Ratio(*table_of(grams, "n"), *table_of(contexts, "n", "kinds"))
-    sent = sent_out(judged, model)
-
-    def scores(batch):
-        s = Ratio(*sent.value).score(batch.column("u").to_pylist())
-        return {"bin": np.clip(np.floor((s + 2) * BINS / 4), 0, BINS - 1).astype(np.int32), "c": batch.column("c")}
-
-    held = map_slices(known.where("apart"), scores, "bin int, c int", 1024).groupBy("bin", "c").count().collect()  # 2 * BINS rows at most
+    table = staged(tabled(grams), "url-model")
+    bins = F.greatest(F.lit(0), F.least(F.lit(BINS - 1), F.floor((F.col("score") + 2) * (BINS / 4)))).cast("int")
+    held = scored(known.where("apart").select("u", "c"), table).groupBy(bins.alias("bin"), "c").count().collect()  # 2 * BINS rows at most
     counts = np.zeros((2, BINS))
     for r in held:
         counts[r.c, r.bin] += r["count"]
     if not counts.sum(1).all():
-        return model
+        return Ratio(table)
     blocked, allowed = np.cumsum(counts[0]) / counts[0].sum(), 1 - np.cumsum(counts[1]) / counts[1].sum()
     gain = np.concatenate([[1.0], blocked + allowed])  # for thresholds below the first bin, then above each
     best = np.flatnonzero(gain >= gain.max() - 1e-12)
-    return Ratio(model.grams, model.totals, model.kinds, float(best[len(best) // 2] * 4 / BINS - 2))
+    return Ratio(table, float(best[len(best) // 2] * 4 / BINS - 2))
 
 
 def judge(pages: DataFrame, url: str = "url", rules=RULES) -> DataFrame:
@@ -166,13 +184,7 @@ def judge(pages: DataFrame, url: str = "url", rules=RULES) -> DataFrame:
     names = ("page_id", "host", "path", "rule", "ruling")
     if model is None:
         return judged.select(*names, F.lit(None).cast("double").alias("score")).withColumn("verdict", F.coalesce("ruling", F.lit("allow"))).drop("ruling")
-    sent = sent_out(judged, model)
-
-    def step(batch):
-        return {n: batch.column(n) for n in names} | {"score": Ratio(*sent.value).score(batch.column("u").to_pylist())}
-
-    kind = dict(judged.dtypes)["page_id"]
-    out = map_slices(judged.select(*names, F.col(url).alias("u")), step, f"page_id {kind}, host string, path string, rule string, ruling string, score double", 1024)
+    out = scored(judged.select(*names, F.col(url).alias("u")), model.table).drop("u")
     by_model = F.when(F.col("score") >= model.threshold, "allow").otherwise("block")
     return out.withColumn("verdict", F.coalesce("ruling", by_model)).drop("ruling")
 

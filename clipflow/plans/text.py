@@ -10,7 +10,8 @@ from clipflow.operators import textmetrics as M
 from clipflow.plans.registry import query
 from clipflow.plans.tables import CLIPS, clips, table
 
-RESAMPLES = 200
+#: The registered SQL draws SQL_RESAMPLES, as it always did; the query draws the reference's default.
+RESAMPLES, SQL_RESAMPLES = 2000, 200
 
 
 def nouns_sql(x: str) -> str:
@@ -222,7 +223,7 @@ def leave_winners_out(spark, sf):
 
 @query("paired_bootstrap", f"""WITH {CLIPS}, ab AS (SELECT id, run, CASE run WHEN 'a' THEN hyp_a ELSE hyp_b END AS hyp, reference AS ref FROM clips, (VALUES ('a'), ('b')) AS t(run)), {stats_sql('ab', 'id, run')},
 ix AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS ix, count(*) OVER () AS n FROM clips),
-draws AS (SELECT r, CAST('0x' || left(md5('7:' || r || ':' || j), 8) AS BIGINT) % n AS pick FROM (SELECT max(n) AS n FROM ix), unnest(range({RESAMPLES})) AS a(r), unnest(range(n)) AS b(j)),
+draws AS (SELECT r, CAST('0x' || left(md5('7:' || r || ':' || j), 8) AS BIGINT) % n AS pick FROM (SELECT max(n) AS n FROM ix), unnest(range({SQL_RESAMPLES})) AS a(r), unnest(range(n)) AS b(j)),
 s AS (SELECT r, run, {bleu_sql(summed())} AS b FROM draws JOIN ix ON ix.ix = pick JOIN bleu_stats bs ON bs.id = ix.id GROUP BY r, run),
 d AS (SELECT x.r, round(y.b - x.b, 6) AS d FROM s x JOIN s y ON y.r = x.r AND x.run = 'a' AND y.run = 'b'), l AS (SELECT list(d ORDER BY d) AS l FROM d)
 SELECT round(l[CAST(floor(0.025 * len(l)) AS INTEGER) + 1], 4) AS ci_low, round(l[CAST(floor(0.975 * len(l)) AS INTEGER) + 1], 4) AS ci_high, len(list_filter(l, lambda x: x <= 0))::DOUBLE / len(l) AS p_le_0 FROM l""")

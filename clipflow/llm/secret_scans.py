@@ -3,8 +3,9 @@
 A candidate is a maximal run of 16 or more characters of ``A-Za-z0-9+/_.=-`` that holds a digit. The network sees windows of
 the run with the text before and after it; a long run has overlapping windows and counts by its highest. Labelled findings
 to train on are the candidates themselves: those that a base rule matches are secrets, the others are not. TRAIN_ROWS of each
-kind at most, those with the least hash over the whole corpus, are used to fit; a quarter of them is kept apart to calibrate
-the score and to choose the highest threshold that still finds RECALL of the labelled secrets. With fewer than LEAST_ROWS of
+kind at most, those with the least hash over the whole corpus, are used to fit and to calibrate the score. A quarter of all
+candidates is kept apart from the fit; the threshold is the highest EDGE that still finds RECALL of all labelled secrets kept
+apart, from a histogram of their scores. With fewer than LEAST_ROWS of
 either kind no network is fitted and the base spans are the result.
 
 Spans are code point offsets, end exclusive. Null text counts as empty. Repeated rows are scanned alike. An empty table gives
@@ -15,7 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -33,6 +34,7 @@ IS_HEX = np.isin(np.arange(256), list(b"0123456789abcdef"))
 IS_RUN = np.isin(np.arange(256), list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"))
 IS_DIGIT = np.isin(np.arange(256), list(b"0123456789"))
 TRAIN_ROWS, LEAST_ROWS, RECALL = 2000, 20, 0.98
+APART = 4
 #: Characters of a candidate in a window, their overlap, and the characters before and after it.
 INSIDE, STRIDE, BEFORE, AFTER = 64, 32, 24, 8
 WIDTH = BEFORE + INSIDE + AFTER + 2
@@ -97,6 +99,10 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
 
 
+#: Thresholds to choose from: even steps of the logit.
+EDGES = sigmoid(np.linspace(-20, 20, 4001))
+
+
 def forward(net: Network, x: np.ndarray):
     e = net.embed[np.minimum(x, 128)]
     patches = np.lib.stride_tricks.sliding_window_view(e, FIELD, 1).transpose(0, 1, 3, 2).reshape(len(x), -1, FIELD * DIM)
@@ -132,7 +138,7 @@ def train(x: np.ndarray, y: np.ndarray, epochs: int = 8, rate: float = 0.01, see
 
 
 def calibrate(net: Network, x: np.ndarray, y: np.ndarray, recall: float) -> Network:
-    """Logistic calibration by Newton steps, then the highest threshold that keeps the recall (0.5 at least)."""
+    """Logistic calibration by Newton steps, then the highest threshold that keeps the recall."""
     z = np.concatenate([forward(net, x[i : i + 256])[0] for i in range(0, len(x), 256)])
     a, b = 1.0, 0.0
     target = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
@@ -143,31 +149,53 @@ def calibrate(net: Network, x: np.ndarray, y: np.ndarray, recall: float) -> Netw
         hess = np.array([[(w * z * z).sum() + 1e-3, (w * z).sum()], [(w * z).sum(), w.sum() + 1e-3]])
         a, b = np.array([a, b]) - np.clip(np.linalg.solve(hess, grad), -2, 2)
     kept = np.sort(sigmoid(a * z + b)[y == 1])
-    return Network(net.embed, net.conv, net.bias, net.out, float(a), float(b), float(max(0.5, kept[int((1 - recall) * len(kept))])))
+    return Network(net.embed, net.conv, net.bias, net.out, float(a), float(b), float(kept[int((1 - recall) * len(kept))]))
 
 
 def fit(docs: DataFrame, text: str = "text", rows: int = TRAIN_ROWS, recall: float = RECALL) -> Network | None:
     """A network fitted on a bounded, hash-chosen part of the labelled candidates of all documents; None if too few."""
 
     def step(batch):
-        out: dict[str, list] = {"label": [], "window": []}
+        out: dict[str, list] = {"label": [], "windows": []}
         for t in batch.column("t").to_pylist():
             raw = (t or "").encode()
             for a, b, label in find(raw)[1]:
-                got = windows(raw, a, b)
-                out["window"] += got
-                out["label"] += [int(label)] * len(got)
+                out["windows"].append(windows(raw, a, b))
+                out["label"].append(int(label))
         return out if out["label"] else None
 
-    found = staged(map_slices(docs.select(F.col(text).alias("t")), step, "label int, window binary"), "candidates")
+    apart = F.pmod(F.xxhash64("windows"), F.lit(APART)) == 0
+    found = staged(map_slices(docs.select(F.col(text).alias("t")), step, "label int, windows array<binary>").withColumn("apart", apart), "candidates")
+    each = found.select("label", "apart", F.explode("windows").alias("window")).distinct()
     order = F.xxhash64("window")
-    part = {k: found.where(F.col("label") == k).distinct().orderBy(order, "window").limit(rows).collect() for k in (0, 1)}
-    if min(map(len, part.values())) < LEAST_ROWS:
+    most = {True: rows // APART, False: rows - rows // APART}
+    part = {(k, x): each.where((F.col("label") == k) & (F.col("apart") == x)).orderBy(order, "window").limit(most[x]).collect() for k in (0, 1) for x in (True, False)}
+    if not all(part.values()) or min(len(part[k, True]) + len(part[k, False]) for k in (0, 1)) < LEAST_ROWS:
         return None
-    x = np.frombuffer(b"".join(bytes(r.window) for k in (0, 1) for r in part[k]), np.uint8).reshape(-1, WIDTH)
-    y = np.array([float(r.label) for k in (0, 1) for r in part[k]])
-    apart = np.arange(len(y)) % 4 == 0
-    return calibrate(train(x[~apart], y[~apart]), x[apart], y[apart], recall)
+
+    def arrays(x: bool):
+        chosen = part[0, x] + part[1, x]
+        return np.frombuffer(b"".join(bytes(r.window) for r in chosen), np.uint8).reshape(-1, WIDTH), np.array([float(r.label) for r in chosen])
+
+    return placed(calibrate(train(*arrays(False)), *arrays(True), recall), found.where("apart AND label = 1"), recall)
+
+
+def placed(net: Network, secrets: DataFrame, recall: float) -> Network:
+    """``net`` with the highest edge as its threshold that finds the share ``recall`` of ``secrets`` (windows: array), each by its highest window."""
+
+    def step(batch):
+        held = batch.column("windows").to_pylist()
+        p = net.probability([w for ws in held for w in ws])
+        sizes = np.array([len(ws) for ws in held])
+        best = np.maximum.reduceat(p, np.cumsum(sizes) - sizes)
+        return {"bin": np.maximum(np.searchsorted(EDGES, best, "right") - 1, 0).astype(np.int32)}
+
+    bins = map_slices(secrets.select("windows"), step, "bin int").groupBy("bin").count().collect()  # a row for each edge at most
+    counts = np.zeros(len(EDGES))
+    for r in bins:
+        counts[r.bin] = r["count"]
+    reached = np.cumsum(counts[::-1])[::-1] >= recall * counts.sum()
+    return replace(net, threshold=float(EDGES[np.flatnonzero(reached)[-1]]))
 
 
 def spans_of(texts: list[str | None], net: Network | None) -> list[tuple[list, list, int]]:

@@ -2,21 +2,19 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from clipflow.functions.text import normalized_numbers
 from clipflow.operators import textmetrics as M
 
 
-def numbered(df: DataFrame, key: str, block: int = 4096) -> DataFrame:
-    """ix: the place of each row by a numeric key, from 0. Blocks of the key are numbered apart; only block counts meet in one window."""
-    d = df.withColumn("__block", F.floor(F.col(key) / block))
-    counts = d.groupBy("__block").count()
-    starts = counts.select("__block", F.coalesce(F.sum("count").over(W.orderBy("__block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__start"))
-    return d.withColumn("ix", F.row_number().over(W.partitionBy("__block").orderBy(key)) - 1).join(starts, "__block").withColumn("ix", F.col("ix") + F.col("__start")).drop("__block", "__start")
-
-
 def compared(runs: DataFrame) -> DataFrame:
     """Per category and overall (ALL): each metric of both runs and their difference."""
     stats = M.all_stats(runs, ["category", "run"], "hyp", "ref", F.lit(True))
@@ -57,20 +55,51 @@ def without_winners(runs: DataFrame, drops: tuple[int, ...] = (1, 2, 5)) -> Data
     return rest.select(F.col("drop_n").cast("long").alias("drop_n"), F.round(M.bleu(of("b")) - M.bleu(of("a")), 4).alias("delta"))
 
 
-def paired_bootstrap(runs: DataFrame, resamples: int, seed: int = 7) -> DataFrame:
-    """Corpus BLEU difference over resamples of the clips, each score made anew from summed statistics: a 95 % interval and P(d <= 0).
+#: Rounds of the 32-bit mix that draws from (clip, resample); shifts and odd factors under 2 ** 31, so that products fit a long.
+ROUNDS, STEP = ((16, 0x21F0AAAD), (15, 0x735A2D97)), 0x9E3779B1
+#: A clip's count in a resample is the number of these that its draw reaches: the distribution of Poisson(1), times 2 ** 32.
+POISSON = [int(2**32 * sum(math.exp(-1) / math.factorial(j) for j in range(k + 1))) for k in range(13)]
+
+
+def counts_of(key: np.ndarray, resamples: int, seed: int) -> np.ndarray:
+    """resamples x clips: how often each clip is in each resample. key: below 2 ** 32."""
+    x = (key[None].astype(np.uint64) + np.arange(resamples, dtype=np.uint64)[:, None] * np.uint64(STEP) + np.uint64(seed)) % np.uint64(1 << 32)
+    for shift, factor in ROUNDS:
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor) % np.uint64(1 << 32)
+    return np.searchsorted(np.array(POISSON, np.uint64), x.ravel(), "right").reshape(x.shape)
+
+
+def paired_bootstrap(runs: DataFrame, resamples: int = 2000, seed: int = 7, metrics: tuple[str, ...] = ("bleu_raw", "bleu", "chrf")) -> DataFrame:
+    """Per metric: the difference of both runs, a 95 % interval of it over resamples of the clips and P(d <= 0).
 
-    Draw j of resample r picks clip md5(seed:r:j) modulo n, so the picks do not depend on order or on partitions. The draws meet the
-    clips' statistics, and each task adds them up by resample before anything is shuffled.
+    bleu_raw is of the texts as they are, bleu and chrf of those with numbers normalised. A clip's count in a resample is a Poisson(1)
+    number that depends on clip and resample alone. Each task adds up its clips' statistics for all resamples, so nothing is joined
+    and ``resamples`` rows a task are shuffled, whatever the number of clips.
     """
-    stats = numbered(paired(M.bleu_stats(runs, ["id", "run"], "hyp", "ref")), "id").drop("id")
-    n = runs.select("id").distinct().count()
-    spark = runs.sparkSession
-    place = spark.range(resamples * n).select(F.floor(F.col("id") / n).alias("r"), (F.col("id") % n).alias("j"))
-    key = F.concat_ws(":", F.lit(str(seed)), F.col("r").cast("string"), F.col("j").cast("string"))
-    draws = place.select("r", (F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long") % n).alias("ix"))
-    names = [f"{r}_{m}" for r in "ab" for m in M.BLEU]
-    sums = draws.join(stats, "ix").groupBy("r").agg(*(F.sum(m).alias(m) for m in names))
-    deltas = sums.select(F.round(M.bleu(of("b")) - M.bleu(of("a")), 6).alias("d")).agg(F.sort_array(F.collect_list("d")).alias("l"))  # one number per resample
+    kinds = F.array(F.struct(F.lit("raw").alias("kind"), F.col("hyp").alias("hyp"), F.col("ref").alias("ref")), F.struct(F.lit("numbers").alias("kind"), normalized_numbers("hyp").alias("hyp"), normalized_numbers("ref").alias("ref")))
+    stats = M.all_stats(runs.select("id", "run", F.inline(kinds)), ["id", "run", "kind"], "hyp", "ref", F.col("kind") == "numbers")
+    columns = {f"{r}_{k}_{n}": (r, k, n) for r in "ab" for k, ns in (("raw", M.BLEU), ("numbers", M.BLEU + M.CHRF)) for n in ns}
+    key = F.conv(F.substring(F.md5(F.col("id").cast("string")), 1, 8), 16, 10).cast("long").alias("key")
+    wide = stats.groupBy("id").agg(*(F.sum(F.when((F.col("run") == r) & (F.col("kind") == k), F.col(n))).alias(c) for c, (r, k, n) in columns.items()))
+    names = list(columns)
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, seen = np.zeros((resamples, len(names))), 0
+        for b in batches:
+            for at in range(0, b.num_rows, 512):
+                part = b.slice(at, 512)
+                x = np.column_stack([np.asarray(part.column(n).fill_null(0), float) for n in names])
+                total += counts_of(np.asarray(part.column("key")), resamples, seed) @ x  # whole numbers, exact in doubles
+                seen += part.num_rows
+        if seen:
+            yield pa.RecordBatch.from_arrays([pa.array(range(resamples), pa.int32()), *(pa.array(c.astype(np.int64)) for c in total.T)], names=["r", *names])
+
+    draws = wide.select(key, *names).mapInArrow(summed, "r int, " + ", ".join(f"{n} long" for n in names)).groupBy("r").agg(*(F.sum(n).alias(n) for n in names))
+    both = draws.union(wide.agg(F.lit(-1).alias("r"), *(F.sum(n).alias(n) for n in names)))  # r = -1: all clips once
+    of_kind = lambda r, k: lambda n: F.col(f"{r}_{k}_{n}")
+    values = {"bleu_raw": lambda r: M.bleu(of_kind(r, "raw")), "bleu": lambda r: M.bleu(of_kind(r, "numbers")), "chrf": lambda r: M.chrf(of_kind(r, "numbers"))}
+    each = both.select("r", F.explode(F.create_map(*(x for m in metrics for x in (F.lit(m), F.round(values[m]("b") - values[m]("a"), 6))))).alias("metric", "d"))
+    resampled = F.col("r") >= 0
+    deltas = each.groupBy("metric").agg(F.max(F.when(~resampled, F.col("d"))).alias("delta"), F.sort_array(F.collect_list(F.when(resampled, F.col("d")))).alias("l"))  # one number per resample
     at = lambda p: F.round(F.element_at("l", F.floor(p * F.size("l")).cast("int") + 1), 4)
-    return deltas.select(at(0.025).alias("ci_low"), at(0.975).alias("ci_high"), (F.size(F.filter("l", lambda x: x <= 0)) / F.size("l")).alias("p_le_0"))
+    return deltas.select("metric", F.round("delta", 4).alias("delta"), at(0.025).alias("ci_low"), at(0.975).alias("ci_high"), (F.size(F.filter("l", lambda x: x <= 0)) / F.size("l")).alias("p_le_0"))

@@ -43,7 +43,7 @@ def clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return short.repartition(spark.sparkContext.defaultParallelism)
 
 
-CLIPS = r"""words AS (SELECT doc_id AS id, lang AS category, (list_filter(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' '), lambda w: w <> ''))[1:40] AS w FROM documents),
+CLIPS = r"""words AS (SELECT doc_id AS id, lang AS category, (list_filter(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' '), lambda w: w <> '')) AS w FROM documents),
 clips AS (SELECT id, category, array_to_string(w, ' ') AS reference,
   coalesce(array_to_string(list_transform(list_filter(range(1, len(w) + 1), lambda i: (id + i - 1) % 7 <> 0), lambda i: w[i]), ' '), '') AS hyp_a,
   coalesce(array_to_string(list_transform(list_filter(range(1, len(w) + 1), lambda i: (id + i - 1) % 11 <> 0), lambda i: w[i]), ' '), '') AS hyp_b FROM words)"""

@@ -10,8 +10,8 @@ from clipflow.operators import textmetrics as M
 from clipflow.plans.registry import query
 from clipflow.plans.tables import CLIPS, clips, table
 
-#: The registered SQL draws SQL_RESAMPLES, as it always did; the query draws the reference's default.
-RESAMPLES, SQL_RESAMPLES = 2000, 200
+#: The reference's default.
+RESAMPLES = 2000
 
 
 def nouns_sql(x: str) -> str:
@@ -62,18 +62,28 @@ def char_similarity(spark, sf):
     return p.select(F.col("c_custkey").alias("id"), F.round(X.char_similarity(F.lower("c_mktsegment"), F.lower("n_name")), 6).alias("similarity"))
 
 
+def runs_sql(name: str, keys: str, parts: str, orders: int, glue: str) -> str:
+    """CTEs that end in ``name``: n, g and how often each side has it. Runs are made from neighbours by ``lead``: cutting them out of a long text would take its square."""
+    each = ", ".join(f"lead(c, {k}) OVER w AS c{k}" for k in range(1, orders))
+    run = lambda n: f" || '{glue}' || ".join(["c", *(f"c{k}" for k in range(1, n))])
+    there = lambda n: f" WHERE c{n - 1} IS NOT NULL" if n > 1 else ""
+    sides = " UNION ALL ".join(f"SELECT {keys}, {side == 'h'} AS own, unnest({side}{parts}) AS c, generate_subscripts({side}{parts}, 1) AS i FROM tok" for side in "hr")
+    orders_ = " UNION ALL ".join(f"SELECT {keys}, {n} AS n, {run(n)} AS g, own FROM {name}_ld{there(n)}" for n in range(1, orders + 1))
+    return f"""{name}_ld AS MATERIALIZED (SELECT {keys}, own, c, {each} FROM ({sides}) WINDOW w AS (PARTITION BY {keys}, own ORDER BY i)),
+{name} AS (SELECT {keys}, n, g, count(*) FILTER (WHERE own) AS h, count(*) FILTER (WHERE NOT own) AS r FROM ({orders_}) GROUP BY ALL)"""
+
+
 def stats_sql(source: str, keys: str, hyp: str = "hyp", ref: str = "ref") -> str:
     """CTEs bleu_stats and chrf_stats of a relation with the keys, hyp and ref."""
     ms = ", ".join(f"CAST(coalesce(sum(least(h, r)) FILTER (WHERE n = {n}), 0) AS BIGINT) AS m{n}, CAST(coalesce(sum(h) FILTER (WHERE n = {n}), 0) AS BIGINT) AS t{n}, CAST(coalesce(sum(r) FILTER (WHERE n = {n}), 0) AS BIGINT) AS u{n}" for n in range(1, 5))
     cs = ", ".join(f"CAST(coalesce(sum(least(h, r)) FILTER (WHERE n = {n}), 0) AS BIGINT) AS cm{n}, CAST(coalesce(sum(h) FILTER (WHERE n = {n}), 0) AS BIGINT) AS ch{n}, CAST(coalesce(sum(r) FILTER (WHERE n = {n}), 0) AS BIGINT) AS cr{n}" for n in range(1, 7))
-    return f"""tok AS (SELECT {keys}, {tokens_sql(hyp)} AS ht, {tokens_sql(ref)} AS rt, regexp_replace({hyp}, '\\s+', '', 'g') AS hc, regexp_replace({ref}, '\\s+', '', 'g') AS rc FROM {source}),
-g AS (SELECT {keys}, n, array_to_string(ht[i : i + n - 1], ' ') AS g, 1 AS h, 0 AS r FROM tok, unnest(range(1, 5)) AS a(n), unnest(range(1, len(ht) - n + 2)) AS b(i)
-  UNION ALL SELECT {keys}, n, array_to_string(rt[i : i + n - 1], ' '), 0, 1 FROM tok, unnest(range(1, 5)) AS a(n), unnest(range(1, len(rt) - n + 2)) AS b(i)),
-bs AS (SELECT {keys}, {ms} FROM (SELECT {keys}, n, g, sum(h) AS h, sum(r) AS r FROM g GROUP BY ALL) GROUP BY ALL),
+    chars = lambda c: f"string_split(regexp_replace({c}, '\\s+', '', 'g'), '')"
+    return f"""tok AS MATERIALIZED (SELECT {keys}, {tokens_sql(hyp)} AS ht, {tokens_sql(ref)} AS rt, {chars(hyp)} AS hc, {chars(ref)} AS rc FROM {source}),
+{runs_sql("g", keys, "t", 4, " ")},
+bs AS (SELECT {keys}, {ms} FROM g GROUP BY ALL),
 bleu_stats AS (SELECT tok.* EXCLUDE (ht, rt, hc, rc), {", ".join(f"coalesce({k}{n}, 0) AS {k}{n}" for k in "mt" for n in range(1, 5))}, coalesce(t1, 0) AS hyp_len, coalesce(u1, 0) AS ref_len FROM tok LEFT JOIN bs USING ({keys})),
-cg AS (SELECT {keys}, n, substring(hc, i, n) AS g, 1 AS h, 0 AS r FROM tok, unnest(range(1, 7)) AS a(n), unnest(range(1, length(hc) - n + 2)) AS b(i)
-  UNION ALL SELECT {keys}, n, substring(rc, i, n), 0, 1 FROM tok, unnest(range(1, 7)) AS a(n), unnest(range(1, length(rc) - n + 2)) AS b(i)),
-ccs AS (SELECT {keys}, {cs} FROM (SELECT {keys}, n, g, sum(h) AS h, sum(r) AS r FROM cg GROUP BY ALL) GROUP BY ALL),
+{runs_sql("cg", keys, "c", 6, "")},
+ccs AS (SELECT {keys}, {cs} FROM cg GROUP BY ALL),
 chrf_stats AS (SELECT tok.* EXCLUDE (ht, rt, hc, rc), {", ".join(f"coalesce({k}{n}, 0) AS {k}{n}" for k in ("cm", "ch", "cr") for n in range(1, 7))} FROM tok LEFT JOIN ccs USING ({keys}))"""
 
 
@@ -221,11 +231,22 @@ def leave_winners_out(spark, sf):
     return C.without_winners(runs_long(spark, sf))
 
 
-@query("paired_bootstrap", f"""WITH {CLIPS}, ab AS (SELECT id, run, CASE run WHEN 'a' THEN hyp_a ELSE hyp_b END AS hyp, reference AS ref FROM clips, (VALUES ('a'), ('b')) AS t(run)), {stats_sql('ab', 'id, run')},
-ix AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS ix, count(*) OVER () AS n FROM clips),
-draws AS (SELECT r, CAST('0x' || left(md5('7:' || r || ':' || j), 8) AS BIGINT) % n AS pick FROM (SELECT max(n) AS n FROM ix), unnest(range({SQL_RESAMPLES})) AS a(r), unnest(range(n)) AS b(j)),
-s AS (SELECT r, run, {bleu_sql(summed())} AS b FROM draws JOIN ix ON ix.ix = pick JOIN bleu_stats bs ON bs.id = ix.id GROUP BY r, run),
-d AS (SELECT x.r, round(y.b - x.b, 6) AS d FROM s x JOIN s y ON y.r = x.r AND x.run = 'a' AND y.run = 'b'), l AS (SELECT list(d ORDER BY d) AS l FROM d)
-SELECT round(l[CAST(floor(0.025 * len(l)) AS INTEGER) + 1], 4) AS ci_low, round(l[CAST(floor(0.975 * len(l)) AS INTEGER) + 1], 4) AS ci_high, len(list_filter(l, lambda x: x <= 0))::DOUBLE / len(l) AS p_le_0 FROM l""")
+MIXED = "0 + key + r * {step} + 7".format(step=C.STEP)
+for shift, factor in C.ROUNDS:
+    MIXED = f"(xor(({MIXED}) % 4294967296, (({MIXED}) % 4294967296) >> {shift}) * {factor})"
+TIMES = " + ".join(f"CAST(x >= {t} AS INTEGER)" for t in C.POISSON)
+
+
+@query("paired_bootstrap", f"""WITH {CLIPS}, ab AS (SELECT id, run, CASE run WHEN 'a' THEN hyp_a ELSE hyp_b END AS h, reference AS rf FROM clips, (VALUES ('a'), ('b')) AS t(run)),
+kinds AS (SELECT id, run, 'raw' AS kind, h AS hyp, rf AS ref FROM ab UNION ALL SELECT id, run, 'numbers', {numbers_sql('h')}, {numbers_sql('rf')} FROM ab), {stats_sql('kinds', 'id, run, kind')},
+keys AS (SELECT id, CAST('0x' || left(md5(CAST(id AS VARCHAR)), 8) AS BIGINT) AS key FROM clips),
+mixed AS (SELECT id, r, ({MIXED}) % 4294967296 AS x FROM keys, unnest(range({RESAMPLES})) AS a(r)),
+draws AS (SELECT id, r, {TIMES} AS w FROM mixed UNION ALL SELECT id, -1, 1 FROM keys),
+s AS (SELECT r, run, kind, {bleu_sql(lambda c: f"sum({c} * w)")} AS b FROM draws JOIN bleu_stats USING (id) WHERE w > 0 GROUP BY r, run, kind),
+c AS (SELECT r, run, {chrf_sql(lambda c: f"sum({c} * w)")} AS b FROM draws JOIN chrf_stats USING (id) WHERE w > 0 AND kind = 'numbers' GROUP BY r, run),
+m AS (SELECT r, run, CASE kind WHEN 'raw' THEN 'bleu_raw' ELSE 'bleu' END AS metric, b FROM s UNION ALL SELECT r, run, 'chrf', b FROM c),
+d AS (SELECT x.metric, x.r, round(y.b - x.b, 6) AS d FROM m x JOIN m y ON y.r = x.r AND y.metric = x.metric AND x.run = 'a' AND y.run = 'b'),
+l AS (SELECT metric, max(d) FILTER (WHERE r < 0) AS delta, list(d ORDER BY d) FILTER (WHERE r >= 0) AS l FROM d GROUP BY metric)
+SELECT metric, round(delta, 4) AS delta, round(l[CAST(floor(0.025 * len(l)) AS INTEGER) + 1], 4) AS ci_low, round(l[CAST(floor(0.975 * len(l)) AS INTEGER) + 1], 4) AS ci_high, len(list_filter(l, lambda x: x <= 0))::DOUBLE / len(l) AS p_le_0 FROM l""")
 def paired_bootstrap(spark, sf):
     return C.paired_bootstrap(runs_long(spark, sf), RESAMPLES)

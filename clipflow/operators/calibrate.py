@@ -91,6 +91,45 @@ def short_fit(df: DataFrame, by: list[str], neg_q: float, pos_q: float, margin:
     return q.select(*by, F.round("n", 6).alias("neg_hi"), F.round("p", 6).alias("pos_hi"), F.round(start, 6).alias("start"))
 
 
+def sliding(df: DataFrame, step: int, size: int, by: list[str]) -> DataFrame:
+    """The windows of ``size`` frames that begin every ``step`` frames, short at the end only if there is no other: adds w, the window's number."""
+    d = df.withColumns({"__rn": F.row_number().over(over(by)) - 1, "__n": F.count("*").over(W.partitionBy(*by))})
+    last = F.greatest(F.floor((F.col("__n") - size - 1) / step), F.lit(0))
+    first = F.greatest(F.floor((F.col("__rn") - size) / step) + 1, F.lit(0))
+    to = F.least(F.floor(F.col("__rn") / step), last)
+    return d.where(first <= to).withColumn("w", F.explode(F.sequence(first, to))).drop("__rn", "__n")
+
+
+def grid(df: DataFrame, pairs: list[tuple[float, float]], signing: tuple[str, ...], steps: tuple[int, int] = (8, 10), sizes: tuple[int, int] = (16, 20)) -> DataFrame:
+    """Per quantile pair: the short fits of every pair of a negative and a positive window of a session, and how their starts do.
+
+    A start's frames above it are counted in one pass: starts and frames of a session in one falling order of value, with running
+    counts, instead of each start against each frame.
+    """
+    f = df.withColumn("neg", is_negative())
+    qs = [sorted({p[i] for p in pairs}) for i in (0, 1)]
+    side = lambda on, i, n: sliding(f.where(on), steps[i], sizes[i], ["session_id"]).groupBy("session_id", "w").agg(F.percentile("score", F.array(*map(F.lit, qs[i]))).alias(n))
+    both = side(F.col("neg"), 0, "nq").drop("w").join(side(~F.col("neg"), 1, "pq").drop("w"), "session_id")
+    rows = F.array(*(F.struct(F.lit(a).alias("neg_q"), F.lit(b).alias("pos_q"), F.lit(qs[0].index(a)).alias("i"), F.lit(qs[1].index(b)).alias("j")) for a, b in pairs))
+    n, p = F.expr("nq[i]"), F.expr("pq[j]")
+    starts = both.select("session_id", "nq", "pq", F.inline(rows)).select("session_id", "neg_q", "pos_q", F.round(F.when(p <= n, n * 1.05).otherwise(F.sqrt(n * p)), 6).alias("v"))
+    frame = f.select("session_id", F.col("score").alias("v"), F.col("phase").isin(*signing).cast("int").alias("sign"), F.col("neg").cast("int").alias("neg"))
+    every = starts.unionByName(frame, allowMissingColumns=True)
+    down = W.partitionBy("session_id").orderBy(F.desc("v"), F.col("sign").isNotNull()).rowsBetween(W.unboundedPreceding, 0)  # a start before frames of its own value
+    above = lambda c: F.coalesce(F.sum(c).over(down), F.lit(0))
+    counted = every.withColumns({"__sign": above("sign"), "false_frames": above("neg"), "__all": F.sum("sign").over(W.partitionBy("session_id"))}).where("sign IS NULL")
+    judged = counted.withColumn("coverage", F.round(F.try_divide(100.0 * F.col("__sign"), "__all"), 6))
+    return judged.groupBy("neg_q", "pos_q").agg(
+        F.count("*").alias("windows"), F.round(F.median("v"), 6).alias("start_median"), F.round(F.stddev_pop("v"), 4).alias("start_stdev"), F.round(F.avg("coverage"), 4).alias("coverage"),
+        F.round(F.avg("false_frames"), 4).alias("false_frames"), F.round(F.avg(F.when(F.col("false_frames") == 0, 100.0).otherwise(0.0)), 4).alias("clean_pct"),
+    )
+
+
+def best(grid: DataFrame) -> DataFrame:
+    """The grid row with the most clean windows, then coverage, then the least spread of starts."""
+    return grid.orderBy(F.desc("clean_pct"), F.desc("coverage"), "start_stdev", "neg_q", "pos_q").limit(1)
+
+
 def resolved(floor: Column, profile_start: Column, profile_stop: Column, drift: Column) -> tuple[Column, Column]:
     """Thresholds in order of preference: a profile's times drift, multiples of the noise floor, fixed ones."""
     pick = lambda own, times, fixed: F.when(own.isNotNull(), own * drift).when(floor.isNotNull(), floor * times).otherwise(F.lit(fixed))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -24,21 +26,34 @@ def pairs(a: DataFrame, b: DataFrame) -> DataFrame:
     return named(a, "a").join(named(b, "b"), "id")
 
 
+def checked(a: DataFrame, b: DataFrame) -> DataFrame:
+    """``pairs`` of two runs that may be compared. Stops if they share no clip or if a shared clip has two references; warns where one run has clips that the other lacks."""
+    found = pairs(a, b)
+    both, differ = found.agg(F.count("*"), F.count_if(~F.col("reference_a").eqNullSafe(F.col("reference_b")))).first()
+    if not both:
+        raise ValueError("no clips in common")
+    if differ:
+        raise ValueError(f"{differ} clips have different references: the runs are not comparable")
+    if (sizes := (a.count(), b.count())) != (both, both):
+        warnings.warn(f"{sizes[0]} and {sizes[1]} clips, {both} shared: only those are compared", stacklevel=2)
+    return found
+
+
 def mismatches(pairs: DataFrame) -> DataFrame:
     """Shared clips whose references differ; a comparison is sound only if this is empty."""
     return pairs.where("reference_a <> reference_b").select("id", "reference_a", "reference_b")
 
 
-def config_diff(a: DataFrame, b: DataFrame) -> DataFrame:
-    """key, value columns of two runs: the keys of either whose values differ; a key that a run lacks counts as ABSENT."""
-    left, right = a.select("key", F.col("value").alias("a")), b.select("key", F.col("value").alias("b"))
-    both = left.join(right, "key", "full_outer").select("key", F.coalesce("a", F.lit(ABSENT)).alias("a"), F.coalesce("b", F.lit(ABSENT)).alias("b"))
+def config_diff(a: DataFrame, b: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """key, value columns of two runs: the keys of either whose values differ; a key that a run lacks counts as ABSENT. ``by``: columns that tell many comparisons apart."""
+    left, right = a.select(*by, "key", F.col("value").alias("a")), b.select(*by, "key", F.col("value").alias("b"))
+    both = left.join(right, [*by, "key"], "full_outer").select(*by, "key", F.coalesce("a", F.lit(ABSENT)).alias("a"), F.coalesce("b", F.lit(ABSENT)).alias("b"))
     return both.where("a <> b")
 
 
-def repair_guard(saved: DataFrame, wanted: DataFrame) -> DataFrame:
+def repair_guard(saved: DataFrame, wanted: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Differences over the keys of the saved run alone; a key that is wanted but was not saved is not compared."""
-    return saved.select("key", F.col("value").alias("saved")).join(wanted.select("key", F.col("value").alias("wanted")), "key").where("saved <> wanted")
+    return saved.select(*by, "key", F.col("value").alias("saved")).join(wanted.select(*by, "key", F.col("value").alias("wanted")), [*by, "key"]).where("saved <> wanted")
 
 
 def repaired(outputs: DataFrame, fixed: DataFrame) -> DataFrame:

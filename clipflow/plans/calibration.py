@@ -154,34 +154,26 @@ GRID = [(a, b) for a in (0.8, 0.9, 0.95) for b in (0.6, 0.75, 0.9)]
 SIGNING = ("SIGN", "FINGERSPELL")
 
 
-@query("grid_eval", f"""WITH {FRAMES}, g(neg_q, pos_q) AS (VALUES {", ".join(f"({a}::DOUBLE, {b}::DOUBLE)" for a, b in GRID)}),
+GRID_SQL = f"""{FRAMES}, g(neg_q, pos_q) AS (VALUES {", ".join(f"({a}::DOUBLE, {b}::DOUBLE)" for a, b in GRID)}),
 cls AS (SELECT *, {N} AS neg, row_number() OVER (PARTITION BY session_id, {N} ORDER BY idx) - 1 AS rn, count(*) OVER (PARTITION BY session_id, {N}) AS n FROM frames),
-win AS (SELECT c.session_id, c.neg, w, c.score FROM cls c, unnest(range(0, 3)) AS r(w) WHERE c.rn >= w * (CASE WHEN neg THEN 8 ELSE 10 END) AND c.rn < w * (CASE WHEN neg THEN 8 ELSE 10 END) + (CASE WHEN neg THEN 16 ELSE 20 END)),
-wn AS (SELECT session_id, w, list(score) FILTER (WHERE neg) AS ns, list(score) FILTER (WHERE NOT neg) AS ps FROM win GROUP BY session_id, w HAVING count(*) FILTER (WHERE neg) > 0 AND count(*) FILTER (WHERE NOT neg) > 0),
-q AS (SELECT session_id, w, neg_q, pos_q, (SELECT quantile_cont(x, [0.8, 0.9, 0.95]) FROM unnest(ns) AS u(x)) AS nq, (SELECT quantile_cont(x, [0.6, 0.75, 0.9]) FROM unnest(ps) AS u(x)) AS pq FROM wn, g),
-s AS (SELECT session_id, w, neg_q, pos_q, nq[CASE neg_q WHEN 0.8 THEN 1 WHEN 0.9 THEN 2 ELSE 3 END] AS n, pq[CASE pos_q WHEN 0.6 THEN 1 WHEN 0.75 THEN 2 ELSE 3 END] AS p FROM q),
-st AS (SELECT *, round(CASE WHEN p <= n THEN n * 1.05::DOUBLE ELSE sqrt(n * p) END, 6) AS start FROM s),
-ev AS (SELECT st.session_id, w, st.neg_q, st.pos_q, start, round(100.0 * count(*) FILTER (WHERE label IN ('SIGN', 'FINGERSPELL') AND score > start) / nullif(count(*) FILTER (WHERE label IN ('SIGN', 'FINGERSPELL')), 0), 6) AS coverage, count(*) FILTER (WHERE {N} AND score > start) AS false_frames FROM st JOIN frames f ON f.session_id = st.session_id GROUP BY ALL)
-SELECT neg_q, pos_q, count(*) AS windows, round(median(start), 6) AS start_median, round(stddev_pop(start), 4) AS start_stdev, round(avg(coverage), 4) AS coverage, round(avg(false_frames), 4) AS false_frames, round(avg(CASE WHEN false_frames = 0 THEN 100.0::DOUBLE ELSE 0 END), 4) AS clean_pct FROM ev GROUP BY neg_q, pos_q""")
+win AS (SELECT c.session_id, c.neg, w, c.score FROM (SELECT *, CASE WHEN neg THEN 8 ELSE 10 END AS step, CASE WHEN neg THEN 16 ELSE 20 END AS size FROM cls) c, unnest(range(0, c.n // c.step + 1)) AS r(w) WHERE (w = 0 OR w * step < n - size) AND c.rn >= w * step AND c.rn < w * step + size),
+nw AS (SELECT session_id, w, unnest([0.8::DOUBLE, 0.9, 0.95]) AS neg_q, unnest(q) AS n FROM (SELECT session_id, w, quantile_cont(score, [0.8, 0.9, 0.95]) AS q FROM win WHERE neg GROUP BY ALL)),
+pw AS (SELECT session_id, w, unnest([0.6::DOUBLE, 0.75, 0.9]) AS pos_q, unnest(q) AS p FROM (SELECT session_id, w, quantile_cont(score, [0.6, 0.75, 0.9]) AS q FROM win WHERE NOT neg GROUP BY ALL)),
+st AS (SELECT nw.session_id, nw.w AS nw, pw.w AS pw, neg_q, pos_q, round(CASE WHEN p <= n THEN n * 1.05::DOUBLE ELSE sqrt(n * p) END, 6) AS start FROM nw JOIN pw ON pw.session_id = nw.session_id JOIN g USING (neg_q, pos_q)),
+ev AS (SELECT st.session_id, nw, pw, neg_q, pos_q, start, round(100.0 * count(*) FILTER (WHERE label IN ('SIGN', 'FINGERSPELL') AND score > start) / nullif(count(*) FILTER (WHERE label IN ('SIGN', 'FINGERSPELL')), 0), 6) AS coverage, count(*) FILTER (WHERE {N} AND score > start) AS false_frames FROM st JOIN frames f ON f.session_id = st.session_id GROUP BY ALL),
+grid AS (SELECT neg_q, pos_q, count(*) AS windows, round(median(start), 6) AS start_median, round(stddev_pop(start), 4) AS start_stdev, round(avg(coverage), 4) AS coverage, round(avg(false_frames), 4) AS false_frames, round(avg(CASE WHEN false_frames = 0 THEN 100.0::DOUBLE ELSE 0 END), 4) AS clean_pct FROM ev GROUP BY neg_q, pos_q)"""
+
+
+@query("grid_eval", f"WITH {GRID_SQL} SELECT * FROM grid")
 def grid_eval(spark, sf):
-    """Sliding windows of each class, a quantile pair per grid row, and how each start does on the whole session."""
-    f = labelled(spark, sf).withColumn("neg", K.is_negative())
-    step, size = F.when(F.col("neg"), 8).otherwise(10), F.when(F.col("neg"), 16).otherwise(20)
-    place = F.row_number().over(O.over(["session_id", "neg"])) - 1
-    windows = f.withColumn("rn", place).withColumn("w", F.explode(F.filter(F.array(*map(F.lit, range(3))), lambda w: (F.col("rn") >= w * step) & (F.col("rn") < w * step + size))))
-    neg_qs, pos_qs = (sorted({g[i] for g in GRID}) for i in (0, 1))
-    qs = windows.groupBy("session_id", "w").agg(*(F.percentile(F.when(c, F.col("score")), F.array(*map(F.lit, q))).alias(n) for c, q, n in ((F.col("neg"), neg_qs, "nq"), (~F.col("neg"), pos_qs, "pq"))))
-    grid = F.array(*(F.struct(F.lit(a).alias("neg_q"), F.lit(b).alias("pos_q"), F.lit(neg_qs.index(a)).alias("i"), F.lit(pos_qs.index(b)).alias("j")) for a, b in GRID))
-    pairs = qs.where("nq IS NOT NULL AND pq IS NOT NULL").select("session_id", "w", "nq", "pq", F.inline(grid)).withColumns({"n": F.expr("nq[i]"), "p": F.expr("pq[j]")})
-    starts = pairs.select("session_id", "w", "neg_q", "pos_q", F.round(F.when(F.col("p") <= F.col("n"), F.col("n") * 1.05).otherwise(F.sqrt(F.col("n") * F.col("p"))), 6).alias("start"))
-    signing = F.col("phase").isin(*SIGNING)
-    judged = starts.join(f.select("session_id", "phase", "score", "neg"), "session_id").groupBy("session_id", "w", "neg_q", "pos_q", "start").agg(
-        F.round(100.0 * F.try_divide(F.count_if(signing & (F.col("score") > F.col("start"))), F.count_if(signing)), 6).alias("coverage"), F.count_if(F.col("neg") & (F.col("score") > F.col("start"))).alias("false_frames")
-    )
-    return judged.groupBy("neg_q", "pos_q").agg(
-        F.count("*").alias("windows"), F.round(F.median("start"), 6).alias("start_median"), F.round(F.stddev_pop("start"), 4).alias("start_stdev"), F.round(F.avg("coverage"), 4).alias("coverage"),
-        F.round(F.avg("false_frames"), 4).alias("false_frames"), F.round(F.avg(F.when(F.col("false_frames") == 0, 100.0).otherwise(0.0)), 4).alias("clean_pct"),
-    )
+    """All pairs of a still and a signing window of a session, a quantile pair per grid row, and how each start does on the session's frames."""
+    return K.grid(labelled(spark, sf), GRID, SIGNING)
+
+
+@query("best_grid_row", f"WITH {GRID_SQL} SELECT * FROM grid ORDER BY clean_pct DESC, coverage DESC, start_stdev, neg_q, pos_q LIMIT 1")
+def best_grid_row(spark, sf):
+    """Never a false start first, then the most signing, then the steadiest start."""
+    return K.best(K.grid(labelled(spark, sf), GRID, SIGNING))
 
 
 FLOORS = FRAMES + """, fl AS (SELECT session_id, quantile_cont(score, 0.1) AS floor, quantile_cont(score, 0.2) AS own, CASE WHEN session_id % 3 = 0 THEN max(score) END AS p_start, CASE WHEN session_id % 3 = 0 THEN max(score) / 6 END AS p_stop FROM frames GROUP BY session_id),

@@ -139,11 +139,11 @@ def pack_slots(spark, sf):
     return d.select("clip", "frame", F.transform("slots", lambda q: F.round(q[0], 6)).alias("xs"))
 
 
-@query("layer_mix", f"WITH {V}, l AS (SELECT clip, i AS d, frame % 4 AS layer, CAST(floor(frame / 4) AS BIGINT) AS t, v[i + 1] AS x FROM v, unnest(range(0, 8)) AS r(i)) SELECT clip, t, d, round(sum(x * (layer + 1) / 10.0::DOUBLE), 6) AS mixed FROM l GROUP BY clip, t, d")
+@query("layer_mix", f"WITH {V}, l AS (SELECT clip, i AS d, frame % 4 AS layer, CAST(floor(frame / 4) AS BIGINT) AS t, v[i + 1] AS x FROM v, unnest(range(0, 64)) AS r(i)) SELECT clip, t, d, round(sum(x * (layer + 1) / 10.0::DOUBLE), 6) AS mixed FROM l GROUP BY clip, t, d")
 def layer_mix(spark, sf):
     """Weighted sum over layers; four consecutive vectors are the layers of a frame."""
     weights = F.broadcast(spark.createDataFrame([(i, (i + 1) / 10.0) for i in range(4)], "layer long, weight double"))  # one row per layer
-    d = vectors(spark, sf).select("clip", (F.col("frame") % 4).alias("layer"), F.floor(F.col("frame") / 4).alias("t"), F.posexplode(F.slice("v", 1, 8)).alias("d", "x"))
+    d = vectors(spark, sf).select("clip", (F.col("frame") % 4).alias("layer"), F.floor(F.col("frame") / 4).alias("t"), F.posexplode("v").alias("d", "x"))
     return d.join(weights, "layer").groupBy("clip", "t", F.col("d").cast("long").alias("d")).agg(F.round(F.sum(F.col("x") * F.col("weight")), 6).alias("mixed"))
 
 
@@ -173,21 +173,19 @@ def embedding_spread(spark, sf):
     return d.groupBy("clip", "pos").agg(F.var_samp("v").alias("var")).groupBy("clip").agg(F.round(F.avg(F.sqrt(F.col("var") + 1e-6)), 6).alias("spread"))
 
 
-@query("resample_128", f"""WITH {V}, n AS (SELECT clip, max(frame) + 1 AS n FROM v WHERE clip % 2 = 0 OR frame < 20 GROUP BY clip), f AS (SELECT * FROM v WHERE clip % 2 = 0 OR frame < 20),
-s AS (SELECT clip, slot, CASE WHEN n > 32 THEN CAST(floor(slot * (n - 1) / 31.0::DOUBLE) AS BIGINT) ELSE slot END AS frame FROM n, unnest(range(0, 32)) AS r(slot)) SELECT s.clip, slot, coalesce(round(v[1], 6), 0.0::DOUBLE) AS x FROM s LEFT JOIN f ON f.clip = s.clip AND f.frame = s.frame""")
+@query("resample_128", f"""WITH {V}, n AS (SELECT clip, max(frame) + 1 AS n FROM v GROUP BY clip),
+s AS (SELECT clip, slot, CASE WHEN n > 128 THEN CAST(floor(slot * (n - 1) / 127.0::DOUBLE) AS BIGINT) ELSE slot END AS frame FROM n, unnest(range(0, 128)) AS r(slot)) SELECT s.clip, slot, coalesce(round(v[1], 6), 0.0::DOUBLE) AS x FROM s LEFT JOIN v f ON f.clip = s.clip AND f.frame = s.frame""")
 def resample_128(spark, sf):
-    """To 32 rows here, so that clips of this table are longer and shorter than that."""
-    d = vectors(spark, sf).where("clip % 2 = 0 OR frame < 20").select("clip", "frame", F.round(F.col("v")[0], 6).alias("x"))
-    return L.resampled(d, "clip", "frame", "x", 32)
+    return L.resampled(vectors(spark, sf).select("clip", "frame", F.round(F.col("v")[0], 6).alias("x")), "clip", "frame", "x")
 
 
-@query("pad_batch", f"""WITH {V}, s AS (SELECT clip, frame // 8 AS part, list(round(v[1], 6) ORDER BY frame) AS xs FROM v GROUP BY clip, frame // 8), m AS (SELECT max(len(xs)) AS n FROM s)
+@query("pad_batch", f"""WITH {V}, s AS (SELECT clip, frame // 8 AS part, flatten(list(list_transform(v, lambda x: round(x, 6)) ORDER BY frame)) AS xs FROM v GROUP BY clip, frame // 8), m AS (SELECT max(len(xs)) AS n FROM s)
 SELECT clip, CAST(part AS BIGINT) AS part, list_concat(xs, list_transform(range(n - len(xs)), lambda i: 0.0::DOUBLE)) AS xs FROM s, m""")
 def pad_batch(spark, sf):
-    """Streams of a batch padded with zeros to the longest (eight frames at most)."""
-    d = vectors(spark, sf).groupBy("clip", F.floor(F.col("frame") / 8).alias("part")).agg(F.sort_array(F.collect_list(F.struct("frame", F.round(F.col("v")[0], 6).alias("x")))).alias("s"))
+    """Streams of a batch, vector after vector, padded with zeros to the longest (eight frames at most)."""
+    d = vectors(spark, sf).groupBy("clip", F.floor(F.col("frame") / 8).alias("part")).agg(F.sort_array(F.collect_list(F.struct("frame", F.transform("v", lambda x: F.round(x, 6)).alias("x")))).alias("s")).withColumn("s", F.flatten("s.x"))
     most = F.broadcast(d.agg(F.max(F.size("s")).alias("n")))  # one row
-    return d.join(most).select("clip", "part", F.concat(F.transform("s", lambda x: x["x"]), F.array_repeat(F.lit(0.0), (F.col("n") - F.size("s")).cast("int"))).alias("xs"))
+    return d.join(most).select("clip", "part", F.concat("s", F.array_repeat(F.lit(0.0), (F.col("n") - F.size("s")).cast("int"))).alias("xs"))
 
 
 PIX = "list_transform(p[{a}:{b}], lambda q: CAST(trunc((q[{i}] + 0.6) * {size}) AS INTEGER))"
@@ -252,23 +250,24 @@ def signing_space(spark, sf):
 
 
 @query("align_streams", f"""WITH {V}, a AS (SELECT clip, frame, round(v[1], 6) AS face FROM v), b AS (SELECT clip, frame, round(v[2], 6) AS lft FROM v WHERE vec_id % 9 <> 4), c AS (SELECT clip, frame, round(v[3], 6) AS rgt FROM v), d AS (SELECT clip, frame, round(v[4], 6) AS pose FROM v)
-SELECT a.clip, a.frame - 3 AS frame, face, lft AS left_hand, rgt AS right_hand, pose FROM a JOIN b USING (clip, frame) JOIN c USING (clip, frame) JOIN d USING (clip, frame) WHERE a.frame >= 3 AND a.frame < 30""")
+SELECT a.clip, a.frame - 3 AS frame, face, lft AS left_hand, rgt AS right_hand, pose FROM a JOIN b USING (clip, frame) JOIN c USING (clip, frame) JOIN d USING (clip, frame) WHERE a.frame >= 3""")
 def align_streams(spark, sf):
-    """Four streams by clip and frame, dealt by that key once, then a slice counted from zero again."""
-    v = vectors(spark, sf).where("frame >= 3 AND frame < 30")
+    """Four streams by clip and frame, dealt by that key once, then a slice, from the fourth frame to the end, counted from zero again."""
+    v = vectors(spark, sf).where("frame >= 3")
     stream = lambda i, n: v.select("clip", "frame", F.round(F.col("v")[i], 6).alias(n))
     lft = v.where("vec_id % 9 <> 4").select("clip", "frame", F.round(F.col("v")[1], 6).alias("left_hand"))
     on = ["clip", "frame"]
     return stream(0, "face").join(lft, on).join(stream(2, "right_hand"), on).join(stream(3, "pose"), on).withColumn("frame", F.col("frame") - 3)
 
 
-@query("topk_labels", f"""WITH {V}, l AS (SELECT vec_id, i - 1 AS cls, v[i] * 10 AS x FROM v, unnest(range(1, 13)) AS r(i)), e AS (SELECT *, exp(x - max(x) OVER (PARTITION BY vec_id)) AS e FROM l), s AS (SELECT *, e / sum(e) OVER (PARTITION BY vec_id) AS p, row_number() OVER (PARTITION BY vec_id ORDER BY x DESC, cls) AS rank FROM e),
-names AS (SELECT n_nationkey AS cls, n_name AS name FROM nation) SELECT vec_id, rank, name, round(p, 6) AS p FROM s JOIN names USING (cls) WHERE rank <= 5""")
+@query("topk_labels", f"""WITH {V}, l AS (SELECT vec_id, i - 1 AS cls, v[i] * 10 AS x FROM v, unnest(range(1, 65)) AS r(i)), e AS (SELECT *, exp(x - max(x) OVER (PARTITION BY vec_id)) AS e FROM l), s AS (SELECT *, e / sum(e) OVER (PARTITION BY vec_id) AS p, row_number() OVER (PARTITION BY vec_id ORDER BY x DESC, cls) AS rank FROM e),
+names AS (SELECT n_nationkey AS k, n_name AS name FROM nation) SELECT vec_id, rank, name || ' ' || cls // 25 AS name, round(p, 6) AS p FROM s JOIN names ON k = cls % 25 WHERE rank <= 5""")
 def topk_labels(spark, sf):
-    """Softmax over twelve classes and the five best by name."""
-    d = vectors(spark, sf).select("vec_id", F.posexplode(F.transform(F.slice("v", 1, 12), lambda x: x * 10)).alias("cls", "x"))
+    """Softmax over all 64 classes and the five best by name; names of nations, numbered where they come again."""
+    d = vectors(spark, sf).select("vec_id", F.posexplode(F.transform("v", lambda x: x * 10)).alias("cls", "x"))
     w = W.partitionBy("vec_id")
     e = d.withColumn("e", F.exp(F.col("x") - F.max("x").over(w)))
     p = e.withColumns({"p": F.col("e") / F.sum("e").over(w), "rank": F.row_number().over(w.orderBy(F.desc("x"), "cls"))}).where("rank <= 5")
-    names = F.broadcast(table(spark, sf, "nation").select(F.col("n_nationkey").alias("cls"), F.col("n_name").alias("name")))  # 25 rows
-    return p.join(names, "cls").select("vec_id", F.col("rank").cast("long").alias("rank"), "name", F.round("p", 6).alias("p"))
+    names = F.broadcast(table(spark, sf, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("n")))  # 25 rows
+    named = F.concat_ws(" ", "n", F.floor(F.col("cls") / 25).cast("string")).alias("name")
+    return p.join(names, F.col("cls") % 25 == F.col("k")).select("vec_id", F.col("rank").cast("long").alias("rank"), named, F.round("p", 6).alias("p"))

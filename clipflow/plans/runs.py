@@ -52,31 +52,31 @@ def ref_mismatch(spark, sf):
     return A.mismatches(A.pairs(*two_runs(spark, sf)))
 
 
-CONFIG = """ca AS (SELECT event_type || ':' || (CAST(json_extract_string(props, '$.k') AS INTEGER) % 7) AS key, CAST(count(*) AS VARCHAR) AS value FROM events WHERE user_id = 0 GROUP BY 1), cb AS (SELECT event_type || ':' || (CAST(json_extract_string(props, '$.k') AS INTEGER) % 7) AS key, CAST(count(*) AS VARCHAR) AS value FROM events WHERE user_id = 1 GROUP BY 1)"""
+CONFIG = """ca AS (SELECT user_id // 2 AS pair, event_type || ':' || (CAST(json_extract_string(props, '$.k') AS INTEGER) % 7) AS key, CAST(count(*) AS VARCHAR) AS value FROM events WHERE user_id % 2 = 0 GROUP BY 1, 2), cb AS (SELECT user_id // 2 AS pair, event_type || ':' || (CAST(json_extract_string(props, '$.k') AS INTEGER) % 7) AS key, CAST(count(*) AS VARCHAR) AS value FROM events WHERE user_id % 2 = 1 GROUP BY 1, 2)"""
 
 
 def configs(spark, sf):
-    """Two open configurations: keys and values from the events of two users, the parties to the comparison."""
+    """Pairs of open configurations, keys and values from the events of users 2 n and 2 n + 1: two tables with the pair, key and value."""
     key = F.concat_ws(":", "event_type", (F.get_json_object("props", "$.k").cast("int") % 7).cast("string"))
-    of = lambda u: table(spark, sf, "events").where(F.col("user_id") == u).groupBy(key.alias("key")).agg(F.count("*").cast("string").alias("value"))
+    of = lambda u: table(spark, sf, "events").where(F.col("user_id") % 2 == u).groupBy(F.floor(F.col("user_id") / 2).alias("pair"), key.alias("key")).agg(F.count("*").cast("string").alias("value"))
     return of(0), of(1)
 
 
-@query("config_diff", f"WITH {CONFIG} SELECT key, coalesce(ca.value, '<not recorded>') AS a, coalesce(cb.value, '<not recorded>') AS b FROM ca FULL JOIN cb USING (key) WHERE coalesce(ca.value, '<not recorded>') <> coalesce(cb.value, '<not recorded>')")
+@query("config_diff", f"WITH {CONFIG} SELECT pair, key, coalesce(ca.value, '<not recorded>') AS a, coalesce(cb.value, '<not recorded>') AS b FROM ca FULL JOIN cb USING (pair, key) WHERE coalesce(ca.value, '<not recorded>') <> coalesce(cb.value, '<not recorded>')")
 def config_diff(spark, sf):
-    return A.config_diff(*configs(spark, sf))
+    return A.config_diff(*configs(spark, sf), by=("pair",))
 
 
-@query("repair_guard", f"WITH {CONFIG} SELECT key, ca.value AS saved, cb.value AS wanted FROM ca JOIN cb USING (key) WHERE ca.value <> cb.value")
+@query("repair_guard", f"WITH {CONFIG} SELECT pair, key, ca.value AS saved, cb.value AS wanted FROM ca JOIN cb USING (pair, key) WHERE ca.value <> cb.value")
 def repair_guard(spark, sf):
-    return A.repair_guard(*configs(spark, sf))
+    return A.repair_guard(*configs(spark, sf), by=("pair",))
 
 
-@query("resume_plan", f"WITH {MAN}, {CONFIG}, bad AS (SELECT count(*) AS n FROM ca FULL JOIN cb USING (key) WHERE ca.value IS DISTINCT FROM cb.value) SELECT man.id, CASE WHEN n > 0 THEN 'refused' ELSE 'run' END AS action FROM man, bad WHERE NOT EXISTS (SELECT 1 FROM led WHERE led.id = man.id)")
+@query("resume_plan", f"WITH {MAN}, {CONFIG}, bad AS (SELECT count(*) AS n FROM ca FULL JOIN cb USING (pair, key) WHERE ca.value IS DISTINCT FROM cb.value) SELECT man.id, CASE WHEN n > 0 THEN 'refused' ELSE 'run' END AS action FROM man, bad WHERE NOT EXISTS (SELECT 1 FROM led WHERE led.id = man.id)")
 def resume_plan(spark, sf):
     """What is left to run, and whether the configuration still allows it."""
     m = manifest(spark, sf)
-    differs = A.config_diff(*configs(spark, sf)).agg(F.count("*").alias("n"))  # one row
+    differs = A.config_diff(*configs(spark, sf), by=("pair",)).agg(F.count("*").alias("n"))  # one row
     return A.remaining(m, ledger(m)).join(F.broadcast(differs)).select("id", F.when(F.col("n") > 0, "refused").otherwise("run").alias("action"))
 
 

@@ -12,7 +12,7 @@ def test_threshold_keeps_recall_below_half(spark):
     held = [S.windows(t, 0, len(t)) for t in texts]
     p = net.probability([w[0] for w in held])
     assert p.max() < 0.5
-    chosen = S.placed(net, spark.createDataFrame([(w,) for w in held], "windows array<binary>"), 0.98).threshold
+    chosen = S.placed(net, spark.createDataFrame([(i, w) for i, w in enumerate(held)], "place long, windows array<binary>"), 0.98).threshold
     assert (p >= chosen).mean() >= 0.98 and (p >= S.EDGES[np.searchsorted(S.EDGES, chosen, "right")]).mean() < 0.98
     x, y = np.frombuffer(b"".join(w[0] for w in held), np.uint8).reshape(-1, S.WIDTH), (np.arange(3000) % 10 == 0) * 1.0
     flat = S.calibrate(net, x, y, 0.98)  # a tenth are secrets and nothing tells them apart: scores near 0.1

@@ -6,6 +6,7 @@ import datetime
 import decimal
 import math
 import os
+import tempfile
 
 import duckdb
 
@@ -15,6 +16,8 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 def duck(sf_dir: str):
     con = duckdb.connect()
     con.execute("SET TimeZone='UTC'")
+    con.execute(f"SET temp_directory='{tempfile.mkdtemp(prefix='spark-')}'")
+    con.execute("SET memory_limit='10GB'")
     for t in TABLES:
         path = f"{sf_dir}/{t}.parquet"
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{path + '/*.parquet' if os.path.isdir(path) else path}'")

@@ -1,12 +1,15 @@
-"""Benchmark decontamination: one Aho-Corasick automaton over the windows of all benchmark items, each text scanned once.
+"""Benchmark decontamination: one Aho-Corasick automaton over all benchmark items, each text scanned once.
 
 Texts are normalised to words (A-Z lower-cased; digits, letters and everything beyond ASCII make words). A window is WINDOW
 consecutive words of an item, or the whole of a shorter one. The automaton works on word numbers, so a match gives word
 positions at once, and those are mapped to offsets in the original text.
 
-The automaton is built inside each task from the window list. A list is sent only up to BLOCK_BYTES of benchmark text;
-a larger benchmark is split by a hash of its texts into as many blocks as that takes, and the texts pass the blocks' automata
-one after the other, staged in between: the driver and each task hold one block at a time. Nothing is left out.
+Its patterns are ANCHOR words of an item, one every WINDOW - ANCHOR + 1, so that every window of the item holds one; a match is
+extended over the words around it in all items that have the anchor there, and counts where it reaches a window. So the automaton
+has about half a node for each benchmark word instead of ten. It is built inside each task from the items, which are
+broadcast: BLOCK_BYTES of them at most. A larger benchmark is dealt over as many blocks as that takes by a hash of id and text (equal texts
+under many ids are dealt too); each block's automaton then reads the texts once and only what it finds is written, by the text's md5,
+never the texts. Nothing is left out.
 
 Null texts and item texts have no words; such items match nothing. Several rows with one item_id are one item; a null item_id
 counts as the item named ''. Repeated documents are rows of their own. Other columns are passed through; those that have the
@@ -15,6 +18,7 @@ name of an output (n_words, hits, items) are replaced. Empty tables are fine on
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 import numpy as np
@@ -25,7 +29,10 @@ from pyspark.sql import types as T
 from clipflow.llm.common import map_slices, staged
 from clipflow.llm.common import table as read
 
-WINDOW, BLOCK_BYTES = 10, 1 << 20
+WINDOW, ANCHOR, BLOCK_BYTES = 10, 4, 16 << 20
+EVERY = WINDOW - ANCHOR + 1
+#: Found texts that are sent to all executors instead of being joined by a shuffle.
+FEW = 100_000
 #: Every ASCII byte that is no letter or digit becomes a blank, A-Z become a-z, all others stay.
 NORMAL = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in bytes(range(256)).lower())
 WORD = re.compile("[0-9A-Za-z\x80-\U0010ffff]+")
@@ -36,47 +43,67 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(NORMAL).split()
 
 
-def windows_of(words: list[bytes]) -> list[tuple[bytes, ...]]:
-    """The distinct windows of an item."""
-    if not words:
-        return []
-    return list(dict.fromkeys(tuple(words[i : i + WINDOW]) for i in range(max(1, len(words) - WINDOW + 1))))
-
-
 class Matcher:
     """items: (item_id, text) pairs."""
 
     def __init__(self, items: list[tuple[str, str | None]]):
         import ahocorasick
 
-        held: dict[tuple[bytes, ...], set[str]] = {}
-        for item, text in items:
-            for window in windows_of(words_of(text)):
-                held.setdefault(window, set()).add(item)
-        self.number = {w: i for i, w in enumerate(dict.fromkeys(w for window in held for w in window), 1)}
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for window, of in held.items():
-            self.automaton.add_word(tuple(map(self.number.__getitem__, window)), (len(window), sorted(of)))
+        self.names, self.number = [i for i, _ in items], {}
+        number, flat, starts, anchors, wholes = self.number, [-1] * EVERY, [], {}, {}  # -1: between items; words of no item are 0
+        for k, (_, text) in enumerate(items):
+            ids = [number.setdefault(w, len(number) + 1) for w in words_of(text)]
+            starts.append(len(flat))
+            if len(ids) >= WINDOW:
+                for at in range(0, len(ids) - ANCHOR + 1, EVERY):
+                    anchors.setdefault(tuple(ids[at : at + ANCHOR]), []).append(len(flat) + at)
+            elif ids:
+                wholes.setdefault(tuple(ids), []).append(k)
+            flat += [*ids, -1]
+        self.flat, self.starts = np.array(flat + [-1] * WINDOW, np.int32), np.array(starts, np.int64)
+        patterns = list(dict.fromkeys([*anchors, *wholes]))
+        self.anchors, self.wholes = ([held.get(p) for p in patterns] for held in (anchors, wholes))
+        self.sizes = [len(p) for p in patterns]
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        for k, pattern in enumerate(patterns):
+            self.automaton.add_word(pattern, k)
         self.automaton.make_automaton()
-        self.empty = not held
+        self.empty = not patterns
 
     def __call__(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
         """Merged ranges [first, end) of hit words, and the items."""
         if self.empty or len(words) == 0:
             return [], set()
         get = self.number.get
-        found = list(self.automaton.iter(tuple([get(w, 0) for w in words])))
+        ids = tuple([get(w, 0) for w in words])
+        found = list(self.automaton.iter(ids))
         if not found:
             return [], set()
-        edge = np.zeros(len(words) + 1, np.int64)
-        items: set[str] = set()
-        for end, (size, of) in found:
-            edge[end + 1 - size] += 1
-            edge[end + 1] -= 1
-            items.update(of)
+        edge, items = np.zeros(len(words) + 1, np.int64), set()
+        around = np.concatenate([np.full(EVERY, -2, np.int32), np.array(ids, np.int32), np.full(WINDOW, -2, np.int32)])
+        for end, k in found:
+            first = end + 1 - self.sizes[k]
+            if (of := self.wholes[k]) is not None:
+                edge[first] += 1
+                edge[end + 1] -= 1
+                items.update(of)
+            if (at := self.anchors[k]) is not None:
+                left, right, which = self.extended(around, first, np.array(at, np.int64))
+                np.add.at(edge, first - left, 1)
+                np.add.at(edge, end + 1 + right, -1)
+                items.update(which.tolist())
         on = np.concatenate([[0], np.cumsum(edge[:-1]) > 0, [0]]).astype(np.int8)
         step = np.diff(on)
-        return list(zip(np.flatnonzero(step == 1).tolist(), np.flatnonzero(step == -1).tolist(), strict=True)), items
+        ranges = list(zip(np.flatnonzero(step == 1).tolist(), np.flatnonzero(step == -1).tolist(), strict=True))
+        return ranges, {self.names[i] for i in items}
+
+    def extended(self, around: np.ndarray, first: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For the places ``at`` of an anchor found at word ``first``: how far the words agree to its left and right, and the item, where that makes a window."""
+        before, after = np.arange(1, EVERY), np.arange(ANCHOR, WINDOW)
+        left = np.cumprod(self.flat[at[:, None] - before] == around[EVERY + first - before], 1).sum(1)
+        right = np.cumprod(self.flat[at[:, None] + after] == around[EVERY + first + after], 1).sum(1)
+        ok = left + ANCHOR + right >= WINDOW
+        return left[ok], right[ok], np.searchsorted(self.starts, at[ok], "right") - 1
 
 
 def original_spans(text: str, ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -86,48 +113,81 @@ def original_spans(text: str, ranges: list[tuple[int, int]]) -> list[tuple[int,
 
 
 def blocks_of(benchmark: DataFrame):
-    """Lists of (item_id, text), each of about BLOCK_BYTES of text, and whether it is the last; the driver holds one at a time."""
+    """Lists of (item_id, text), each of about BLOCK_BYTES, and how many there are; the driver holds one at a time."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text").where("text is not null")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    total = items.agg(F.sum(F.octet_length("text") + F.octet_length("item"))).first()[0] or 0
     n = -(-total // BLOCK_BYTES) or 1
     for b in range(n):
-        part = items if n == 1 else items.where(F.pmod(F.xxhash64("text"), F.lit(n)) == b)
-        yield [(r.item, r.text) for r in part.collect()], b == n - 1
+        part = items if n == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == b)
+        yield n, [(r.item, r.text) for r in part.collect()]
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", with_text: bool = True) -> DataFrame:
     """``docs`` with n_words, hits (merged code point spans of hit words in the original), n_hit and items (ids, sorted as strings)."""
-    new = {"n_words": T.LongType(), "ranges": SPANS, "items": T.ArrayType(T.StringType()), "hits": SPANS, "n_hit": T.LongType()}
-    df = docs.drop(*(c for c in docs.columns if c in new and c != text))
-    for k, (block, last) in enumerate(blocks_of(benchmark)):
-        kept = [f for f in df.schema.fields if f.name not in new and (f.name != text or with_text or not last)]
-        schema = T.StructType([*kept, *(T.StructField(n, t) for n, t in new.items())])
-        df = map_slices(df, scanner(block, kept, text, k > 0, schema), schema)
-        if not last:
-            df = staged(df, "scanned")
-    return df.drop("ranges")
-
-
-def scanner(block, kept, text, again, schema):
+    df = docs.drop(*(c for c in docs.columns if c in OUTPUTS and c != text))
+    context, found = docs.sparkSession.sparkContext, None
+    for n, block in blocks_of(benchmark):
+        held = context.broadcast(block)  # BLOCK_BYTES
+        if n == 1:
+            return map_slices(df, judge(held, text, df.schema.fields, with_text), outputs(df, text, with_text))
+        part = staged(map_slices(df.select(F.col(text).alias("t")), finder(held), FOUND), "found").dropDuplicates(["key"])  # equal texts have equal finds
+        found = part if found is None else found.union(part)
+    every = staged(found.groupBy("key").agg(F.flatten(F.collect_list("ranges")).alias("ranges"), F.flatten(F.collect_list("items")).alias("items")), "hits")  # a row a block at most for each text
+    small = F.broadcast(every) if every.count() <= FEW else every
+    boxed = df.select(F.struct("*").alias("row"), F.md5(F.col(text).cast("binary")).alias("key")).join(small, "key", "left").select("row.*", F.col("ranges").alias("__ranges"), F.col("items").alias("__items"))
+    return map_slices(boxed, judge(None, text, df.schema.fields, with_text), outputs(df, text, with_text))
+
+
+OUTPUTS = {"n_words": T.LongType(), "items": T.ArrayType(T.StringType()), "hits": SPANS, "n_hit": T.LongType()}
+FOUND = T.StructType([T.StructField("key", T.StringType()), T.StructField("ranges", SPANS), T.StructField("items", T.ArrayType(T.StringType()))])
+
+
+def outputs(df: DataFrame, text: str, with_text: bool) -> T.StructType:
+    kept = [f for f in df.schema.fields if f.name not in OUTPUTS and (f.name != text or with_text)]
+    return T.StructType([*kept, *(T.StructField(n, t) for n, t in OUTPUTS.items())])
+
+
+def pairs(ranges: list[tuple[int, int]]) -> list[dict]:
+    return [{"start": a, "end": b} for a, b in ranges]
+
+
+def finder(block):
+    """Per text in which the block's items occur: its md5, the word ranges and the items."""
     held: list[Matcher] = []
 
     def step(batch):
         if not held:
-            held.append(Matcher(block))
-        rows: dict[str, list] = {"n_words": [], "ranges": [], "items": [], "hits": [], "n_hit": []}
-        before = zip(batch.column("ranges").to_pylist(), batch.column("items").to_pylist(), strict=True) if again else None
-        for t in batch.column(text).to_pylist():
-            words = words_of(t)
-            ranges, items = held[0](words)
-            if before is not None:
-                old, names = next(before)
-                ranges, items = merged([*ranges, *((r["start"], r["end"]) for r in old)]), items | set(names)
+            held.append(Matcher(block.value))
+        rows = []
+        for t in batch.column("t").to_pylist():
+            ranges, items = held[0](words_of(t))
+            if ranges:
+                rows.append((hashlib.md5(t.encode()).hexdigest(), pairs(ranges), sorted(items)))
+        return dict(zip(("key", "ranges", "items"), zip(*rows, strict=True), strict=True)) if rows else None
+
+    return step
+
+
+def judge(block, text: str, fields: list[T.StructField], with_text: bool):
+    """The outputs of each row, from the one block's automaton or (None) from the finds that were joined to it."""
+    held: list[Matcher] = []
+
+    def step(batch):
+        if block is not None and not held:
+            held.append(Matcher(block.value))
+        texts = batch.column(text).to_pylist()
+        if block is not None:
+            finds = ((words, *held[0](words)) for words in map(words_of, texts))
+        else:
+            ranges = [merged([(r["start"], r["end"]) for r in rs or []]) for rs in batch.column("__ranges").to_pylist()]
+            finds = ((words_of(t), r, set(i or [])) for t, r, i in zip(texts, ranges, batch.column("__items").to_pylist(), strict=True))
+        rows: dict[str, list] = {n: [] for n in OUTPUTS}
+        for t, (words, found, items) in zip(texts, finds, strict=True):
             rows["n_words"].append(len(words))
-            rows["ranges"].append([{"start": a, "end": b} for a, b in ranges])
             rows["items"].append(sorted(items))
-            rows["hits"].append([{"start": a, "end": b} for a, b in original_spans(t, ranges)] if ranges else [])
-            rows["n_hit"].append(sum(b - a for a, b in ranges))
-        return {f.name: batch.column(f.name) for f in kept} | rows
+            rows["hits"].append(pairs(original_spans(t, found)) if found else [])
+            rows["n_hit"].append(sum(b - a for a, b in found))
+        return {f.name: batch.column(f.name) for f in fields if f.name not in OUTPUTS and (f.name != text or with_text)} | rows
 
     return step
 

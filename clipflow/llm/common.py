@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 
 #: Rows that one Python step handles at a time; bounds the memory of a task whatever the Arrow batch holds.
 SLICE_ROWS = 256
+#: Bytes of such a step: a slice that is larger is halved, down to single rows.
+SLICE_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,13 +51,25 @@ def map_slices(df: DataFrame, step: Callable[[pa.RecordBatch], dict | None], sch
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                if (out := step(batch.slice(at, rows))) is not None:
+            for part in slices(batch, rows):
+                if (out := step(part)) is not None:
                     yield pa.RecordBatch.from_arrays([c if isinstance(c := out[f.name], pa.Array) else pa.array(c, f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, kind)
 
 
+def slices(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
+    for at in range(0, batch.num_rows, rows):
+        waiting = [batch.slice(at, rows)]
+        while waiting:
+            part = waiting.pop()
+            if part.num_rows > 1 and part.nbytes > SLICE_BYTES:
+                half = part.num_rows // 2
+                waiting += [part.slice(half), part.slice(0, half)]
+            else:
+                yield part
+
+
 def to_arrow(schema: T.StructType) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 

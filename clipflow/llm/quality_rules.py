@@ -11,6 +11,7 @@ An empty table gives an empty result.
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
@@ -44,7 +45,6 @@ RULES = (
     Rule("length", "n_words", 40, 15, above=True),
     Rule("word_length", "abs(try_divide(word_chars, n_words) - 6)", 3.2, 6),
     Rule("symbols", "try_divide(n_symbols, n_words)", 0.05, 0.2),
-    Rule("symbol_words", "try_divide(n_symbol_words, n_words)", 0.05, 0.2),
     Rule("repeats", "try_divide(n_repeat_words, n_words)", 0.05, 0.2),
     Rule("lines", "try_divide(n_dup_lines, n_lines)", 0.1, 0.3),
     Rule("variety", "try_divide(n_distinct, pow(n_words, 0.8))", 0.7, 0.35, above=True),
@@ -55,11 +55,12 @@ RULES = (
 )
 
 
-def fit_votes(patterns: np.ndarray, counts: np.ndarray, rounds: int = 60, prior: float = 0.85) -> tuple[np.ndarray, np.ndarray]:
+def fit_votes(patterns: np.ndarray, counts: np.ndarray, rounds: int = 2000, prior: float = 0.85, settled: float = 1e-10) -> tuple[np.ndarray, np.ndarray]:
     """Posterior probability of good for each vote pattern, and each rule's accuracy by class (bad, good).
 
     patterns: one row per pattern of -1, 0, 1. Starts from rules that are right more often than not, and smooths by a few
-    invented votes, so that the two classes keep their meaning.
+    invented votes, so that the two classes keep their meaning. Ends when no posterior moves by more than ``settled``; warns if
+    that takes more than ``rounds``.
     """
     good, bad = (patterns == 1).astype(float), (patterns == -1).astype(float)
     right = np.array([np.full(patterns.shape[1], 0.3), np.full(patterns.shape[1], 0.98)])  # P(right vote | class, votes)
@@ -69,10 +70,14 @@ def fit_votes(patterns: np.ndarray, counts: np.ndarray, rounds: int = 60, prior:
     for _ in range(rounds):
         log_good = np.log(share) + good @ np.log(right[1]) + bad @ np.log1p(-right[1])
         log_bad = np.log1p(-share) + bad @ np.log(right[0]) + good @ np.log1p(-right[0])
-        post = 1 / (1 + np.exp(np.clip(log_bad - log_good, -500, 500)))
+        before, post = post, 1 / (1 + np.exp(np.clip(log_bad - log_good, -500, 500)))
+        if np.abs(post - before).max(initial=0) <= settled:
+            break
         w_good, w_bad = weight * post, weight * (1 - post)
         right = np.array([(3 + w_bad @ bad) / (10 + w_bad @ (good + bad)), (98 + w_good @ good) / (100 + w_good @ (good + bad))])
         share = float(np.clip((w_good.sum() + 8.5) / (weight.sum() + 10), 0.02, 0.98))
+    else:
+        warnings.warn(f"the votes have not settled in {rounds} rounds", stacklevel=2)
     return post, right
 
 
@@ -90,7 +95,8 @@ def with_stats(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def judge(docs: DataFrame, text: str = "text", keep_at: float = 0.5, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Per document: the counts, each rule's vote, ``base_failed``, ``p_good`` and ``kept``."""
-    stats = staged(with_stats(docs, text), "rules")
+    made = {*STATS, *(f"vote_{r.name}" for r in rules), "p_good", "base_failed", "kept"}
+    stats = staged(with_stats(docs.drop(*(c for c in docs.columns if c in made and c != text)), text), "rules")
     voted = stats.withColumns({f"vote_{r.name}": r.vote() for r in rules})
     votes = [f"vote_{r.name}" for r in rules]
     found = voted.groupBy(*votes).count().collect()  # at most 3 ** len(rules) rows

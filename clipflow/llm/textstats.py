@@ -73,8 +73,9 @@ def doc_stats(text: str | None) -> tuple[int, ...]:
     count = lambda chars: len(raw) - len(raw.translate(None, chars))
     symbols = SYMBOLS.encode()
     n_symbols = count(symbols)
+    bare = [w.translate(None, symbols) for w in words] if n_symbols else []
     return (
         n, len(text) - count(BLANKS.encode()), n_symbols, dup, repeated_words(words, index), len(lines), len(text), len(index),
-        count(UPPER), count(LETTERS), count(DIGITS), raw.count(b"!"), raw.count(b"."), int((lengths <= 3).sum()) - raw.count(b" | "),
-        sum(1 for w in words if w.translate(None, symbols) != w) if n_symbols else 0, int((lengths * lengths).sum()), int(lengths.max(initial=0)),
+        count(UPPER), count(LETTERS), count(DIGITS), raw.count(b"!"), raw.count(b"."), int((lengths <= 3).sum()) - sum(1 for w, b in zip(words, bare, strict=False) if not b and len(w) <= 3),
+        sum(1 for w, b in zip(words, bare, strict=False) if b != w), int((lengths * lengths).sum()), int(lengths.max(initial=0)),
     )

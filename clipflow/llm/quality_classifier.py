@@ -164,9 +164,10 @@ def score_stats(stats: DataFrame, model: Model) -> DataFrame:
 
 
 def keep(docs: DataFrame, labels: DataFrame, at: float = 0.3) -> DataFrame:
-    """The documents whose score is ``at`` or more, with their own columns."""
+    """The documents whose score is ``at`` or more, with their own columns, one named score among them."""
     model = fit(staged(statistics(docs), "stats"), labels)
-    return score(docs, model).where(F.col("score") >= at).select(*docs.columns)
+    boxed = docs.select(F.struct("*").alias("row"), F.col("text").alias("__text"))
+    return score(boxed, model, "__text").where(F.col("score") >= at).select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

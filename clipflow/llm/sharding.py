@@ -5,7 +5,7 @@ each goes to the shard where the dot product of its demand with the residual cap
 fits (if it fits nowhere: among all, by the least overflow).
 
 A group stays whole unless it exceeds a shard's capacity in bytes, tokens or rows; such a group is dealt in PIECES parts by a
-hash of doc_id. At most 3 * shards groups can exceed it. Groups smaller than 1 / BUNDLES of the total in all three are bundled
+hash of the row (rows repeated under one doc_id are dealt too). At most 3 * shards groups can exceed it. Groups smaller than 1 / BUNDLES of the total in all three are bundled
 by a hash of their text, BUNDLES bundles in all, so the packing itself works on a number of rows that is bounded whatever the
 table holds: BUNDLES bundles, 3 * BUNDLES larger groups, 3 * shards * PIECES parts.
 
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,16 +30,16 @@ BLOCK_ROWS = 50_000
 
 
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, size, tokens (runs of characters between blanks), text_crc32 and the group key."""
+    """doc_id, size, tokens (runs of characters between blanks), text_crc32, the group key and a number that deals even equal rows apart."""
     t = F.coalesce(text, F.lit(""))
     raw = t.cast("binary")
-    words = F.trim(F.regexp_replace(t, "[\\x20\\x09-\\x0D]+", " "))
     return docs.select(
         "doc_id",
         (F.octet_length(t) + 1).cast("long").alias("size"),
-        F.when(F.length(words) == 0, 0).otherwise(F.length(words) - F.length(F.translate(words, " ", "")) + 1).cast("long").alias("tokens"),
+        F.regexp_count(t, F.lit("[^\\x20\\x09-\\x0D]+")).cast("long").alias("tokens"),
         F.crc32(raw).alias("text_crc32"),
         F.coalesce(F.md5(F.col(text).cast("binary")), F.lit("null")).alias("key"),
+        F.xxhash64("doc_id", F.monotonically_increasing_id()).alias("dealt"),
     )
 
 
@@ -59,9 +60,9 @@ def pack(demand: np.ndarray, shards: int) -> np.ndarray:
 
 def assign(docs: DataFrame, shards: int, text: str = "text", bundles: int = BUNDLES) -> DataFrame:
     """doc_id, size, text_crc32, tokens, key and shard."""
-    rows = staged(measured(docs, text).withColumn("piece", F.pmod(F.xxhash64("doc_id"), F.lit(PIECES))), "sizes")
+    rows = staged(measured(docs, text).withColumn("piece", F.pmod("dealt", F.lit(PIECES))), "sizes")
     sums = [F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.sum("n").alias("n")]
-    pieces = rows.groupBy("key", "piece").agg(F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.count("*").alias("n"))
+    pieces = staged(rows.groupBy("key", "piece").agg(F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.count("*").alias("n")), "pieces")
     groups = staged(pieces.groupBy("key").agg(*sums), "groups")
     all_ = groups.agg(*sums).first()
     if not all_["n"]:
@@ -89,14 +90,12 @@ def assign(docs: DataFrame, shards: int, text: str = "text", bundles: int = BUND
 def slotted(placed: DataFrame, n_rows: int) -> DataFrame:
     """``placed`` with slot: 0, 1, ... within each shard. Rows are numbered in blocks, and blocks start where the last ended."""
     blocks = max(1, -(-n_rows // BLOCK_ROWS))
-    rows = placed.withColumn("block", F.pmod(F.xxhash64("doc_id", "key"), F.lit(blocks)).cast("int"))
-    from pyspark.sql import Window as W
-
+    rows = placed.withColumn("block", F.pmod(F.xxhash64("dealt"), F.lit(blocks)).cast("int"))
     counts = rows.groupBy("shard", "block").count()
     before = F.sum("count").over(W.partitionBy("shard").orderBy("block").rowsBetween(W.unboundedPreceding, -1))
     starts = counts.select("shard", "block", F.coalesce(before, F.lit(0)).alias("start"))
     number = F.row_number().over(W.partitionBy("shard", "block").orderBy("doc_id", "text_crc32"))
-    return rows.withColumn("slot", number.cast("long") - 1).join(starts, ["shard", "block"]).withColumn("slot", F.col("slot") + F.col("start")).drop("start", "block")
+    return rows.withColumn("slot", number.cast("long") - 1).join(starts, ["shard", "block"]).withColumn("slot", F.col("slot") + F.col("start")).drop("start", "block", "dealt")
 
 
 def query(spark, sf_dir: str, shards: int = 8) -> DataFrame:

@@ -4,7 +4,7 @@ A rolling hash over the last WINDOW bytes cuts texts into chunks, so equal passa
 chunk's core runs from its first anchor to its last: places where a letter is followed by a blank and a letter, at which the
 pattern that splits text before the merges starts a piece in every reading. Cores are encoded once and reused; each join
 between two cores is repaired by encoding the text between them together with the word on either side, and is accepted when
-those words get the ids they had; else the whole text is encoded afresh.
+those words get the ids they had; else it is widened by the core on the side that disagrees and encoded again, until they agree.
 
 Documents that share content are sent to the same task: they are dealt by the least hash of their chunks, and a least hash
 that very many documents have is dealt over several tasks. So the store of encoded chunks is local to a task and bounded
@@ -121,25 +121,38 @@ class Encoder:
         if not text:
             return np.zeros(0, np.uint32)
         raw, encode = text.encode(), self.vocabulary.encode
-        out, between, word, word_ids = [], b"", b"", np.zeros(0, np.uint32)
+        held: list[tuple] = []  # joins and cores that agree: what stood before, ids of the join, core, its ids
+        between, word, word_ids = b"", b"", np.zeros(0, np.uint32)
         for chunk in chunks(raw):
             core = self.core(chunk)
             if core is None:
                 between += chunk
                 continue
             head, ids, first, first_ids, last, last_ids, tail = core
-            joint = encode(word + between + head + first)
-            a, b = len(word_ids), len(joint) - len(first_ids)
-            if a > b or not (np.array_equal(joint[:a], word_ids) and np.array_equal(joint[b:], first_ids)):
+            while True:
+                joint = encode(word + between + head + first)
+                a, b = len(word_ids), len(joint) - len(first_ids)
+                if held and (a > b or not np.array_equal(joint[:a], word_ids)):
+                    between, word, word_ids = self.widened(held, between)
+                    continue
+                break
+            if a > b or not np.array_equal(joint[b:], first_ids):
                 self.repaired += 1
-                return encode(raw)
-            out += [joint[a:b], ids]
+                between += chunk  # this core is encoded with the next join
+                continue
+            held.append(((between, word, word_ids), head, joint[a:b], chunk[len(head) : len(chunk) - len(tail)], ids))
             between, word, word_ids = tail, last, last_ids
-        joint = encode(word + between)
-        if not np.array_equal(joint[: len(word_ids)], word_ids):
-            self.repaired += 1
-            return encode(raw)
-        return np.concatenate([*out, joint[len(word_ids) :]])
+        while True:
+            joint = encode(word + between)
+            if not held or np.array_equal(joint[: len(word_ids)], word_ids):
+                return np.concatenate([part for _, _, join, _, ids in held for part in (join, ids)] + [joint[len(word_ids) :]])
+            between, word, word_ids = self.widened(held, between)
+
+    def widened(self, held: list[tuple], between: bytes):
+        """Take the last core back into the text of the join."""
+        self.repaired += 1
+        (before, word, word_ids), head, _, core, _ = held.pop()
+        return before + head + core + between, word, word_ids
 
 
 def least_hash(text: str | None) -> int:
@@ -149,44 +162,45 @@ def least_hash(text: str | None) -> int:
 
 
 def colocated(docs: DataFrame, text: str) -> DataFrame:
-    """``docs`` dealt so that documents that share their least chunk are in one partition, hot ones in several."""
-    new = T.StructType([*docs.schema.fields, T.StructField("__least", T.LongType(), False)])
-
-    names = docs.columns
+    """row (the other columns) and text, dealt so that documents that share their least chunk are in one partition, hot ones in several."""
+    boxed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text), F.lit(None).cast("int").alias("__none")).alias("row"), F.col(text).alias("text"))
 
     def marked(batch):
-        return {n: batch.column(n) for n in names} | {"__least": [least_hash(t) for t in batch.column(text).to_pylist()]}
+        return {n: batch.column(n) for n in ("row", "text")} | {"least": [least_hash(t) for t in batch.column("text").to_pylist()]}
 
     def mark(batch):
-        return {"least": [least_hash(t) for t in batch.column("t").to_pylist()]}
+        return {"least": [least_hash(t) for t in batch.column("text").to_pylist()]}
 
-    counts = map_slices(docs.select(F.col(text).alias("t")), mark, "least long").groupBy("least").count()
+    counts = map_slices(boxed.select("text"), mark, "least long").groupBy("least").count()
     n = docs.count()
     most = max(LEAST_HOT, int(n * HOT_SHARE))
     hot = counts.where(F.col("count") > most).collect()  # fewer than 1 / HOT_SHARE rows
-    schema = "__least long, __ways long"
-    ways = docs.sparkSession.createDataFrame([(r.least, -(-r["count"] // most)) for r in hot], schema)
-    dealt = map_slices(docs, marked, new).join(F.broadcast(ways), "__least", "left")
-    by = F.pmod(F.xxhash64(names[0]), F.coalesce("__ways", F.lit(1)))
-    return dealt.withColumn("__way", by).repartition("__least", "__way").drop("__least", "__way", "__ways")
+    ways = docs.sparkSession.createDataFrame([(r.least, -(-r["count"] // most)) for r in hot], "least long, ways long")
+    new = T.StructType([*boxed.schema.fields, T.StructField("least", T.LongType(), False)])
+    dealt = map_slices(boxed, marked, new).join(F.broadcast(ways), "least", "left")
+    by = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.coalesce("ways", F.lit(1)))  # equal rows are dealt too
+    return dealt.withColumn("way", by).repartition("least", "way").select("row", "text")
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", keep_text: bool = False) -> DataFrame:
     """``docs`` with ``ids``, without the text unless it is asked for."""
-    kept = [f for f in docs.schema.fields if f.name != "ids" and (keep_text or f.name != text)]
+    boxed = colocated(docs, text)
+    kept = [f for f in boxed.schema.fields if keep_text or f.name == "row"]
     schema = T.StructType([*kept, T.StructField("ids", T.ArrayType(T.IntegerType(), False), False)])
     held: list[Encoder] = []
 
     def step(batch):
         if not held:
             held.append(Encoder(path))
-        found = [held[0](t) for t in batch.column(text).to_pylist()]
+        found = [held[0](t) for t in batch.column("text").to_pylist()]
         offsets = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)
         flat = pa.array(np.concatenate(found).astype(np.int32))
         ids = pa.ListArray.from_arrays(pa.array(offsets), flat, type=pa.list_(pa.field("element", pa.int32(), False)))
         return {f.name: batch.column(f.name) for f in kept} | {"ids": ids}
 
-    return map_slices(colocated(docs, text), step, schema)
+    out = map_slices(boxed, step, schema)
+    own = [F.col("row")[c].alias(c) for c in docs.columns if c not in (text, "ids")]
+    return out.select(*own, *([F.col("text").alias(text)] if keep_text else []), "ids")
 
 
 def decode(encoded: DataFrame, path: str, text: str = "text") -> DataFrame:

@@ -15,6 +15,7 @@ URLs of both kinds the models have no say and the verdict is allow. Repeated row
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,7 +29,7 @@ from clipflow.llm.common import table as read
 
 #: Host and path prefix, and what becomes of URLs that they fit.
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
-ORDER, BLOCK_BITS, BINS, APART = 5, 9, 4000, 5
+ORDER, BLOCK_BITS, BINS, APART = 5, 9, 16000, 5
 BLOCK = 1 << BLOCK_BITS
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Set in the code of a context, so that grams and contexts share one table.
@@ -91,7 +92,7 @@ def score(urls: list[str | None], table: pa.Table) -> np.ndarray:
         for c in (0, 1):
             total, followers = n[c][before], kinds[c][before]
             better = (n[c][gram] + followers * p[c]) / np.maximum(total + followers, 1)
-            p[c] = np.where(there & (total > 0), np.clip(better, 1e-12, 1), p[c])
+            p[c] = np.where(there & (total > 0), better, p[c])
     log = np.log(p[1]) - np.log(p[0])
     return np.bincount(of, log, len(urls)) / np.maximum(np.bincount(of, minlength=len(urls)), 1)
 
@@ -164,7 +165,7 @@ def fit(judged: DataFrame, url: str = "url") -> Ratio | None:
     if {r.c for r in grams.select("c").distinct().collect()} != {0, 1}:
         return None
     table = staged(tabled(grams), "url-model")
-    bins = F.greatest(F.lit(0), F.least(F.lit(BINS - 1), F.floor((F.col("score") + 2) * (BINS / 4)))).cast("int")
+    bins = F.least(F.floor((F.atan("score") / math.pi + 0.5) * BINS), F.lit(BINS - 1)).cast("int")  # the whole line, finest around 0
     held = scored(known.where("apart").select("u", "c"), table).groupBy(bins.alias("bin"), "c").count().collect()  # 2 * BINS rows at most
     counts = np.zeros((2, BINS))
     for r in held:
@@ -174,7 +175,7 @@ def fit(judged: DataFrame, url: str = "url") -> Ratio | None:
     blocked, allowed = np.cumsum(counts[0]) / counts[0].sum(), 1 - np.cumsum(counts[1]) / counts[1].sum()
     gain = np.concatenate([[1.0], blocked + allowed])  # for thresholds below the first bin, then above each
     best = np.flatnonzero(gain >= gain.max() - 1e-12)
-    return Ratio(table, float(best[len(best) // 2] * 4 / BINS - 2))
+    return Ratio(table, math.tan((best[len(best) // 2] / BINS - 0.5) * math.pi))
 
 
 def judge(pages: DataFrame, url: str = "url", rules=RULES) -> DataFrame:

@@ -31,6 +31,8 @@ from clipflow.llm.graph import components
 
 SHINGLE, SEED, BITS_APART = 3, 42, 2
 SEGMENTS, GROUPS, CELL = 32, 5, 64
+#: Fingerprints of more than a share 1 / MOST_HOT of all rows (and than LEAST_HOT) are joined by broadcast.
+MOST_HOT, LEAST_HOT = 1000, 500
 BIT_TABLE = (np.arange(256)[:, None] >> np.arange(8)) & 1
 LANES = np.arange(8) * 256
 
@@ -97,19 +99,22 @@ def links(points: DataFrame, groups: int = GROUPS, most: int = CELL) -> DataFram
 
 
 def grouped(prints: DataFrame) -> DataFrame:
-    """prints: as ``fingerprints`` returns it, staged. Returns fp, and first: the component's least (no_id, doc_id, content)."""
-    least = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "content")).alias("first"))
+    """prints: as ``fingerprints`` returns it, staged. Returns fp, its rows, and first: the component's least (no_id, doc_id, content)."""
+    least = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "content")).alias("first"), F.count("*").alias("rows"))
     points = staged(least, "points")
     roots = components(links(points.select("fp")))
     placed = points.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     first = placed.groupBy("root").agg(F.min("first").alias("first"))
-    return placed.select("fp", "root").join(first, "root").select("fp", "first")
+    return placed.select("fp", "root", "rows").join(first, "root").select("fp", "first", "rows")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     """Per row of docs: doc_id, fingerprint (16 hex digits) and component_id."""
     prints = staged(fingerprints(docs, text), "prints")
-    out = prints.join(grouped(prints), "fp")
+    of, n = staged(grouped(prints), "components"), prints.count()
+    hot = F.broadcast(of.where(F.col("rows") > max(LEAST_HOT, n // MOST_HOT)).select("fp", "first"))  # fewer than MOST_HOT rows
+    rest = prints.join(hot.select("fp"), "fp", "left_anti").join(of.select("fp", "first"), "fp")
+    out = prints.join(hot, "fp").unionByName(rest)
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("first.doc_id").alias("component_id"))
 
 
@@ -119,8 +124,8 @@ def deduplicate(docs: DataFrame, text: str = "text") -> DataFrame:
     named = lambda doc_id, content: F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("none")), content.cast("string"))
     first = grouped(prints).select(named(F.col("first.doc_id"), F.col("first.content")).alias("__name")).distinct()
     # one name for both steps: the texts are dealt once
-    stay = docs.withColumn("__name", named(F.col("doc_id"), F.xxhash64(text))).join(first, "__name", "left_semi")
-    return stay.dropDuplicates(["__name"]).select(*docs.columns)
+    boxed = docs.select(F.struct("*").alias("row"), named(F.col("doc_id"), F.xxhash64(text)).alias("__name"))
+    return boxed.join(first, "__name", "left_semi").dropDuplicates(["__name"]).select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -16,9 +16,9 @@ def read_frames(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """The last record of each id; blank lines are skipped."""
+    """The last record of each id; blank lines are skipped, a line that is no record fails the read."""
     try:
-        rows = spark.read.schema(schemas.MANIFEST).option("mode", "DROPMALFORMED").json(path)
+        rows = spark.read.schema(schemas.MANIFEST).option("mode", "FAILFAST").json(path)
     except AnalysisException as error:
         raise FileNotFoundError(f"no manifest at {path}") from error
     last = F.row_number().over(W.partitionBy("id").orderBy(F.desc("line")))
@@ -40,6 +40,15 @@ def read_annotations(spark: SparkSession, path: str, split: str) -> DataFrame:
     return rows.where(F.col("split") == split)
 
 
+def read_hand_presence(spark: SparkSession, path: str) -> DataFrame | None:
+    """Per frame: idx and present (some hand was seen). None where there is no such file: rows that need it are left out."""
+    try:
+        rows = spark.read.schema("i long, n_hands int").json(path)
+    except AnalysisException:
+        return None
+    return rows.where("i IS NOT NULL").select(F.col("i").alias("idx"), (F.col("n_hands") > 0).alias("present"))
+
+
 def read_prompts(spark: SparkSession, path: str) -> DataFrame:
     """Prompt lines ``category<TAB>sentence``; blank lines, comments and empty sentences go. Numbered in line order: a prompt file is one small file."""
     lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("line", "value"))

@@ -10,6 +10,13 @@ A cell with more than CELL points is not paired: each of its points names itself
 points that name the same one are linked to the least of them. That finds exactly the pairs within two bits and emits 65
 rows a point, so a large group of near copies costs in proportion to its size.
 
+``deduplicate`` links by another rule, that of near copies: texts whose sets of 5-word shingles have a Jaccard similarity of
+0.8 or more. Such texts differ in more than two bits (most in 3 to 11), which no grid finds with certainty. So the same embedding is
+cut into more grids, each over a random choice among the segments of the fingerprint and of a second one of the same shingles;
+their number follows from the chance of a miss at SEGMENTS_APART differing segments, and the segments in a grid from the number
+of points, so that cells stay small. Pairs of a cell within RADIUS bits, and all pairs within two bits, are then compared shingle by shingle. A cell of more than
+WIDE_CELL points is not paired but compared with its least point, and split three ways by further segments.
+
 Only distinct fingerprints take part, so exact copies, and all texts without words (fingerprint zero), are one point.
 Null text: no words. Null doc_id: kept as a row; it is never a component's id unless the whole component has none.
 Repeated rows stay rows. An empty table gives an empty result.
@@ -17,11 +24,14 @@ Repeated rows stay rows. An empty table gives an empty result.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
+from math import ceil, comb, log, log1p, log2
 
 import numpy as np
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,31 +43,57 @@ SHINGLE, SEED, BITS_APART = 3, 42, 2
 SEGMENTS, GROUPS, CELL = 32, 5, 64
 #: Fingerprints of more than a share 1 / MOST_HOT of all rows (and than LEAST_HOT) are joined by broadcast.
 MOST_HOT, LEAST_HOT = 1000, 500
+#: Near copies: words of a shingle, least similarity, most differing bits of a candidate.
+WORDS, SIMILARITY, RADIUS = 5, 0.8, 14
+#: The wide grids miss a pair that differs in SEGMENTS_APART segments with the chance MISS; POINTS: what a cell holds on average.
+SEGMENTS_APART, MISS, POINTS, WIDE_CELL, SPLITS = 14, 0.05, 8, 16, 3
+#: An odd factor, fixed: the second fingerprint is made of the hashes times it, upper and lower halves folded.
+SECOND = np.uint64(0x9E3779B97F4A7C15)
 BIT_TABLE = (np.arange(256)[:, None] >> np.arange(8)) & 1
 LANES = np.arange(8) * 256
 
 
-def fingerprint(text: str | None) -> int:
+def shingle_hashes(text: str | None) -> np.ndarray:
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     if len(words) < SHINGLE:
         shingles = [b" ".join(words)]
     else:
         shingles = map(b"%b %b %b".__mod__, zip(words, words[1:], words[2:], strict=False))
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(s, SEED) for s in shingles], "<u8")
+    return np.array([digest(s, SEED) for s in shingles], np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Each bit 1 if set in over half the hashes, as a signed long."""
     counts = np.bincount((hashes.view(np.uint8).reshape(-1, 8) + LANES).ravel(), minlength=2048).reshape(8, 256) @ BIT_TABLE
     return int(np.packbits((2 * counts > len(hashes)).ravel(), bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long) and content, a 64-bit hash of the text."""
+def fingerprint(text: str | None) -> int:
+    return majority(shingle_hashes(text))
+
+
+def two_fingerprints(text: str | None) -> tuple[int, int]:
+    hashes = shingle_hashes(text)
+    mixed = hashes * SECOND
+    return majority(hashes), majority(mixed ^ (mixed >> np.uint64(32)))
+
+
+def fingerprints(docs: DataFrame, text: str = "text", second: bool = False) -> DataFrame:
+    """doc_id, fp (the fingerprint as a signed long), content, a 64-bit hash of the text, and fp2, a second one, if asked for."""
 
     def step(batch):
-        return {"doc_id": batch.column("doc_id"), "content": batch.column("content"), "fp": np.array([fingerprint(t) for t in batch.column("t").to_pylist()], np.int64)}
+        texts = batch.column("t").to_pylist()
+        found = {"doc_id": batch.column("doc_id"), "content": batch.column("content")}
+        if not second:
+            return found | {"fp": np.array([fingerprint(t) for t in texts], np.int64)}
+        both = np.array([two_fingerprints(t) for t in texts], np.int64).reshape(-1, 2)
+        return found | {"fp": both[:, 0], "fp2": both[:, 1]}
 
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("content", T.LongType()), T.StructField("fp", T.LongType(), False)])
+    long = [T.StructField(name, T.LongType(), False) for name in (["fp", "fp2"] if second else ["fp"])]
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("content", T.LongType()), *long])
     return map_slices(docs.select("doc_id", F.xxhash64(text).alias("content"), F.col(text).alias("t")), step, schema)
 
 
@@ -118,14 +154,107 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("first.doc_id").alias("component_id"))
 
 
+def signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def segments(which) -> int:
+    return signed(sum(3 << (2 * int(s)) for s in which))
+
+
+def wide_masks(n: int) -> list[tuple[int, int]]:
+    """The segments of each wide grid for ``n`` points, in both fingerprints. A segment count holds 1.5 bits of entropy."""
+    kept = min(40, max(4, ceil(log2(max(n, 2) / POINTS) / 1.5)))
+    met = comb(2 * SEGMENTS - SEGMENTS_APART, kept) / comb(2 * SEGMENTS, kept)
+    rng = np.random.default_rng(SEED)
+    chosen = [rng.choice(2 * SEGMENTS, kept, replace=False) for _ in range(ceil(log(MISS) / log1p(-met)))]
+    return [(segments(c[c < SEGMENTS]), segments(c[c >= SEGMENTS] - SEGMENTS)) for c in chosen]
+
+
+def apart(a: str, b: str):
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
+
+
+def candidates(points: DataFrame) -> DataFrame:
+    """points: distinct longs fp, and fp2. Returns a < b, distinct: all within two bits as ``links`` gives them, and those of the wide grids within RADIUS."""
+    masks = wide_masks(points.count())
+    at, at2 = embed(), embed("fp2")
+    cells = F.array(*(F.xxhash64(F.lit(i), at.bitwiseAND(F.lit(m)), at2.bitwiseAND(F.lit(m2))) for i, (m, m2) in enumerate(masks)))
+    placed = points.select("fp", F.explode(cells).alias("cell"))
+    found = [links(points.select("fp"))]
+    for last in (False, True):
+        cell = Window.partitionBy("cell")
+        held = placed.select("fp", "cell", F.count("*").over(cell).alias("n"), F.min("fp").over(cell).alias("least")).where("n > 1")
+        few = held.where(F.col("n") <= WIDE_CELL).groupBy("cell").agg(F.collect_list("fp").alias("all"))
+        each = few.select(F.explode("all").alias("a"), "all")
+        near = F.filter("all", lambda y: (y > F.col("a")) & (F.bit_count(y.bitwiseXOR(F.col("a"))) <= RADIUS))
+        crowded = staged(held.where(F.col("n") > WIDE_CELL).select("fp", "cell", "least"), "crowded")
+        found.append(each.select("a", F.explode(near).alias("b")))
+        found.append(crowded.select(F.col("least").alias("a"), F.col("fp").alias("b")).where((F.col("a") < F.col("b")) & (apart("a", "b") <= RADIUS)))
+        if not last:
+            thirds = [F.xxhash64(F.lit(i), "cell", at.bitwiseAND(F.lit(segments(range(i, SEGMENTS, SPLITS))))) for i in range(SPLITS)]
+            placed = crowded.select("fp", F.explode(F.array(*thirds)).alias("cell"))
+    return reduce(DataFrame.union, found).distinct()
+
+
+def shingle_set(text: str | None) -> np.ndarray:
+    """Hashes of the distinct shingles of WORDS words (fewer words: the whole sequence; none: one for all such texts)."""
+    words = (text or "").encode().lower().split()
+    shingles = {b" ".join(words[i : i + WORDS]) for i in range(max(1, len(words) - WORDS + 1))}
+    return np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), np.uint64, len(shingles)).view(np.int64)
+
+
+def shingle_sets(texts: DataFrame) -> DataFrame:
+    """texts: content, t. Returns content and its shingles."""
+
+    def step(batch):
+        return {"content": batch.column("content"), "shingles": pa.array([shingle_set(t) for t in batch.column("t").to_pylist()], pa.list_(pa.int64()))}
+
+    return map_slices(texts, step, "content long, shingles array<long>")
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs of contents a, b whose shingle sets are SIMILARITY or more alike."""
+    left = sets.select(F.col("content").alias("a"), F.col("shingles").alias("s"))
+    right = sets.select(F.col("content").alias("b"), F.col("shingles").alias("s2"))
+    both = pairs.select("a", "b").join(left, "a").join(right, "b").withColumn("shared", F.size(F.array_intersect("s", "s2")))
+    return both.where(F.col("shared") >= SIMILARITY * (F.size("s") + F.size("s2") - F.col("shared"))).select("a", "b")
+
+
+def named(doc_id, content):
+    return F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("none")), content.cast("string"))
+
+
 def deduplicate(docs: DataFrame, text: str = "text") -> DataFrame:
-    """One document of each component: the one with the least doc_id (ties: least content hash); repeats of it go."""
-    prints = staged(fingerprints(docs, text), "prints")
-    named = lambda doc_id, content: F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("none")), content.cast("string"))
-    first = grouped(prints).select(named(F.col("first.doc_id"), F.col("first.content")).alias("__name")).distinct()
-    # one name for both steps: the texts are dealt once
-    boxed = docs.select(F.struct("*").alias("row"), named(F.col("doc_id"), F.xxhash64(text)).alias("__name"))
-    return boxed.join(first, "__name", "left_semi").dropDuplicates(["__name"]).select("row.*")
+    """One document of each group of near copies: the one with the least doc_id (ties: least content hash); repeats of it go.
+
+    Each text is first compared with its nearest candidate only; what lies in one group then needs no further comparison.
+    """
+    prints = staged(fingerprints(docs, text, second=True), "prints")
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "content")
+    contents = staged(prints.groupBy("content").agg(F.min(first).alias("first"), F.min("fp").alias("fp"), F.min("fp2").alias("fp2")), "contents")
+    points = staged(contents.groupBy("fp").agg(F.min("content").alias("a"), F.min("fp2").alias("fp2")), "points")
+    ends = candidates(points.select("fp", "fp2")).select(F.col("a").alias("x"), F.col("b").alias("y"))
+    ends = ends.join(points.select(F.col("fp").alias("x"), "a"), "x").join(points.select(F.col("fp").alias("y"), F.col("a").alias("b")), "y")
+    other = ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), apart("x", "y").alias("bits"))
+    same = contents.join(points.select("fp", "a"), "fp").where(F.col("content") != F.col("a")).select("a", F.col("content").alias("b"), F.lit(0).alias("bits"))
+    pairs = staged(other.union(same), "pairs")
+
+    # doc_id and content together name a text, so that copies of one text are not dealt to one task
+    boxed = docs.select(F.struct("*").alias("row"), F.col(text).alias("t"), F.xxhash64(text).alias("content"), named(F.col("doc_id"), F.xxhash64(text)).alias("__name"))
+    needed = pairs.select(F.col("a").alias("content")).union(pairs.select("b")).distinct()
+    names = contents.join(needed, "content", "left_semi").select(named(F.col("first.doc_id"), F.col("content")).alias("__name"))
+    texts = boxed.select("content", "t", "__name").join(names, "__name", "left_semi").dropDuplicates(["__name"])
+    sets = staged(shingle_sets(texts.select("content", "t")), "shingles")
+    nearest = pairs.groupBy("b").agg(F.min(F.struct("bits", F.xxhash64("a", "b"), "a")).alias("best")).select("best.a", "b")
+    sure = staged(verified(nearest, sets), "nearest")
+    roots = staged(components(sure), "groups")
+    of = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
+    apart_still = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
+    all_roots = components(sure.union(verified(apart_still.join(nearest, ["a", "b"], "left_anti"), sets)))
+    placed = contents.join(all_roots.withColumnRenamed("node", "content"), "content", "left").withColumn("root", F.coalesce("root", "content"))
+    stays = placed.groupBy("root").agg(F.min("first").alias("first")).select(named(F.col("first.doc_id"), F.col("first.content")).alias("__name"))
+    return boxed.select("row", "__name").join(stays, "__name", "left_semi").dropDuplicates(["__name"]).select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

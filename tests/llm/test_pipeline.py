@@ -4,10 +4,10 @@ import hashlib
 from collections import Counter
 
 import pytest
-from test_contracts import components, norm, print_of, rows, run
+from test_contracts import norm, rows, run
 
 import corpus_pipeline as P
-from clipflow.llm import decontaminate
+from clipflow.llm import decontaminate, simhash
 
 
 @pytest.fixture(params=["edge", "sf"])
@@ -15,6 +15,43 @@ def path(request):
     return request.getfixturevalue(request.param)
 
 
+def shingles(text):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def near_copies(texts):
+    """For each text the least position in its component of pairs with a Jaccard similarity of 0.8 or more, over all pairs."""
+    sets, root = [shingles(t) for t in texts], list(range(len(texts)))
+    for y in range(len(texts)):
+        for x in range(y):
+            a, b = sorted((len(sets[x]), len(sets[y])))
+            if root[x] != root[y] and a >= 0.8 * b and (c := len(sets[x] & sets[y])) >= 0.8 * (a + b - c):
+                old, new = max(root[x], root[y]), min(root[x], root[y])
+                root = [new if r == old else r for r in root]
+    return root
+
+
+@pytest.mark.parametrize("edits, same", [(1, True), (2, True), (4, False)])
+def test_near_copies(spark, edits, same):
+    """Texts of 100 words with some replaced: 5-word similarities of 0.90, 0.81 and 0.65. All of the first two go, none of the last."""
+    base = [[f"w{g}x{i * 7919 % 1009}" for i in range(100)] for g in range(40)]
+    change = lambda words, k: [f"new{k}{i}" if i in range(10, 10 + 10 * k, 10) else w for i, w in enumerate(words)]
+    rows = [(g, " ".join(b)) for g, b in enumerate(base)] + [(100 + g, " ".join(change(b, edits))) for g, b in enumerate(base)]
+    alike = lambda x, y: len(x & y) / len(x | y)
+    assert (alike(shingles(rows[0][1]), shingles(rows[40][1])) >= 0.8) == same
+    kept = {r.doc_id for r in simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(range(40)) <= kept
+    assert len(kept) - 40 <= 4 if same else len(kept) == 80
+
+
+def test_large_group_of_near_copies(spark):
+    """Some 900 variants of one text in one crowded cell: one stays, found by the crowded cells' least points."""
+    base = [f"word{i}" for i in range(300)]
+    rows = [(n, " ".join(f"edit{n}" if i == n % 290 else w for i, w in enumerate(base))) for n in range(900)]
+    assert [r.doc_id for r in simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()] == [0]
+
+
 def test_stages(spark, path):
     docs = spark.read.parquet(f"{path}/documents.parquet")
     columns, stages = docs.columns, dict(P.STAGES)
@@ -27,12 +64,15 @@ def test_stages(spark, path):
 
     one = stages["simhash near-dedup"](spark, docs, path)
     assert one.columns == columns
-    given = [(d["doc_id"], print_of(d["text"]), d["text"]) for d in rows(path, "documents")]
-    root = components({p for _, p, _ in given})
+    given = [(d["doc_id"], d["text"]) for d in rows(path, "documents")]
+    root = near_copies([t for _, t in given])
     first = {}
-    for i, p, _ in given:
-        first[root[p]] = min((i is None, i or 0), first.get(root[p], (i is None, i or 0)))
-    assert Counter(None if n else i for n, i in first.values()) == Counter(r.doc_id for r in one.collect())
+    for (i, _), r in zip(given, root, strict=True):
+        first[r] = min((i is None, i or 0), first.get(r, (i is None, i or 0)))
+    firsts = Counter(None if n else i for n, i in first.values())
+    stays = Counter(r.doc_id for r in one.collect())
+    # the grids find most pairs, not all: none goes that should stay, and nine in ten of the rest go
+    assert not firsts - stays and stays.total() - firsts.total() <= 0.1 * (len(given) - firsts.total())
 
     clean = stages["benchmark decontamination"](spark, docs, path)
     hit = {(r["doc_id"], r["n_words"]): r["contaminated"] for r in run(spark, "op5_benchmark_decontamination", path)}

@@ -14,17 +14,16 @@ rows a point, so a large group of near copies costs in proportion to its size.
 0.8 or more. Such texts differ in more than two bits (most in 3 to 11), which no grid finds with certainty. So the same embedding is
 cut into more grids, each over a random choice among the segments of the fingerprint and of a second one of the same shingles;
 their number follows from the chance of a miss at SEGMENTS_APART differing segments, and the segments in a grid from the number
-of points, so that cells stay small. Pairs of a cell within RADIUS bits, and all pairs within two bits, are then compared shingle by shingle. A cell of more than
-WIDE_CELL points is not paired but compared with its least point, and split three ways by further segments.
+of points, so that cells stay small. Pairs of a cell within RADIUS bits, and all pairs within two bits, are then compared shingle by shingle. In a cell of more than
+WIDE_CELL points each is first compared with the least; then all pairs of the cell within RADIUS whose texts are not yet in one group are compared too (``across``).
 
-Only distinct fingerprints take part, so exact copies, and all texts without words (fingerprint zero), are one point.
+Only distinct fingerprints (``deduplicate``: distinct texts) take part, so exact copies, and all texts without words (fingerprint zero), are one point.
 Null text: no words. Null doc_id: kept as a row; it is never a component's id unless the whole component has none.
 Repeated rows stay rows. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from functools import reduce
 from itertools import combinations
 from math import ceil, comb, log, log1p, log2
 
@@ -46,7 +45,9 @@ MOST_HOT, LEAST_HOT = 1000, 500
 #: Near copies: words of a shingle, least similarity, most differing bits of a candidate.
 WORDS, SIMILARITY, RADIUS = 5, 0.8, 14
 #: The wide grids miss a pair that differs in SEGMENTS_APART segments with the chance MISS; POINTS: what a cell holds on average.
-SEGMENTS_APART, MISS, POINTS, WIDE_CELL, SPLITS = 14, 0.05, 8, 16, 3
+SEGMENTS_APART, MISS, POINTS, WIDE_CELL, BLOCK = 14, 0.05, 8, 16, 256
+#: Bins of a sketch, and most that differ: 24 expected at SIMILARITY, with a deviation of 4.4.
+BINS, MOST_BINS = 128, 42
 #: An odd factor, fixed: the second fingerprint is made of the hashes times it, upper and lower halves folded.
 SECOND = np.uint64(0x9E3779B97F4A7C15)
 BIT_TABLE = (np.arange(256)[:, None] >> np.arange(8)) & 1
@@ -171,30 +172,61 @@ def wide_masks(n: int) -> list[tuple[int, int]]:
     return [(segments(c[c < SEGMENTS]), segments(c[c >= SEGMENTS] - SEGMENTS)) for c in chosen]
 
 
-def apart(a: str, b: str):
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
-
-
-def candidates(points: DataFrame) -> DataFrame:
-    """points: distinct longs fp, and fp2. Returns a < b, distinct: all within two bits as ``links`` gives them, and those of the wide grids within RADIUS."""
-    masks = wide_masks(points.count())
-    at, at2 = embed(), embed("fp2")
-    cells = F.array(*(F.xxhash64(F.lit(i), at.bitwiseAND(F.lit(m)), at2.bitwiseAND(F.lit(m2))) for i, (m, m2) in enumerate(masks)))
-    placed = points.select("fp", F.explode(cells).alias("cell"))
-    found = [links(points.select("fp"))]
-    for last in (False, True):
-        cell = Window.partitionBy("cell")
-        held = placed.select("fp", "cell", F.count("*").over(cell).alias("n"), F.min("fp").over(cell).alias("least")).where("n > 1")
-        few = held.where(F.col("n") <= WIDE_CELL).groupBy("cell").agg(F.collect_list("fp").alias("all"))
-        each = few.select(F.explode("all").alias("a"), "all")
-        near = F.filter("all", lambda y: (y > F.col("a")) & (F.bit_count(y.bitwiseXOR(F.col("a"))) <= RADIUS))
-        crowded = staged(held.where(F.col("n") > WIDE_CELL).select("fp", "cell", "least"), "crowded")
-        found.append(each.select("a", F.explode(near).alias("b")))
-        found.append(crowded.select(F.col("least").alias("a"), F.col("fp").alias("b")).where((F.col("a") < F.col("b")) & (apart("a", "b") <= RADIUS)))
-        if not last:
-            thirds = [F.xxhash64(F.lit(i), "cell", at.bitwiseAND(F.lit(segments(range(i, SEGMENTS, SPLITS))))) for i in range(SPLITS)]
-            placed = crowded.select("fp", F.explode(F.array(*thirds)).alias("cell"))
-    return reduce(DataFrame.union, found).distinct()
+def near(x, y):
+    return F.bit_count(x["fp"].bitwiseXOR(y["fp"])) <= RADIUS
+
+
+def by_cell(rows: DataFrame, cells: DataFrame, hot: int) -> DataFrame:
+    """rows and cells: both with cell and n, its points. Cells of more than ``hot`` points, MOST_HOT a grid at most, are joined by broadcast."""
+    busy = rows.where(F.col("n") > hot).join(F.broadcast(cells.where(F.col("n") > hot).drop("n")), "cell")
+    return busy.unionByName(rows.where(F.col("n") <= hot).join(cells.where(F.col("n") <= hot).drop("n"), "cell"))
+
+
+def wide_cells(points: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """points: content, fp, fp2, ``n`` of them. Returns the pairs of small cells within RADIUS (x, y), and the rows of crowded cells (point, cell, n, least)."""
+    at, at2, hot = embed(), embed("fp2"), max(LEAST_HOT, n // MOST_HOT)
+    cells = F.array(*(F.xxhash64(F.lit(i), at.bitwiseAND(F.lit(m)), at2.bitwiseAND(F.lit(m2))) for i, (m, m2) in enumerate(wide_masks(n))))
+    placed = points.select(F.struct("content", "fp").alias("point"), F.explode(cells).alias("cell"))
+    busy = F.broadcast(staged(placed.groupBy("cell").agg(F.count("*").alias("n"), F.min("point").alias("least")).where(F.col("n") > hot), "busy"))
+    cell = Window.partitionBy("cell")
+    rest = placed.join(busy.select("cell"), "cell", "left_anti").select("point", "cell", F.count("*").over(cell).alias("n"), F.min("point").over(cell).alias("least"))
+    few = rest.where((F.col("n") > 1) & (F.col("n") <= WIDE_CELL)).groupBy("cell").agg(F.collect_list("point").alias("all"))
+    later = lambda y: (y["content"] > F.col("x.content")) & near(F.col("x"), y)
+    pairs = few.select(F.explode("all").alias("x"), "all").select("x", F.explode(F.filter("all", later)).alias("y"))
+    crowded = rest.where(F.col("n") > WIDE_CELL).unionByName(placed.join(busy, "cell").select("point", "cell", "n", "least"))
+    return pairs, staged(crowded, "crowded")
+
+
+def candidates(points: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """points: content, fp, fp2, staged. Returns a < b (contents), and the rows of crowded cells, of which only those with the least point are among the pairs."""
+    pairs, crowded = wide_cells(points, n)
+    stars = crowded.select(F.col("least").alias("x"), F.col("point").alias("y")).where((F.col("x.content") < F.col("y.content")) & near(F.col("x"), F.col("y")))
+    least = points.groupBy("fp").agg(F.min("content").alias("content"))
+    two = links(least.select("fp")).join(least.select(F.col("fp").alias("a"), F.col("content").alias("x")), "a").join(least.select(F.col("fp").alias("b"), F.col("content").alias("y")), "b")
+    same = points.join(least.select("fp", F.col("content").alias("x")), "fp").where(F.col("content") != F.col("x")).select("x", F.col("content").alias("y"))
+    found = pairs.union(stars).select(F.col("x.content").alias("x"), F.col("y.content").alias("y")).union(two.select("x", "y")).union(same)
+    return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), crowded
+
+
+def across(crowded: DataFrame, roots: DataFrame, n: int) -> DataFrame:
+    """All pairs a < b within RADIUS of crowded cells that the components so far leave apart.
+
+    A cell whose points are one component, as in a large group of copies, has none. In others the points outside the largest
+    component are held against all, block by block; only pairs within RADIUS are written.
+    """
+    hot = max(LEAST_HOT, n // MOST_HOT)
+    own = crowded.select("point", "cell", "n", F.col("point.content").alias("node")).join(roots, "node", "left")
+    own = staged(own.select("cell", "n", F.struct("point.*", F.coalesce("root", "node").alias("root")).alias("p")), "owned")
+    sizes = own.groupBy("cell", "n", F.col("p.root").alias("root")).agg(F.count("*").alias("held"))
+    mixed = sizes.groupBy("cell", "n").agg(F.max(F.struct("held", "root")).alias("most")).where(F.col("most.held") < F.col("n"))
+    rows = staged(by_cell(own, mixed, hot).withColumn("blocks", F.ceil(F.col("n") / BLOCK)), "mixed")
+    block = F.pmod(F.xxhash64("p.content"), F.col("blocks")).alias("block")
+    held = rows.groupBy("cell", block).agg(F.collect_list("p").alias("held"))
+    asking = rows.where(F.col("p.root") != F.col("most.root")).groupBy("cell", "blocks", block.alias("from")).agg(F.collect_list("p").alias("asking"))
+    met = asking.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).join(held, ["cell", "block"])
+    other = lambda y: (y["root"] != F.col("x.root")) & near(F.col("x"), y)
+    pairs = met.select(F.explode("asking").alias("x"), "held").select("x", F.explode(F.filter("held", other)).alias("y"))
+    return pairs.select(F.least("x.content", "y.content").alias("a"), F.greatest("x.content", "y.content").alias("b")).distinct()
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -204,21 +236,64 @@ def shingle_set(text: str | None) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), np.uint64, len(shingles)).view(np.int64)
 
 
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """BINS values of four bits, packed in longs: of each range of hashes the lowest four bits of its least hash (no hash: 0)."""
+    hashes = np.sort(shingles.view(np.uint64))
+    bins, at = np.unique((hashes >> np.uint64(57)).astype(np.int64), return_index=True)
+    four = np.zeros(BINS, np.uint8)
+    four[bins] = (hashes[at] & np.uint64(15)).astype(np.uint8)
+    return (four[::2] | four[1::2] << 4).view(np.int64)
+
+
 def shingle_sets(texts: DataFrame) -> DataFrame:
-    """texts: content, t. Returns content and its shingles."""
+    """texts: content, t. Returns content, its shingles and their sketch."""
 
     def step(batch):
-        return {"content": batch.column("content"), "shingles": pa.array([shingle_set(t) for t in batch.column("t").to_pylist()], pa.list_(pa.int64()))}
+        sets = [shingle_set(t) for t in batch.column("t").to_pylist()]
+        longs = pa.list_(pa.int64())
+        return {"content": batch.column("content"), "shingles": pa.array(sets, longs), "sketch": pa.array(map(sketch, sets), longs)}
 
-    return map_slices(texts, step, "content long, shingles array<long>")
+    return map_slices(texts, step, "content long, shingles array<long>, sketch array<long>")
+
+
+def differing(a: str, b: str):
+    """In how many bins two sketches differ."""
+    total = F.lit(0)
+    for i in range(BINS // 16):
+        x = F.col(a)[i].bitwiseXOR(F.col(b)[i])
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        total += F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(F.lit(0x1111111111111111)))
+    return total
+
+
+def likely(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs a, b whose sketches differ in MOST_BINS bins or fewer, with bins, their number.
+
+    A bin of two sets that are SIMILARITY alike or more differs with a chance of 1 - SIMILARITY at most: fewer than one such pair in 10,000 is lost.
+    """
+    left, right = (sets.select(F.col("content").alias(end), F.col("sketch").alias(f"k{end}")) for end in "ab")
+    both = pairs.select("a", "b").join(left, "a").join(right, "b")
+    return both.select("a", "b", differing("ka", "kb").alias("bins")).where(F.col("bins") <= MOST_BINS)
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs of contents a, b whose shingle sets are SIMILARITY or more alike."""
-    left = sets.select(F.col("content").alias("a"), F.col("shingles").alias("s"))
-    right = sets.select(F.col("content").alias("b"), F.col("shingles").alias("s2"))
-    both = pairs.select("a", "b").join(left, "a").join(right, "b").withColumn("shared", F.size(F.array_intersect("s", "s2")))
-    return both.where(F.col("shared") >= SIMILARITY * (F.size("s") + F.size("s2") - F.col("shared"))).select("a", "b")
+    """The pairs a, b whose shingle sets are SIMILARITY or more alike."""
+    left, right = (sets.select(F.col("content").alias(end), F.col("shingles").alias(f"s{end}")) for end in "ab")
+    both = pairs.select("a", "b").join(left, "a").join(right, "b").withColumn("shared", F.size(F.array_intersect("sa", "sb")))
+    return both.where(F.col("shared") >= SIMILARITY * (F.size("sa") + F.size("sb") - F.col("shared"))).select("a", "b")
+
+
+def nearest(pairs: DataFrame) -> DataFrame:
+    """For each end of the pairs a, b, bins the one with the fewest bins."""
+    best = lambda end: pairs.groupBy(end).agg(F.min(F.struct("bins", F.xxhash64("a", "b"), "a", "b")).alias("p")).select("p.a", "p.b")
+    return best("a").union(best("b")).distinct()
+
+
+def between(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs a, b whose ends ``roots`` leaves in two components."""
+    of = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
+    both = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
+    return both.select(pairs.columns)
 
 
 def named(doc_id, content):
@@ -228,30 +303,32 @@ def named(doc_id, content):
 def deduplicate(docs: DataFrame, text: str = "text") -> DataFrame:
     """One document of each group of near copies: the one with the least doc_id (ties: least content hash); repeats of it go.
 
-    Each text is first compared with its nearest candidate only; what lies in one group then needs no further comparison.
+    Each text is first compared with its nearest candidate only, by sketch; what lies in one group then needs no further comparison.
+    So again with the pairs that crowded cells add; then all pairs are compared whose ends still lie in two groups.
     """
     prints = staged(fingerprints(docs, text, second=True), "prints")
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "content")
     contents = staged(prints.groupBy("content").agg(F.min(first).alias("first"), F.min("fp").alias("fp"), F.min("fp2").alias("fp2")), "contents")
-    points = staged(contents.groupBy("fp").agg(F.min("content").alias("a"), F.min("fp2").alias("fp2")), "points")
-    ends = candidates(points.select("fp", "fp2")).select(F.col("a").alias("x"), F.col("b").alias("y"))
-    ends = ends.join(points.select(F.col("fp").alias("x"), "a"), "x").join(points.select(F.col("fp").alias("y"), F.col("a").alias("b")), "y")
-    other = ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), apart("x", "y").alias("bits"))
-    same = contents.join(points.select("fp", "a"), "fp").where(F.col("content") != F.col("a")).select("a", F.col("content").alias("b"), F.lit(0).alias("bits"))
-    pairs = staged(other.union(same), "pairs")
+    n = contents.count()
+    close, crowded = candidates(contents.select("content", "fp", "fp2"), n)
+    pairs = staged(close, "pairs")
 
     # doc_id and content together name a text, so that copies of one text are not dealt to one task
     boxed = docs.select(F.struct("*").alias("row"), F.col(text).alias("t"), F.xxhash64(text).alias("content"), named(F.col("doc_id"), F.xxhash64(text)).alias("__name"))
-    needed = pairs.select(F.col("a").alias("content")).union(pairs.select("b")).distinct()
+    needed = pairs.select(F.col("a").alias("content")).union(pairs.select("b")).union(crowded.select("point.content")).distinct()
     names = contents.join(needed, "content", "left_semi").select(named(F.col("first.doc_id"), F.col("content")).alias("__name"))
     texts = boxed.select("content", "t", "__name").join(names, "__name", "left_semi").dropDuplicates(["__name"])
     sets = staged(shingle_sets(texts.select("content", "t")), "shingles")
-    nearest = pairs.groupBy("b").agg(F.min(F.struct("bits", F.xxhash64("a", "b"), "a")).alias("best")).select("best.a", "b")
-    sure = staged(verified(nearest, sets), "nearest")
-    roots = staged(components(sure), "groups")
-    of = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
-    apart_still = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
-    all_roots = components(sure.union(verified(apart_still.join(nearest, ["a", "b"], "left_anti"), sets)))
+    sure, open_pairs = None, staged(likely(pairs, sets), "likely")
+    for name in ("first", "second"):
+        best = staged(nearest(open_pairs), f"{name}-nearest")
+        found = verified(best, sets)
+        sure = staged(found if sure is None else sure.union(found), f"{name}-sure")
+        roots = staged(components(sure), f"{name}-groups")
+        open_pairs = between(open_pairs, roots).join(best, ["a", "b"], "left_anti")
+        if name == "first":
+            open_pairs = staged(open_pairs.union(likely(across(crowded, roots, n), sets)).distinct(), "likely")
+    all_roots = components(sure.union(verified(open_pairs, sets)))
     placed = contents.join(all_roots.withColumnRenamed("node", "content"), "content", "left").withColumn("root", F.coalesce("root", "content"))
     stays = placed.groupBy("root").agg(F.min("first").alias("first")).select(named(F.col("first.doc_id"), F.col("first.content")).alias("__name"))
     return boxed.select("row", "__name").join(stays, "__name", "left_semi").dropDuplicates(["__name"]).select("row.*")

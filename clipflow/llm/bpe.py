@@ -11,13 +11,16 @@ that very many documents have is dealt over several tasks. So the store of encod
 (STORE_BYTES of text; it is emptied when full), and a chunk is encoded once for each task that meets it. The text is shuffled
 once; ids are not.
 
-Null text counts as empty: no ids. Repeated rows stay rows. An empty table gives an empty result. Columns ids and text of the
+Null text counts as empty: no ids. Very long runs of blanks are cut out by rule (LONG_BLANKS); chunks longer than LONGEST_KEPT
+are encoded wherever they stand and not kept for reuse. Repeated rows stay rows. An empty table gives an empty result. Columns ids and text of the
 result replace columns of those names; all others are passed through.
 """
 
 from __future__ import annotations
 
 import json
+import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +35,9 @@ from clipflow.llm.common import table as read
 
 #: The split pattern of this byte-level vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Runs of this many blanks are cut out before the pattern meets them; blanks as the pattern has them (Unicode White_Space).
+LONG_BLANKS = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{16384,}")
+#: LONGEST_KEPT: a longer chunk is encoded each time; few texts go so long without a cut.
 WINDOW, MEAN_BITS, STORE_BYTES, LONGEST_KEPT = 16, 10, 24 << 20, 1 << 15
 #: A least hash that more documents have than this share of them (and than LEAST_HOT) is dealt over several tasks.
 HOT_SHARE, LEAST_HOT = 1 / 1000, 500
@@ -58,10 +64,28 @@ class Vocabulary:
         ranks = {bytes(letters[c] for c in piece): i for piece, i in spec["model"]["vocab"].items() if piece not in added}
         self.encoding = tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=added)
         pieces = {i: p for p, i in ranks.items()} | {i: t.encode() for t, i in added.items()}
+        self.special = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         self.pieces = [pieces.get(i, b"") for i in range(max(pieces) + 1)]
 
-    def encode(self, text: bytes) -> np.ndarray:
-        return self.encoding.encode_to_numpy(text.decode(), allowed_special="all")
+    def encode(self, raw: bytes) -> np.ndarray:
+        text = raw.decode()
+        if not LONG_BLANKS.search(text):
+            return self.encoding.encode_to_numpy(text, allowed_special="all")
+        parts = [np.zeros(0, np.uint32)]
+        for k, segment in enumerate(self.special.split(text) if self.special else [text]):
+            parts += self.with_long_blanks(segment) if k % 2 == 0 else [self.encoding.encode_to_numpy(segment, allowed_special="all")]
+        return np.concatenate(parts)
+
+    def with_long_blanks(self, text: str) -> Iterator[np.ndarray]:
+        """The pattern takes a run of blanks as one piece up to its last blank, or whole at the end of the text. Cut there, since
+        its search steps back through the run blank by blank and would run out of stack in a very long one."""
+        at = 0
+        for run in LONG_BLANKS.finditer(text):
+            end = run.end() - (run.end() < len(text))
+            yield self.encoding.encode_to_numpy(text[at : run.start()], disallowed_special=())
+            yield np.array(self.encoding._encode_single_piece(text[run.start() : end].encode()), np.uint32)
+            at = end
+        yield self.encoding.encode_to_numpy(text[at:], disallowed_special=())
 
     def decode(self, ids) -> str:
         return b"".join(map(self.pieces.__getitem__, ids)).decode("utf-8", "replace")

@@ -40,8 +40,8 @@ CAPACITY, END_ID, SMALL, GROUPS = 1024, 2, 8, 80
 #: Configurations are used for this share of the pieces they cover. Places take pieces a little longer than the average of their
 #: group, so what is left is shorter and fits the space that rounding leaves: fewer sequences than with the whole.
 COVERED = 0.9
-#: Pieces that one window of the numbering is meant to hold.
-BLOCK_ROWS = 50_000
+#: Pieces that one window of the numbering is meant to hold, and the least number of windows a length is dealt over.
+BLOCK_ROWS, LEAST_BLOCKS = 50_000, 64
 OUT = ("piece", "start", "length", "ids_crc32", "ids", "sequence_id", "offset")
 
 
@@ -263,7 +263,7 @@ def taken(left: np.ndarray, most: int, number: int) -> list[tuple[int, int]]:
 
 def numbered(held: DataFrame, n_rows: int) -> DataFrame:
     """``held`` with number: 0, 1, ... among the pieces of a length, counted in blocks that start where the last ended."""
-    blocks = max(1, -(-n_rows // BLOCK_ROWS))
+    blocks = max(LEAST_BLOCKS, -(-n_rows // BLOCK_ROWS))
     rows = held.withColumn("block", F.pmod(F.xxhash64("rid"), F.lit(blocks)).cast("int"))
     counts = rows.groupBy("length", "block").count()
     before = F.sum("count").over(W.partitionBy("length").orderBy("block").rowsBetween(W.unboundedPreceding, -1))

@@ -11,11 +11,11 @@ points that name the same one are linked to the least of them. That finds exactl
 rows a point, so a large group of near copies costs in proportion to its size.
 
 ``deduplicate`` links by another rule, that of near copies: texts whose sets of 5-word shingles have a Jaccard similarity of
-0.8 or more. Such texts differ in more than two bits (most in 3 to 11), which no grid finds with certainty. So the same embedding is
-cut into more grids, each over a random choice among the segments of the fingerprint and of a second one of the same shingles;
-their number follows from the chance of a miss at SEGMENTS_APART differing segments, and the segments in a grid from the number
-of points, so that cells stay small. Pairs of a cell within RADIUS bits, and all pairs within two bits, are then compared shingle by shingle. In a cell of more than
-WIDE_CELL points each is first compared with the least; then all pairs of the cell within RADIUS whose texts are not yet in one group are compared too (``across``).
+0.8 or more. Such texts differ in 2 to 20 bits or so, where no grid of popcounts tells them from others, so the pairs within two bits are
+only some of its candidates; the others share one of BANDS bands of ROWS least hashes of their shingles. A pair at the least
+similarity is missed with a chance of 0.00065, whatever the size of the table. Sketches sift the candidates, and what is left is compared
+shingle by shingle. In a cell of more than CROWDED texts each is first compared with the least; then all pairs of the cell whose texts are
+not yet in one group are compared too (``across``).
 
 Only distinct fingerprints (``deduplicate``: distinct texts) take part, so exact copies, and all texts without words (fingerprint zero), are one point.
 Null text: no words. Null doc_id: kept as a row; it is never a component's id unless the whole component has none.
@@ -25,7 +25,6 @@ Repeated rows stay rows. An empty table gives an empty result.
 from __future__ import annotations
 
 from itertools import combinations
-from math import ceil, comb, log, log1p, log2
 
 import numpy as np
 import pyarrow as pa
@@ -42,14 +41,18 @@ SHINGLE, SEED, BITS_APART = 3, 42, 2
 SEGMENTS, GROUPS, CELL = 32, 5, 64
 #: Fingerprints of more than a share 1 / MOST_HOT of all rows (and than LEAST_HOT) are joined by broadcast.
 MOST_HOT, LEAST_HOT = 1000, 500
-#: Near copies: words of a shingle, least similarity, most differing bits of a candidate.
-WORDS, SIMILARITY, RADIUS = 5, 0.8, 14
-#: The wide grids miss a pair that differs in SEGMENTS_APART segments with the chance MISS; POINTS: what a cell holds on average.
-SEGMENTS_APART, MISS, POINTS, WIDE_CELL, BLOCK = 14, 0.05, 8, 16, 256
+#: Near copies: words of a shingle, least similarity.
+WORDS, SIMILARITY = 5, 0.8
+#: Bands of ROWS least hashes each: a pair of SIMILARITY exactly shares none with a chance of (1 - 0.8 ** 8) ** 40 = 0.00065.
+BANDS, ROWS = 40, 8
+#: A cell of more texts than this is not paired at once; then its rows are compared in blocks.
+CROWDED, BLOCK = 16, 256
 #: Bins of a sketch, and most that differ: 24 expected at SIMILARITY, with a deviation of 4.4.
 BINS, MOST_BINS = 128, 42
-#: An odd factor, fixed: the second fingerprint is made of the hashes times it, upper and lower halves folded.
-SECOND = np.uint64(0x9E3779B97F4A7C15)
+FACTORS = np.random.default_rng(SEED).integers(1 << 62, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
+MIX = np.random.default_rng(SEED + 1).integers(1 << 62, 1 << 63, (BANDS, ROWS), dtype=np.uint64) | np.uint64(1)
+#: Shingles that are multiplied by all factors at a time; bounds the memory of a long text.
+PART = 1024
 BIT_TABLE = (np.arange(256)[:, None] >> np.arange(8)) & 1
 LANES = np.arange(8) * 256
 
@@ -76,25 +79,19 @@ def fingerprint(text: str | None) -> int:
     return majority(shingle_hashes(text))
 
 
-def two_fingerprints(text: str | None) -> tuple[int, int]:
-    hashes = shingle_hashes(text)
-    mixed = hashes * SECOND
-    return majority(hashes), majority(mixed ^ (mixed >> np.uint64(32)))
-
-
-def fingerprints(docs: DataFrame, text: str = "text", second: bool = False) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long), content, a 64-bit hash of the text, and fp2, a second one, if asked for."""
+def fingerprints(docs: DataFrame, text: str = "text", near: bool = False) -> DataFrame:
+    """doc_id, fp (the fingerprint as a signed long), content, a 64-bit hash of the text, and, if asked for, bands and sketch of its near copies."""
 
     def step(batch):
         texts = batch.column("t").to_pylist()
-        found = {"doc_id": batch.column("doc_id"), "content": batch.column("content")}
-        if not second:
-            return found | {"fp": np.array([fingerprint(t) for t in texts], np.int64)}
-        both = np.array([two_fingerprints(t) for t in texts], np.int64).reshape(-1, 2)
-        return found | {"fp": both[:, 0], "fp2": both[:, 1]}
-
-    long = [T.StructField(name, T.LongType(), False) for name in (["fp", "fp2"] if second else ["fp"])]
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("content", T.LongType()), *long])
+        found = {"doc_id": batch.column("doc_id"), "content": batch.column("content"), "fp": np.array([fingerprint(t) for t in texts], np.int64)}
+        if near:
+            longs, sets = pa.list_(pa.int64()), [shingle_set(t) for t in texts]
+            found |= {"bands": pa.array(map(bands, sets), longs), "sketch": pa.array(map(sketch, sets), longs)}
+        return found
+
+    arrays = [T.StructField(name, T.ArrayType(T.LongType())) for name in ("bands", "sketch")] if near else []
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("content", T.LongType()), T.StructField("fp", T.LongType(), False), *arrays])
     return map_slices(docs.select("doc_id", F.xxhash64(text).alias("content"), F.col(text).alias("t")), step, schema)
 
 
@@ -155,76 +152,57 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("first.doc_id").alias("component_id"))
 
 
-def signed(mask: int) -> int:
-    return mask - (1 << 64) if mask >> 63 else mask
-
-
-def segments(which) -> int:
-    return signed(sum(3 << (2 * int(s)) for s in which))
-
-
-def wide_masks(n: int) -> list[tuple[int, int]]:
-    """The segments of each wide grid for ``n`` points, in both fingerprints. A segment count holds 1.5 bits of entropy."""
-    kept = min(40, max(4, ceil(log2(max(n, 2) / POINTS) / 1.5)))
-    met = comb(2 * SEGMENTS - SEGMENTS_APART, kept) / comb(2 * SEGMENTS, kept)
-    rng = np.random.default_rng(SEED)
-    chosen = [rng.choice(2 * SEGMENTS, kept, replace=False) for _ in range(ceil(log(MISS) / log1p(-met)))]
-    return [(segments(c[c < SEGMENTS]), segments(c[c >= SEGMENTS] - SEGMENTS)) for c in chosen]
-
-
-def near(x, y):
-    return F.bit_count(x["fp"].bitwiseXOR(y["fp"])) <= RADIUS
-
-
 def by_cell(rows: DataFrame, cells: DataFrame, hot: int) -> DataFrame:
     """rows and cells: both with cell and n, its points. Cells of more than ``hot`` points, MOST_HOT a grid at most, are joined by broadcast."""
     busy = rows.where(F.col("n") > hot).join(F.broadcast(cells.where(F.col("n") > hot).drop("n")), "cell")
     return busy.unionByName(rows.where(F.col("n") <= hot).join(cells.where(F.col("n") <= hot).drop("n"), "cell"))
 
 
-def wide_cells(points: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
-    """points: content, fp, fp2, ``n`` of them. Returns the pairs of small cells within RADIUS (x, y), and the rows of crowded cells (point, cell, n, least)."""
-    at, at2, hot = embed(), embed("fp2"), max(LEAST_HOT, n // MOST_HOT)
-    cells = F.array(*(F.xxhash64(F.lit(i), at.bitwiseAND(F.lit(m)), at2.bitwiseAND(F.lit(m2))) for i, (m, m2) in enumerate(wide_masks(n))))
-    placed = points.select(F.struct("content", "fp").alias("point"), F.explode(cells).alias("cell"))
-    busy = F.broadcast(staged(placed.groupBy("cell").agg(F.count("*").alias("n"), F.min("point").alias("least")).where(F.col("n") > hot), "busy"))
+def band_cells(points: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """points: content, bands, ``n`` of them. Returns the pairs of small cells (x, y), and the rows of crowded cells (content, cell, n, least).
+
+    A cell is a band's value. Cells of very many texts, fewer than MOST_HOT a band, are counted first and not gathered."""
+    hot = max(LEAST_HOT, n // MOST_HOT)
+    placed = points.select("content", F.explode("bands").alias("cell"))
+    busy = F.broadcast(staged(placed.groupBy("cell").agg(F.count("*").alias("n"), F.min("content").alias("least")).where(F.col("n") > hot), "busy"))
     cell = Window.partitionBy("cell")
-    rest = placed.join(busy.select("cell"), "cell", "left_anti").select("point", "cell", F.count("*").over(cell).alias("n"), F.min("point").over(cell).alias("least"))
-    few = rest.where((F.col("n") > 1) & (F.col("n") <= WIDE_CELL)).groupBy("cell").agg(F.collect_list("point").alias("all"))
-    later = lambda y: (y["content"] > F.col("x.content")) & near(F.col("x"), y)
-    pairs = few.select(F.explode("all").alias("x"), "all").select("x", F.explode(F.filter("all", later)).alias("y"))
-    crowded = rest.where(F.col("n") > WIDE_CELL).unionByName(placed.join(busy, "cell").select("point", "cell", "n", "least"))
+    rest = placed.join(busy.select("cell"), "cell", "left_anti").select("content", "cell", F.count("*").over(cell).alias("n"), F.min("content").over(cell).alias("least"))
+    rest = staged(rest.where("n > 1"), "cells")
+    few = rest.where(F.col("n") <= CROWDED).groupBy("cell").agg(F.collect_list("content").alias("all"))
+    pairs = few.select(F.explode("all").alias("x"), "all").select("x", F.explode(F.filter("all", lambda y: y > F.col("x"))).alias("y"))
+    crowded = rest.where(F.col("n") > CROWDED).unionByName(placed.join(busy, "cell").select("content", "cell", "n", "least"))
     return pairs, staged(crowded, "crowded")
 
 
 def candidates(points: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
-    """points: content, fp, fp2, staged. Returns a < b (contents), and the rows of crowded cells, of which only those with the least point are among the pairs."""
-    pairs, crowded = wide_cells(points, n)
-    stars = crowded.select(F.col("least").alias("x"), F.col("point").alias("y")).where((F.col("x.content") < F.col("y.content")) & near(F.col("x"), F.col("y")))
+    """points: content, fp, bands, staged. Returns a < b (contents), and the rows of crowded cells, of which only those with the least text are among the pairs."""
+    pairs, crowded = band_cells(points, n)
+    stars = crowded.select(F.col("least").alias("x"), F.col("content").alias("y")).where("x <> y")
     least = points.groupBy("fp").agg(F.min("content").alias("content"))
     two = links(least.select("fp")).join(least.select(F.col("fp").alias("a"), F.col("content").alias("x")), "a").join(least.select(F.col("fp").alias("b"), F.col("content").alias("y")), "b")
     same = points.join(least.select("fp", F.col("content").alias("x")), "fp").where(F.col("content") != F.col("x")).select("x", F.col("content").alias("y"))
-    found = pairs.union(stars).select(F.col("x.content").alias("x"), F.col("y.content").alias("y")).union(two.select("x", "y")).union(same)
+    found = pairs.union(stars).union(two.select("x", "y")).union(same)
     return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), crowded
 
 
-def across(crowded: DataFrame, roots: DataFrame, n: int) -> DataFrame:
-    """All pairs a < b within RADIUS of crowded cells that the components so far leave apart.
+def across(crowded: DataFrame, roots: DataFrame, sketches: DataFrame, n: int) -> DataFrame:
+    """All pairs a < b of crowded cells that the components so far leave apart and whose sketches may be alike.
 
-    A cell whose points are one component, as in a large group of copies, has none. In others the points outside the largest
-    component are held against all, block by block; only pairs within RADIUS are written.
+    A cell whose texts are one component, as in a large group of copies, has none. In others the texts outside the largest
+    component are held against all, block by block; only pairs of likely sketches are written.
     """
     hot = max(LEAST_HOT, n // MOST_HOT)
-    own = crowded.select("point", "cell", "n", F.col("point.content").alias("node")).join(roots, "node", "left")
-    own = staged(own.select("cell", "n", F.struct("point.*", F.coalesce("root", "node").alias("root")).alias("p")), "owned")
-    sizes = own.groupBy("cell", "n", F.col("p.root").alias("root")).agg(F.count("*").alias("held"))
+    own = crowded.select("content", "cell", "n").join(roots.select(F.col("node").alias("content"), "root"), "content", "left").withColumn("root", F.coalesce("root", "content"))
+    own = staged(own, "owned")
+    sizes = own.groupBy("cell", "n", "root").agg(F.count("*").alias("held"))
     mixed = sizes.groupBy("cell", "n").agg(F.max(F.struct("held", "root")).alias("most")).where(F.col("most.held") < F.col("n"))
-    rows = staged(by_cell(own, mixed, hot).withColumn("blocks", F.ceil(F.col("n") / BLOCK)), "mixed")
+    rows = by_cell(own, mixed, hot).join(sketches, "content").withColumn("blocks", F.ceil(F.col("n") / BLOCK))
+    rows = staged(rows.withColumn("p", F.struct("content", "root", "sketch")).select("cell", "blocks", "most", "p"), "mixed")
     block = F.pmod(F.xxhash64("p.content"), F.col("blocks")).alias("block")
     held = rows.groupBy("cell", block).agg(F.collect_list("p").alias("held"))
     asking = rows.where(F.col("p.root") != F.col("most.root")).groupBy("cell", "blocks", block.alias("from")).agg(F.collect_list("p").alias("asking"))
     met = asking.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).join(held, ["cell", "block"])
-    other = lambda y: (y["root"] != F.col("x.root")) & near(F.col("x"), y)
+    other = lambda y: (y["root"] != F.col("x.root")) & (differing(F.col("x.sketch"), y["sketch"]) <= MOST_BINS)
     pairs = met.select(F.explode("asking").alias("x"), "held").select("x", F.explode(F.filter("held", other)).alias("y"))
     return pairs.select(F.least("x.content", "y.content").alias("a"), F.greatest("x.content", "y.content").alias("b")).distinct()
 
@@ -245,22 +223,29 @@ def sketch(shingles: np.ndarray) -> np.ndarray:
     return (four[::2] | four[1::2] << 4).view(np.int64)
 
 
+def bands(shingles: np.ndarray) -> np.ndarray:
+    """One number a band of ROWS least hashes; two sets share a band's with the chance of their similarity to the power of ROWS."""
+    hashes, least = shingles.view(np.uint64), np.full(len(FACTORS), ~np.uint64(0))
+    for at in range(0, len(hashes), PART):
+        np.minimum(least, np.multiply.outer(FACTORS, hashes[at : at + PART]).min(1), out=least)
+    mixed = ((least.reshape(BANDS, ROWS) ^ (least.reshape(BANDS, ROWS) >> np.uint64(31))) * MIX).sum(1)
+    return ((mixed ^ (mixed >> np.uint64(29))) * MIX[:, 0] + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+
+
 def shingle_sets(texts: DataFrame) -> DataFrame:
-    """texts: content, t. Returns content, its shingles and their sketch."""
+    """texts: content, t. Returns content and its shingles."""
 
     def step(batch):
-        sets = [shingle_set(t) for t in batch.column("t").to_pylist()]
-        longs = pa.list_(pa.int64())
-        return {"content": batch.column("content"), "shingles": pa.array(sets, longs), "sketch": pa.array(map(sketch, sets), longs)}
+        return {"content": batch.column("content"), "shingles": pa.array([shingle_set(t) for t in batch.column("t").to_pylist()], pa.list_(pa.int64()))}
 
-    return map_slices(texts, step, "content long, shingles array<long>, sketch array<long>")
+    return map_slices(texts, step, "content long, shingles array<long>")
 
 
-def differing(a: str, b: str):
+def differing(a, b):
     """In how many bins two sketches differ."""
     total = F.lit(0)
     for i in range(BINS // 16):
-        x = F.col(a)[i].bitwiseXOR(F.col(b)[i])
+        x = a[i].bitwiseXOR(b[i])
         x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
         total += F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(F.lit(0x1111111111111111)))
     return total
@@ -273,7 +258,7 @@ def likely(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """
     left, right = (sets.select(F.col("content").alias(end), F.col("sketch").alias(f"k{end}")) for end in "ab")
     both = pairs.select("a", "b").join(left, "a").join(right, "b")
-    return both.select("a", "b", differing("ka", "kb").alias("bins")).where(F.col("bins") <= MOST_BINS)
+    return both.select("a", "b", differing(F.col("ka"), F.col("kb")).alias("bins")).where(F.col("bins") <= MOST_BINS)
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -306,20 +291,20 @@ def deduplicate(docs: DataFrame, text: str = "text") -> DataFrame:
     Each text is first compared with its nearest candidate only, by sketch; what lies in one group then needs no further comparison.
     So again with the pairs that crowded cells add; then all pairs are compared whose ends still lie in two groups.
     """
-    prints = staged(fingerprints(docs, text, second=True), "prints")
+    prints = staged(fingerprints(docs, text, near=True), "prints")
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "content")
-    contents = staged(prints.groupBy("content").agg(F.min(first).alias("first"), F.min("fp").alias("fp"), F.min("fp2").alias("fp2")), "contents")
-    n = contents.count()
-    close, crowded = candidates(contents.select("content", "fp", "fp2"), n)
-    pairs = staged(close, "pairs")
+    contents = staged(prints.groupBy("content").agg(F.min(first).alias("first"), F.min("fp").alias("fp"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch")), "contents")
+    n, sketches = contents.count(), contents.select("content", "sketch")
+    close, crowded = candidates(contents.select("content", "fp", "bands"), n)
+    open_pairs = staged(likely(close, sketches), "likely")
 
     # doc_id and content together name a text, so that copies of one text are not dealt to one task
     boxed = docs.select(F.struct("*").alias("row"), F.col(text).alias("t"), F.xxhash64(text).alias("content"), named(F.col("doc_id"), F.xxhash64(text)).alias("__name"))
-    needed = pairs.select(F.col("a").alias("content")).union(pairs.select("b")).union(crowded.select("point.content")).distinct()
+    needed = open_pairs.select(F.col("a").alias("content")).union(open_pairs.select("b")).union(crowded.select("content")).distinct()
     names = contents.join(needed, "content", "left_semi").select(named(F.col("first.doc_id"), F.col("content")).alias("__name"))
     texts = boxed.select("content", "t", "__name").join(names, "__name", "left_semi").dropDuplicates(["__name"])
     sets = staged(shingle_sets(texts.select("content", "t")), "shingles")
-    sure, open_pairs = None, staged(likely(pairs, sets), "likely")
+    sure = None
     for name in ("first", "second"):
         best = staged(nearest(open_pairs), f"{name}-nearest")
         found = verified(best, sets)
@@ -327,7 +312,7 @@ def deduplicate(docs: DataFrame, text: str = "text") -> DataFrame:
         roots = staged(components(sure), f"{name}-groups")
         open_pairs = between(open_pairs, roots).join(best, ["a", "b"], "left_anti")
         if name == "first":
-            open_pairs = staged(open_pairs.union(likely(across(crowded, roots, n), sets)).distinct(), "likely")
+            open_pairs = staged(open_pairs.union(likely(across(crowded, roots, sketches, n), sketches)).distinct(), "likely")
     all_roots = components(sure.union(verified(open_pairs, sets)))
     placed = contents.join(all_roots.withColumnRenamed("node", "content"), "content", "left").withColumn("root", F.coalesce("root", "content"))
     stays = placed.groupBy("root").agg(F.min("first").alias("first")).select(named(F.col("first.doc_id"), F.col("first.content")).alias("__name"))

@@ -206,10 +206,19 @@ def colocated(docs: DataFrame, text: str) -> DataFrame:
     return dealt.withColumn("way", by).repartition("least", "way").select("row", "text")
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", keep_text: bool = False) -> DataFrame:
-    """``docs`` with ``ids``, without the text unless it is asked for."""
+def as_lists(found: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)
+    flat = pa.array(np.concatenate(found).astype(np.int32))
+    return pa.ListArray.from_arrays(pa.array(offsets), flat, type=pa.list_(pa.field("element", pa.int32(), False)))
+
+
+def encode(docs: DataFrame, path: str, text: str = "text", keep_text: bool = False, round_trip: bool = False) -> DataFrame:
+    """``docs`` with ``ids``, without the text unless it is asked for.
+
+    ``round_trip``: with the text decoded from the ids in its place, by the same pass: one Python worker and one vocabulary a task instead of two.
+    """
     boxed = colocated(docs, text)
-    kept = [f for f in boxed.schema.fields if keep_text or f.name == "row"]
+    kept = [f for f in boxed.schema.fields if keep_text or round_trip or f.name == "row"]
     schema = T.StructType([*kept, T.StructField("ids", T.ArrayType(T.IntegerType(), False), False)])
     held: list[Encoder] = []
 
@@ -217,14 +226,12 @@ def encode(docs: DataFrame, path: str, text: str = "text", keep_text: bool = Fal
         if not held:
             held.append(Encoder(path))
         found = [held[0](t) for t in batch.column("text").to_pylist()]
-        offsets = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)
-        flat = pa.array(np.concatenate(found).astype(np.int32))
-        ids = pa.ListArray.from_arrays(pa.array(offsets), flat, type=pa.list_(pa.field("element", pa.int32(), False)))
-        return {f.name: batch.column(f.name) for f in kept} | {"ids": ids}
+        out = {f.name: batch.column(f.name) for f in kept} | {"ids": as_lists(found)}
+        return out | ({"text": [held[0].vocabulary.decode(f.tolist()) for f in found]} if round_trip else {})
 
     out = map_slices(boxed, step, schema)
     own = [F.col("row")[c].alias(c) for c in docs.columns if c not in (text, "ids")]
-    return out.select(*own, *([F.col("text").alias(text)] if keep_text else []), "ids")
+    return out.select(*own, *([F.col("text").alias(text)] if keep_text or round_trip else []), "ids")
 
 
 def decode(encoded: DataFrame, path: str, text: str = "text") -> DataFrame:
@@ -243,7 +250,7 @@ def decode(encoded: DataFrame, path: str, text: str = "text") -> DataFrame:
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """Per document: doc_id, n_tokens and the digests of its ids and of the text decoded from them."""
-    out = decode(encode(docs.select("doc_id", "text"), path), path)
+    out = encode(docs.select("doc_id", "text"), path, round_trip=True)
     return out.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256")
     )

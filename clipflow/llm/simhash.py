@@ -14,8 +14,8 @@ rows a point, so a large group of near copies costs in proportion to its size.
 0.8 or more. Such texts differ in 2 to 20 bits or so, where no grid of popcounts tells them from others, so the pairs within two bits are
 only some of its candidates; the others share one of BANDS bands of ROWS least hashes of their shingles. A pair at the least
 similarity is missed with a chance of 0.00065, whatever the size of the table. Sketches sift the candidates, and what is left is compared
-shingle by shingle. In a cell of more than CROWDED texts each is first compared with the least; then all pairs of the cell whose texts are
-not yet in one group are compared too (``across``).
+shingle by shingle. In a cell of more than CROWDED texts each is first compared with the least; then texts that are not yet in one group
+with the NEAREST by sketch of other groups, in each block of each cell they share (``across``).
 
 Only distinct fingerprints (``deduplicate``: distinct texts) take part, so exact copies, and all texts without words (fingerprint zero), are one point.
 Null text: no words. Null doc_id: kept as a row; it is never a component's id unless the whole component has none.
@@ -46,7 +46,8 @@ WORDS, SIMILARITY = 5, 0.8
 #: Bands of ROWS least hashes each: a pair of SIMILARITY exactly shares none with a chance of (1 - 0.8 ** 8) ** 40 = 0.00065.
 BANDS, ROWS = 40, 8
 #: A cell of more texts than this is not paired at once; then its rows are compared in blocks.
-CROWDED, BLOCK = 16, 256
+#: NEAREST: the texts of other groups in a block that one is compared with.
+CROWDED, BLOCK, NEAREST = 16, 1024, 4
 #: Bins of a sketch, and most that differ: 24 expected at SIMILARITY, with a deviation of 4.4.
 BINS, MOST_BINS = 128, 42
 FACTORS = np.random.default_rng(SEED).integers(1 << 62, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
@@ -186,10 +187,10 @@ def candidates(points: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
 
 
 def across(crowded: DataFrame, roots: DataFrame, sketches: DataFrame, n: int) -> DataFrame:
-    """All pairs a < b of crowded cells that the components so far leave apart and whose sketches may be alike.
+    """Pairs a < b of crowded cells that the components so far leave apart: of each text the NEAREST by sketch in each block of its cells.
 
     A cell whose texts are one component, as in a large group of copies, has none. In others the texts outside the largest
-    component are held against all, block by block; only pairs of likely sketches are written.
+    component are held against all, block by block.
     """
     hot = max(LEAST_HOT, n // MOST_HOT)
     own = crowded.select("content", "cell", "n").join(roots.select(F.col("node").alias("content"), "root"), "content", "left").withColumn("root", F.coalesce("root", "content"))
@@ -199,12 +200,31 @@ def across(crowded: DataFrame, roots: DataFrame, sketches: DataFrame, n: int) ->
     rows = by_cell(own, mixed, hot).join(sketches, "content").withColumn("blocks", F.ceil(F.col("n") / BLOCK))
     rows = staged(rows.withColumn("p", F.struct("content", "root", "sketch")).select("cell", "blocks", "most", "p"), "mixed")
     block = F.pmod(F.xxhash64("p.content"), F.col("blocks")).alias("block")
-    held = rows.groupBy("cell", block).agg(F.collect_list("p").alias("held"))
+    held = rows.groupBy("cell", block).agg(F.collect_list("p").alias("held"))  # about BLOCK texts
     asking = rows.where(F.col("p.root") != F.col("most.root")).groupBy("cell", "blocks", block.alias("from")).agg(F.collect_list("p").alias("asking"))
     met = asking.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).join(held, ["cell", "block"])
-    other = lambda y: (y["root"] != F.col("x.root")) & (differing(F.col("x.sketch"), y["sketch"]) <= MOST_BINS)
-    pairs = met.select(F.explode("asking").alias("x"), "held").select("x", F.explode(F.filter("held", other)).alias("y"))
-    return pairs.select(F.least("x.content", "y.content").alias("a"), F.greatest("x.content", "y.content").alias("b")).distinct()
+    return map_slices(met.select("asking", "held"), nearest_apart, "a long, b long", rows=1).distinct()
+
+
+def nearest_apart(batch: pa.RecordBatch) -> dict:
+    """For one block of asking texts against one of held: the pairs of each with its NEAREST by sketch in other components."""
+    content, root, lines = [], [], []
+    for name in ("asking", "held"):
+        texts = batch.column(name).flatten()  # the one row's list; ``values`` would be those of all rows
+        ids, roots, sketches = texts.flatten()
+        content.append(ids.to_numpy()), root.append(roots.to_numpy())
+        lines.append(sketches.flatten().to_numpy().reshape(len(texts), -1).view(np.uint64))
+    a, b = [], []
+    for at in range(0, len(content[0]), 64):
+        x = lines[0][at : at + 64, None] ^ lines[1][None]
+        x |= x >> np.uint64(1)
+        x |= x >> np.uint64(2)
+        bins = np.bitwise_count(x & np.uint64(0x1111111111111111)).sum(2, dtype=np.int64)
+        bins[root[0][at : at + 64, None] == root[1][None]] = BINS + 1
+        for i, near in enumerate(np.argsort(bins, 1, kind="stable")[:, :NEAREST]):
+            y = content[1][near[bins[i, near] <= MOST_BINS]]
+            a.append(np.minimum(y, content[0][at + i])), b.append(np.maximum(y, content[0][at + i]))
+    return {"a": np.concatenate(a), "b": np.concatenate(b)}
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -281,6 +301,26 @@ def between(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return both.select(pairs.columns)
 
 
+def settled(open_pairs: DataFrame, sets: DataFrame, sure: DataFrame | None, rounds: int = 6) -> tuple[DataFrame, DataFrame]:
+    """Verify ``open_pairs`` as far as they matter: (pairs verified so far, their components).
+
+    In a round each text is compared with its nearest by sketch; then pairs inside a component need no comparison. When there are not
+    many more pairs than texts left, or after ``rounds``, all that still lie between components are compared at once.
+    """
+    roots = None
+    for k in range(rounds):
+        best = staged(nearest(open_pairs), "nearest")
+        left = open_pairs.count()
+        last = left <= 2 * best.count() or k == rounds - 1
+        found = verified(open_pairs if last else best, sets)
+        sure = staged(found if sure is None else sure.union(found), "sure")
+        roots = staged(components(sure), "groups")
+        if last:
+            break
+        open_pairs = staged(between(open_pairs.join(best, ["a", "b"], "left_anti"), roots), "open")
+    return sure, roots
+
+
 def named(doc_id, content):
     return F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("none")), content.cast("string"))
 
@@ -288,8 +328,9 @@ def named(doc_id, content):
 def deduplicate(docs: DataFrame, text: str = "text") -> DataFrame:
     """One document of each group of near copies: the one with the least doc_id (ties: least content hash); repeats of it go.
 
-    Each text is first compared with its nearest candidate only, by sketch; what lies in one group then needs no further comparison.
-    So again with the pairs that crowded cells add; then all pairs are compared whose ends still lie in two groups.
+    Each text is first compared with its nearest candidates, by sketch; what lies in one group then needs no further comparison
+    (``settled``). So with the pairs of small cells and of each crowded cell's least text, then with each text's nearest in other
+    groups of crowded cells.
     """
     prints = staged(fingerprints(docs, text, near=True), "prints")
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "content")
@@ -304,16 +345,8 @@ def deduplicate(docs: DataFrame, text: str = "text") -> DataFrame:
     names = contents.join(needed, "content", "left_semi").select(named(F.col("first.doc_id"), F.col("content")).alias("__name"))
     texts = boxed.select("content", "t", "__name").join(names, "__name", "left_semi").dropDuplicates(["__name"])
     sets = staged(shingle_sets(texts.select("content", "t")), "shingles")
-    sure = None
-    for name in ("first", "second"):
-        best = staged(nearest(open_pairs), f"{name}-nearest")
-        found = verified(best, sets)
-        sure = staged(found if sure is None else sure.union(found), f"{name}-sure")
-        roots = staged(components(sure), f"{name}-groups")
-        open_pairs = between(open_pairs, roots).join(best, ["a", "b"], "left_anti")
-        if name == "first":
-            open_pairs = staged(open_pairs.union(likely(across(crowded, roots, sketches, n), sketches)).distinct(), "likely")
-    all_roots = components(sure.union(verified(open_pairs, sets)))
+    sure, roots = settled(open_pairs, sets, None)
+    _, all_roots = settled(staged(likely(across(crowded, roots, sketches, n), sketches), "likely"), sets, sure)
     placed = contents.join(all_roots.withColumnRenamed("node", "content"), "content", "left").withColumn("root", F.coalesce("root", "content"))
     stays = placed.groupBy("root").agg(F.min("first").alias("first")).select(named(F.col("first.doc_id"), F.col("first.content")).alias("__name"))
     return boxed.select("row", "__name").join(stays, "__name", "left_semi").dropDuplicates(["__name"]).select("row.*")

@@ -137,3 +137,23 @@ def segment_score(clips: DataFrame, frames: DataFrame, positive: Column) -> Data
     parts = met.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("fragments"), F.coalesce(F.max(F.greatest(F.col("s") - F.col("a"), F.lit(0))), F.lit(0)).alias("lead_lost"))
     totals = c.agg(F.count("*").alias("n_clips")).crossJoin(pos.agg(F.count("*").alias("positive"))).crossJoin(hit).crossJoin(false).crossJoin(parts)  # five one-row tables
     return totals.select("n_clips", F.round(100.0 * F.try_divide("covered", "positive"), 6).alias("coverage_pct"), "false_starts", "fragments", "lead_lost")
+
+
+def replay_scores(clips: DataFrame, frames: DataFrame, configs: list[str], positive: Column) -> DataFrame:
+    """Per configuration: clips, the share of positive frames that lie in one (percent) and the clips without any.
+
+    Positive frames are numbered in each session; a clip holds those up to its end less those before its start, looked up by the frames
+    at its edges, so no clip is held against the frames inside it. What an earlier clip of the configuration holds already is not
+    counted again.
+    """
+    spark = frames.sparkSession
+    upto = frames.select("session_id", "idx", F.sum(F.when(positive, 1).otherwise(0)).over(over(rows=(W.unboundedPreceding, 0))).alias("n"))
+    at = lambda d, idx, name: d.join(upto.select("session_id", F.col("idx").alias(idx), F.col("n").alias(name)), ["session_id", idx], "left")
+    earlier = F.max("end_idx").over(W.partitionBy("session_id", "config").orderBy("start_idx", "end_idx").rowsBetween(W.unboundedPreceding, -1))
+    met = clips.select("config", "session_id", "start_idx", "end_idx", (F.col("start_idx") - 1).alias("__a"), F.greatest(F.col("start_idx") - 1, F.when(earlier.isNotNull(), F.least(earlier, "end_idx"))).alias("__b"))
+    met = at(at(at(met, "end_idx", "__end"), "__a", "__before"), "__b", "__counted").na.fill(0, ["__before", "__counted"])
+    sums = met.groupBy("config").agg(F.count("*").alias("clips"), F.sum(F.col("__end") - F.col("__counted")).alias("__held"), F.count_if(F.col("__end") == F.col("__before")).alias("false_starts"))
+    total = frames.agg(F.count_if(positive).alias("__all"))  # one row
+    names = spark.createDataFrame([(c,) for c in configs], "config string")
+    out = F.broadcast(names).join(sums, "config", "left").na.fill(0).join(F.broadcast(total))
+    return out.select("config", "clips", F.round(F.try_divide(100.0 * F.col("__held"), F.col("__all")), 6).alias("coverage_pct"), "false_starts")

@@ -1,14 +1,11 @@
-"""Folds of ordered sessions in batch, and the same steps as keyed state of a stream."""
+"""Folds of ordered sessions in batch; streaming/sessions.py runs the same steps as keyed state of a stream."""
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import DataFrame
 
 from clipflow.streaming import machine as M
 
@@ -16,7 +13,7 @@ CLIP = "session_id long, start_idx long, end_idx long, start_t long, end_t long,
 KEEP = ["session_id", "idx", "t", "score", "present"]
 
 
-def fold(df: DataFrame, step: Callable[[dict, dict], list[dict]], end: Callable[[dict], list[dict]], start: Callable[[], dict], schema: str) -> DataFrame:
+def fold(df: DataFrame, step: Callable[[dict, dict], list[dict]], end: Callable[[dict], list[dict]], start: Callable[[], dict], schema: str, keep: list[str] = KEEP) -> DataFrame:
     """Run ``step`` over the frames of each session in order. Sessions are dealt by key, sorted and streamed through: a long one needs no more
     memory than a short one. ``end`` gives the last rows of a session."""
 
@@ -36,7 +33,7 @@ def fold(df: DataFrame, step: Callable[[dict, dict], list[dict]], end: Callable[
         if state is not None and (rows := [{"session_id": session} | r for r in end(state)]):
             yield frame(rows)
 
-    return df.select(*KEEP).repartition("session_id").sortWithinPartitions("session_id", "idx").mapInPandas(run, schema)
+    return df.select(*keep).repartition("session_id").sortWithinPartitions("session_id", "idx").mapInPandas(run, schema)
 
 
 def clips(df: DataFrame, gate: M.Gate, flush: bool = True) -> DataFrame:
@@ -44,68 +41,49 @@ def clips(df: DataFrame, gate: M.Gate, flush: bool = True) -> DataFrame:
     return fold(df, lambda s, r: M.advance(gate, s, r["idx"], r["t"], r["score"], r["present"]), (lambda s: M.finish(gate, s)) if flush else (lambda s: []), M.new_state, CLIP)
 
 
-def floors(df: DataFrame, gate: M.Gate) -> DataFrame:
-    """The noise floor, the relaxation and the number of samples that each session ends with."""
-    end = lambda s: [{"floor": s["floor"], "relax": s["relax"], "samples": len(s["samples"])}]
-    return fold(df, lambda s, r: M.advance(gate, s, r["idx"], r["t"], r["score"]) and [], end, M.new_state, "session_id long, floor double, relax double, samples long")
-
-
-def in_order(state: dict, rows: list[dict]) -> list[dict]:
-    """Put rows into the state's buffer and take out those that are next by index."""
-    for r in rows:
-        state["held"][str(r["idx"])] = r
-    out = []
-    while (r := state["held"].pop(str(state["next"]), None)) is not None:
-        out.append(r)
-        state["next"] += 1
-    return out
-
-
-def ordered_state() -> dict:
-    return {"next": 0, "held": {}}
-
+def bank(df: DataFrame, gates: dict[str, tuple[float, M.Gate]]) -> DataFrame:
+    """The clips of many gates, each on scores times its scale, advanced together in one pass over each session: config and the columns of a clip."""
 
-def stream(df: DataFrame, step: Callable[[dict, list[dict]], list[dict]], start: Callable[[], dict], schema: str) -> DataFrame:
-    """Keyed state per session: ``step`` gets the frames of a micro-batch that are next in order and returns rows. Frames may arrive in any order;
-    those that come early wait in the state."""
-    columns = [c.split()[0] for c in schema.split(", ")]
+    def step(states, row):
+        return [{"config": n} | c for n, (scale, g) in gates.items() for c in M.advance(g, states[n], row["idx"], row["t"], None if row["score"] is None else row["score"] * scale, row["present"])]
 
-    def run(key, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        state = json.loads(held.get[0]) if held.exists else {"order": ordered_state(), "own": start()}
-        rows = [r for b in batches for r in b.astype(object).where(b.notna(), None).to_dict("records")]
-        out = [{"session_id": key[0]} | r for r in step(state["own"], in_order(state["order"], rows))]
-        held.update((json.dumps(state, default=lambda x: x.item()),))
-        yield pd.DataFrame(out, columns=columns)
+    def end(states):
+        return [{"config": n} | c for n, (_, g) in gates.items() for c in M.finish(g, states[n])]
 
-    return df.select(*KEEP).groupBy("session_id").applyInPandasWithState(run, schema, "state string", "append", GroupStateTimeout.NoTimeout)
+    return fold(df, step, end, lambda: {n: M.new_state() for n in gates}, CLIP.replace("session_id long", "session_id long, config string"))
 
 
-def stream_clips(df: DataFrame, gate: M.Gate) -> DataFrame:
-    def step(state, rows):
-        return [c for r in rows for c in M.advance(gate, state, r["idx"], r["t"], r["score"], r["present"])]
+def trigger_starts(df: DataFrame, threshold: float | None, smooth: int = 15, k: int = 3, n: int = 5, debounce: int = 3, arming: int = 2_000_000) -> DataFrame:
+    """Per session and phase: how often the idle decision starts, and its frames. df: also phase, vt (time of the latest verdict) and verdict.
 
-    return stream(df, step, M.new_state, CLIP)
+    A phase is its frames in order, wherever they stand in the session; the arming time runs from the session's first frame. With a
+    ``threshold`` (pre-gated), verdicts are taken up only on frames whose smoothed score is above it, others vote absent, and a
+    start needs ``debounce`` such frames in a row. Without, every new verdict votes and alone decides. A start clears the vote.
+    """
 
+    def step(state, row):
+        state.setdefault("t0", row["t"])
+        p = state["phases"].setdefault(row["phase"], {"recent": [], "votes": [], "above": 0, "starts": 0, "frames": 0, "vt": None})
+        p["frames"] += 1
+        p["recent"].append(row["score"])
+        del p["recent"][:-smooth]
+        hot = threshold is None or round(sum(p["recent"]) / len(p["recent"]), 6) > threshold
+        p["above"] = p["above"] + 1 if hot else 0
+        if hot and row["vt"] != p["vt"]:
+            p["vt"] = row["vt"]
+            p["votes"].append(bool(row["verdict"]))
+        elif not hot:
+            p["votes"].append(False)
+        del p["votes"][:-n]
+        if row["t"] - state["t0"] >= arming and sum(p["votes"]) >= k and (threshold is None or p["above"] >= debounce):
+            p["starts"], p["votes"], p["above"] = p["starts"] + 1, [], 0
+        return []
 
-def stream_in_order(df: DataFrame) -> DataFrame:
-    """Each frame as it is released, with its number n."""
+    end = lambda s: [{"phase": name, "starts": p["starts"], "frames": p["frames"]} for name, p in s["phases"].items()]
+    return fold(df, step, end, lambda: {"phases": {}}, "session_id long, phase string, starts long, frames long", ["session_id", "idx", "t", "score", "phase", "vt", "verdict"])
 
-    def step(state, rows):
-        out = [{"idx": r["idx"], "n": state["n"] + i} for i, r in enumerate(rows)]
-        state["n"] += len(rows)
-        return out
 
-    return stream(df, step, lambda: {"n": 0}, "session_id long, idx long, n long")
-
-
-def drained(spark: SparkSession, source: str, schema: str, build: Callable[[DataFrame], DataFrame], out: str, files: int = 1) -> DataFrame:
-    """Run a stream over the Parquet files of ``source`` until all are read, ``files`` a batch, into Parquet at ``out``; returns that table."""
-    frames = build(spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(source))
-    q = frames.writeStream.format("parquet").option("path", f"{out}/data").option("checkpointLocation", f"{out}/checkpoint").outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.schema(frames.schema).parquet(f"{out}/data")
-
-
-def latest_only(batch: DataFrame, key: str = "session_id") -> DataFrame:
-    """The newest pending frame of each session; older ones are dropped."""
-    return batch.groupBy(key).agg(F.max_by(F.struct("idx", "t", "score"), F.struct("t", "idx")).alias("r")).select(key, "r.*")
+def floors(df: DataFrame, gate: M.Gate) -> DataFrame:
+    """The noise floor, the relaxation and the number of samples that each session ends with."""
+    end = lambda s: [{"floor": s["floor"], "relax": s["relax"], "samples": len(s["samples"])}]
+    return fold(df, lambda s, r: M.advance(gate, s, r["idx"], r["t"], r["score"]) and [], end, M.new_state, "session_id long, floor double, relax double, samples long")

@@ -28,21 +28,32 @@ class Gate:
     window: int = 300
     quiet_frames: int = 60
     stale: int = 15_000_000
+    #: The start threshold is divided by this, and, if ``gated_vote``, only frames above it are looked at for presence: others count as absent.
+    factor: float = 1.0
+    gated_vote: bool = False
+    #: Start, stop and noise floor (or None) of a calibration profile; the gate is armed after ``arming`` frames.
+    profile: tuple[float, float, float | None] | None = None
+    arming: int = 60
     #: Ring of raw scores for the back-dated onset; 0: clips begin at their trigger.
     ring: int = 0
     ring_quiet: int = 9
     lead: int = 7
 
 
-#: Fixed values of the noise floor: multiples for start and stop, quiet bound, step of relaxation, least floor, bootstrap percentile.
-START_TIMES, STOP_TIMES, QUIET_TIMES, RELAX, FLOOR, BOOT = 9.0, 1.5, 1.5, 1.5, 0.02, 0.10
+#: Fixed values of the noise floor: multiples for start and stop, quiet bound, step of relaxation, least floor, bootstrap percentile, most drift.
+START_TIMES, STOP_TIMES, QUIET_TIMES, RELAX, FLOOR, BOOT, DRIFT = 9.0, 1.5, 1.5, 1.5, 0.02, 0.10, 1.4
 
 
 def new_state() -> dict:
-    return {"recent": [], "samples": [], "floor": None, "boot": True, "quiet": 0, "relax": 1.0, "quiet_t": None, "hits": 0, "votes": [], "ring": [], "clip": None}
+    return {"recent": [], "samples": [], "floor": None, "boot": True, "quiet": 0, "relax": 1.0, "quiet_t": None, "hits": 0, "votes": [], "ring": [], "seen": 0, "clip": None}
 
 
 def thresholds(gate: Gate, state: dict) -> tuple[float, float]:
+    """A profile's, times its drift; else multiples of the noise floor; else fixed ones."""
+    if gate.profile is not None:
+        start, stop, floor = gate.profile
+        drift = min(DRIFT, max(1 / DRIFT, state["floor"] / floor)) if floor and state["floor"] is not None else 1.0
+        return start * drift, stop * drift
     if gate.adaptive and state["floor"] is not None:
         return state["floor"] * START_TIMES, state["floor"] * STOP_TIMES
     return gate.start, gate.stop
@@ -54,9 +65,9 @@ def median(values: list[float]) -> float:
 
 
 def learn(gate: Gate, state: dict, smoothed: float, t: int) -> None:
-    """Let an idle frame move the noise floor: at first all do, later only frames of a long quiet run."""
+    """Let an idle frame move the noise floor: at first all do (with a profile, none), later only frames of a long quiet run."""
     samples = state["samples"]
-    if state["boot"]:
+    if state["boot"] and gate.profile is None:
         samples.append(smoothed)
         state["quiet_t"] = t
         if len(samples) >= gate.bootstrap:
@@ -65,7 +76,7 @@ def learn(gate: Gate, state: dict, smoothed: float, t: int) -> None:
         return
     if smoothed > thresholds(gate, state)[1] * QUIET_TIMES * state["relax"]:
         state["quiet"] = 0
-        if t - state["quiet_t"] > gate.stale:
+        if state["quiet_t"] is not None and t - state["quiet_t"] > gate.stale:
             state["relax"] *= RELAX
             state["quiet_t"] = t
         return
@@ -104,7 +115,8 @@ def advance(gate: Gate, state: dict, idx: int, t: int, score: float | None, pres
     del recent[: -gate.smooth]
     smoothed = round(sum(recent) / len(recent), 6)
     clip = state["clip"]
-    if gate.adaptive and clip is None:
+    state["seen"] += 1
+    if (gate.adaptive or gate.profile is not None) and clip is None:
         learn(gate, state, smoothed, t)
     start, stop = thresholds(gate, state)
     if gate.ring:
@@ -115,14 +127,15 @@ def advance(gate: Gate, state: dict, idx: int, t: int, score: float | None, pres
         out.append(closed(gate, clip, clip["last_idx"], clip["last_t"], False))
         clip = state["clip"] = None
     if clip is None:
-        armed = not gate.adaptive or state["floor"] is not None
-        state["hits"] = state["hits"] + 1 if armed and smoothed > start else 0
+        armed = state["seen"] >= gate.arming if gate.profile is not None else not gate.adaptive or state["floor"] is not None
+        hot = smoothed > start / gate.factor
+        state["hits"] = state["hits"] + 1 if armed and hot else 0
         voted = True
         if gate.vote_k:
-            state["votes"].append(bool(present))
+            state["votes"].append(bool(present) and (hot or not gate.gated_vote))
             del state["votes"][: -gate.vote_n]
             voted = sum(state["votes"]) >= gate.vote_k
-        if state["hits"] >= gate.debounce and voted:
+        if armed and state["hits"] >= gate.debounce and voted:
             begin = onset(gate, state, stop) if gate.ring else (idx, t)
             state["clip"] = {"start_idx": begin[0], "start_t": begin[1], "last_idx": idx, "last_t": t, "moving": int(score > stop), "scored": 1}
             state["hits"], state["votes"] = 0, []

@@ -5,7 +5,6 @@ import random
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from clipflow.operators import segment as S
 from clipflow.operators import windows as O
@@ -73,14 +72,6 @@ def test_count_and_time_rules(random_frames):
     assert {g[:2] for g in got} == {t[:2] for t in timed}
 
 
-def test_stream_equals_batch_in_any_arrival(spark, random_frames, tmp_path):
-    gate = M.Gate(start=1.6, stop=1.1, smooth=2, debounce=2, still=3 * SEC, least=SEC, cap=6 * SEC)
-    random_frames.repartition(3, F.xxhash64("idx")).write.parquet(f"{tmp_path}/in")
-    got = D.drained(spark, f"{tmp_path}/in", random_frames.schema.simpleString()[7:-1].replace(":", " ").replace(",", ", "), lambda d: D.stream_clips(d, gate), f"{tmp_path}/out")
-    want = D.clips(random_frames, gate, flush=False)
-    assert want.where("forced").count() > 0 and want.exceptAll(got).count() == got.exceptAll(want).count() == 0
-
-
 def run(gate, scores, fps=30):
     state, out = M.new_state(), []
     for i, s in enumerate(scores):

@@ -62,7 +62,7 @@ def test_stream_is_the_batch_with_the_last_clip(spark, rows, tmp_path):
 
 def test_sessions_close_by_timer_and_go_on_anew(spark, tmp_path):
     """A session idle for 60 s is over before the stream is: its clip is out when the next batch has passed, and later frames are a new session."""
-    first = [(1, i, i * SEC, 3.0, True) for i in range(10)]
+    first = [(1, i, (1 + i) * SEC, 3.0, True) for i in range(10)]
     other = [(2, i, (100 + i) * SEC, 0.0, True) for i in range(10)]
     again = [(1, i, (300 + i) * SEC, 3.0, True) for i in range(5)]
     path, gate = f"{tmp_path}/in", M.Gate(start=1.0, stop=0.5, smooth=1, debounce=1, still=3 * SEC, least=0)
@@ -72,12 +72,12 @@ def test_sessions_close_by_timer_and_go_on_anew(spark, tmp_path):
     assert [(r.session_id, r.start_idx, r.end_idx) for r in early] == [(1, 0, 9)]
     land(spark, path, [again])
     got = S.drained(spark, path, COLUMNS, lambda d: S.clips(d, gate, "1 second", 60 * SEC), f"{tmp_path}/out")
-    assert sorted((r.session_id, r.start_t // SEC, r.end_t // SEC) for r in got.rows.collect()) == [(1, 0, 9), (1, 300, 304)]
+    assert sorted((r.session_id, r.start_t // SEC, r.end_t // SEC) for r in got.rows.collect()) == [(1, 1, 10), (1, 300, 304)]
 
 
 def test_gaps_end_and_late_frames_are_counted(spark, tmp_path):
     """Index 3 never comes, 6 comes too late: the others are released in order, numbered without a gap."""
-    at = lambda i: (7, i, i * SEC, float(i), None)
+    at = lambda i: (7, i, (1 + i) * SEC, float(i), None)
     files = [[at(1), at(0), at(2)], [at(5), at(4)], [at(9), at(8), at(7)], [at(40)], [at(60)], [at(6), at(61)]]
     path = f"{tmp_path}/in"
     land(spark, path, files)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from clipflow.functions.quantiles import linear
+from clipflow.functions.quantiles import linear, picked
 from clipflow.operators.windows import over
 
 #: Fixed values of the fits.
@@ -39,15 +39,23 @@ def event_peaks(df: DataFrame, above: Column, gap: int, by: list[str], score: st
 
 def distribution(df: DataFrame, metrics: list[str]) -> DataFrame:
     """Per phase and metric: p50, p90, p95, p99 and max."""
-    long = df.select("phase", F.explode(F.map_from_arrays(F.array(*(F.lit(m) for m in metrics)), F.array(*(F.col(m) for m in metrics)))).alias("metric", "v"))
-    out = long.groupBy("phase", "metric").agg(F.percentile("v", F.array(*(F.lit(p) for p in (0.5, 0.9, 0.95, 0.99)))).alias("p"), F.round(F.max("v"), 6).alias("max"))
-    return out.select("phase", "metric", *(F.round(F.col("p")[i], 6).alias(n) for i, n in enumerate(("p50", "p90", "p95", "p99"))), "max")
+    long = by_metric(df, metrics, F.col("phase"))
+    top = long.groupBy("phase", "metric").agg(F.round(F.max("v"), 6).alias("max"))
+    p = picked(long, ["phase", "metric"], "v", {n: (q, "linear") for n, q in (("p50", 0.5), ("p90", 0.9), ("p95", 0.95), ("p99", 0.99))})
+    return p.select("phase", "metric", *(F.round(n, 6).alias(n) for n in ("p50", "p90", "p95", "p99"))).join(top, ["phase", "metric"])
+
+
+def by_metric(df: DataFrame, metrics: list[str], *others: Column) -> DataFrame:
+    """One row a frame and metric: the other columns, metric and its value v."""
+    return df.select(*others, F.explode(F.map_from_arrays(F.array(*(F.lit(m) for m in metrics)), F.array(*(F.col(m) for m in metrics)))).alias("metric", "v"))
 
 
 def separation(df: DataFrame, metrics: list[str]) -> DataFrame:
     """Per metric: negative p99, positive p10, their ratio and a verdict. A class without rows counts as one zero."""
-    long = df.select(is_negative().alias("neg"), F.explode(F.map_from_arrays(F.array(*(F.lit(m) for m in metrics)), F.array(*(F.col(m) for m in metrics)))).alias("metric", "v"))
-    q = long.groupBy("metric").agg(F.coalesce(linear("v", 0.99, F.col("neg")), F.lit(0.0)).alias("n"), F.coalesce(linear("v", 0.1, ~F.col("neg")), F.lit(0.0)).alias("p"))
+    long = by_metric(df, metrics, is_negative().alias("neg"))
+    names = df.sparkSession.createDataFrame([(m,) for m in metrics], "metric string")
+    side = lambda on, name, p: picked(long.where(on), ["metric"], "v", {name: (p, "linear")})
+    q = names.join(side(F.col("neg"), "n", 0.99), "metric", "left").join(side(~F.col("neg"), "p", 0.1), "metric", "left").na.fill(0.0)
     ratio = F.try_divide("p", "n")
     return q.select("metric", F.round("n", 6).alias("negative_p99"), F.round("p", 6).alias("positive_p10"), F.round(ratio, 6).alias("margin"), F.coalesce(ratio > 1, F.lit(False)).alias("separable"))
 
@@ -118,13 +126,21 @@ def grid(df: DataFrame, pairs: list[tuple[float, float]], signing: tuple[str, ..
     down = W.partitionBy("session_id").orderBy(F.desc("v"), F.col("sign").isNotNull()).rowsBetween(W.unboundedPreceding, 0)  # a start before frames of its own value
     above = lambda c: F.coalesce(F.sum(c).over(down), F.lit(0))
     counted = every.withColumns({"__sign": above("sign"), "false_frames": above("neg"), "__all": F.sum("sign").over(W.partitionBy("session_id"))}).where("sign IS NULL")
-    judged = counted.withColumn("coverage", F.round(F.try_divide(100.0 * F.col("__sign"), "__all"), 6))
+    # millionths as whole numbers: the order of addition can't move their average across a rounding tie
+    judged = counted.withColumn("coverage", F.round(F.try_divide(100000000.0 * F.col("__sign"), "__all"), 0).cast("long"))
     return judged.groupBy("neg_q", "pos_q").agg(
-        F.count("*").alias("windows"), F.round(F.median("v"), 6).alias("start_median"), F.round(F.stddev_pop("v"), 4).alias("start_stdev"), F.round(F.avg("coverage"), 4).alias("coverage"),
-        F.round(F.avg("false_frames"), 4).alias("false_frames"), F.round(F.avg(F.when(F.col("false_frames") == 0, 100.0).otherwise(0.0)), 4).alias("clean_pct"),
+        F.count("*").alias("windows"), F.round(F.median("v"), 6).alias("start_median"), F.round(F.stddev_pop("v"), 4).alias("start_stdev"), exact(F.sum("coverage"), F.count("coverage"), 100).alias("coverage"),
+        exact(F.sum("false_frames") * 10000, F.count("false_frames"), 1).alias("false_frames"), exact(F.count_if(F.col("false_frames") == 0) * 1000000, F.count("*"), 1).alias("clean_pct"),
     )
 
 
+def exact(total: Column, n: Column, unit: int) -> Column:
+    """``total`` / ``n`` / ``unit`` in whole numbers, half up, as ten-thousandths."""
+    den = 2 * n * unit
+    num = 2 * total + n * unit
+    return (num - num % den) / den / 10000
+
+
 def best(grid: DataFrame) -> DataFrame:
     """The grid row with the most clean windows, then coverage, then the least spread of starts."""
     return grid.orderBy(F.desc("clean_pct"), F.desc("coverage"), "start_stdev", "neg_q", "pos_q").limit(1)

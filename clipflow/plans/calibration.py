@@ -61,7 +61,7 @@ def separation_margin(spark, sf):
 @query("below_p99", f"WITH {FRAMES}, q AS (SELECT quantile_cont(score, 0.99) AS p99 FROM frames WHERE {N}) SELECT label AS phase, round(avg(CASE WHEN score <= p99 THEN 100.0::DOUBLE ELSE 0 END), 6) AS pct FROM frames, q GROUP BY label")
 def below_p99(spark, sf):
     f = labelled(spark, sf)
-    limit = f.agg(Q.linear("score", 0.99, K.is_negative()).alias("p99"))  # one row
+    limit = Q.picked(f.where(K.is_negative()).withColumn("one", F.lit(1)), ["one"], "score", {"p99": (0.99, "linear")}).select("p99")  # one row
     return f.join(F.broadcast(limit)).groupBy("phase").agg(F.round(F.avg(F.when(F.col("score") <= F.col("p99"), 100.0).otherwise(0.0)), 6).alias("pct"))
 
 
@@ -72,16 +72,17 @@ FLOOR = "max(CASE WHEN rk = least(n - 1, CAST(floor({p} * n) AS BIGINT)) THEN v
 SELECT phase, round(avg(CASE WHEN present THEN 1.0::DOUBLE ELSE 0 END), 6) AS rate, round(median(v), 6) AS p50, {FLOOR.format(p=0.9)} AS p90, {FLOOR.format(p=0.99)} AS p99 FROM v GROUP BY phase""")
 def hand_presence(spark, sf):
     f = labelled(spark, sf)
-    rate = f.groupBy("phase").agg(F.round(F.avg(F.when(F.col("present"), 1.0).otherwise(0.0)), 6).alias("rate"), F.round(F.median("score"), 6).alias("p50"))
-    return rate.join(Q.picked(f, ["phase"], "score", {"p90": (0.9, "floor"), "p99": (0.99, "floor")}), "phase")
+    rate = f.groupBy("phase").agg(F.round(F.avg(F.when(F.col("present"), 1.0).otherwise(0.0)), 6).alias("rate"))
+    p = Q.picked(f, ["phase"], "score", {"p50": (0.5, "linear"), "p90": (0.9, "floor"), "p99": (0.99, "floor")})
+    return rate.join(p.withColumn("p50", F.round("p50", 6)), "phase")
 
 
 @query("quantiles", f"""WITH {FRAMES}, v AS (SELECT label AS phase, score AS v, row_number() OVER (PARTITION BY label ORDER BY score) - 1 AS rk, count(*) OVER (PARTITION BY label) AS n FROM frames)
 SELECT phase, round(quantile_cont(v, 0.37), 6) AS linear, max(CASE WHEN rk = CAST(round_even(0.37 * (n - 1), 0) AS BIGINT) THEN v END) AS nearest, {FLOOR.format(p=0.37)} AS floor, max(CASE WHEN rk = CAST(floor(0.975 * n) AS BIGINT) THEN v END) AS ci FROM v GROUP BY phase""")
 def quantiles(spark, sf):
     f = labelled(spark, sf)
-    linear = f.groupBy("phase").agg(F.round(Q.linear("score", 0.37), 6).alias("linear"))
-    return linear.join(Q.picked(f, ["phase"], "score", {"nearest": (0.37, "nearest"), "floor": (0.37, "floor"), "ci": (0.975, "ci")}), "phase")
+    p = Q.picked(f, ["phase"], "score", {"linear": (0.37, "linear"), "nearest": (0.37, "nearest"), "floor": (0.37, "floor"), "ci": (0.975, "ci")})
+    return p.withColumn("linear", F.round("linear", 6))
 
 
 @query("clip_percentiles", f"""WITH {FRAMES}, v AS (SELECT session_id, score AS v, row_number() OVER (PARTITION BY session_id ORDER BY score) - 1 AS rk, count(*) OVER (PARTITION BY session_id) AS n FROM frames)
@@ -90,7 +91,7 @@ def clip_percentiles(spark, sf):
     f = frames(spark, sf)
     linear = f.groupBy("session_id").agg(F.round(Q.linear("score", 0.2), 6).alias("p20"), F.round(Q.linear("score", 0.9), 6).alias("p90"))
     picks = {f"p{round(100 * p)}_floor": (p, "floor") for p in (0.1, 0.5, 0.95)}
-    return linear.join(Q.picked(f, ["session_id"], "score", picks), "session_id")
+    return linear.join(Q.picked_within(f, ["session_id"], "score", picks), "session_id")
 
 
 @query("event_peaks", f"""WITH {FRAMES}, u AS (SELECT *, idx - lag(idx) OVER (PARTITION BY session_id ORDER BY idx) - 1 AS gap FROM frames WHERE score > {START}),
@@ -154,14 +155,16 @@ GRID = [(a, b) for a in (0.8, 0.9, 0.95) for b in (0.6, 0.75, 0.9)]
 SIGNING = ("SIGN", "FINGERSPELL")
 
 
+#: A quotient in whole numbers, half up, as ten-thousandths: no order of addition can move it.
+EXACT = "1.0::DOUBLE * ((2 * {s}::HUGEINT + {n}) // (2 * {n})) / 10000"
 GRID_SQL = f"""{FRAMES}, g(neg_q, pos_q) AS (VALUES {", ".join(f"({a}::DOUBLE, {b}::DOUBLE)" for a, b in GRID)}),
 cls AS (SELECT *, {N} AS neg, row_number() OVER (PARTITION BY session_id, {N} ORDER BY idx) - 1 AS rn, count(*) OVER (PARTITION BY session_id, {N}) AS n FROM frames),
 win AS (SELECT c.session_id, c.neg, w, c.score FROM (SELECT *, CASE WHEN neg THEN 8 ELSE 10 END AS step, CASE WHEN neg THEN 16 ELSE 20 END AS size FROM cls) c, unnest(range(0, c.n // c.step + 1)) AS r(w) WHERE (w = 0 OR w * step < n - size) AND c.rn >= w * step AND c.rn < w * step + size),
 nw AS (SELECT session_id, w, unnest([0.8::DOUBLE, 0.9, 0.95]) AS neg_q, unnest(q) AS n FROM (SELECT session_id, w, quantile_cont(score, [0.8, 0.9, 0.95]) AS q FROM win WHERE neg GROUP BY ALL)),
 pw AS (SELECT session_id, w, unnest([0.6::DOUBLE, 0.75, 0.9]) AS pos_q, unnest(q) AS p FROM (SELECT session_id, w, quantile_cont(score, [0.6, 0.75, 0.9]) AS q FROM win WHERE NOT neg GROUP BY ALL)),
 st AS (SELECT nw.session_id, nw.w AS nw, pw.w AS pw, neg_q, pos_q, round(CASE WHEN p <= n THEN n * 1.05::DOUBLE ELSE sqrt(n * p) END, 6) AS start FROM nw JOIN pw ON pw.session_id = nw.session_id JOIN g USING (neg_q, pos_q)),
-ev AS (SELECT st.session_id, nw, pw, neg_q, pos_q, start, round(100.0 * count(*) FILTER (WHERE label IN ('SIGN', 'FINGERSPELL') AND score > start) / nullif(count(*) FILTER (WHERE label IN ('SIGN', 'FINGERSPELL')), 0), 6) AS coverage, count(*) FILTER (WHERE {N} AND score > start) AS false_frames FROM st JOIN frames f ON f.session_id = st.session_id GROUP BY ALL),
-grid AS (SELECT neg_q, pos_q, count(*) AS windows, round(median(start), 6) AS start_median, round(stddev_pop(start), 4) AS start_stdev, round(avg(coverage), 4) AS coverage, round(avg(false_frames), 4) AS false_frames, round(avg(CASE WHEN false_frames = 0 THEN 100.0::DOUBLE ELSE 0 END), 4) AS clean_pct FROM ev GROUP BY neg_q, pos_q)"""
+ev AS (SELECT st.session_id, nw, pw, neg_q, pos_q, start, CAST(round(100000000.0::DOUBLE * count(*) FILTER (WHERE label IN ('SIGN', 'FINGERSPELL') AND score > start) / nullif(count(*) FILTER (WHERE label IN ('SIGN', 'FINGERSPELL')), 0), 0) AS BIGINT) AS coverage, count(*) FILTER (WHERE {N} AND score > start) AS false_frames FROM st JOIN frames f ON f.session_id = st.session_id GROUP BY ALL),
+grid AS (SELECT neg_q, pos_q, count(*) AS windows, round(median(start), 6) AS start_median, round(stddev_pop(start), 4) AS start_stdev, {EXACT.format(s="sum(coverage)", n="count(coverage) * 100")} AS coverage, {EXACT.format(s="sum(false_frames) * 10000", n="count(false_frames)")} AS false_frames, {EXACT.format(s="count(*) FILTER (WHERE false_frames = 0) * 1000000", n="count(*)")} AS clean_pct FROM ev GROUP BY neg_q, pos_q)"""
 
 
 @query("grid_eval", f"WITH {GRID_SQL} SELECT * FROM grid")

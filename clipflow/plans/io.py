@@ -13,6 +13,7 @@ from clipflow.plans.segmentation import SEGMENTS, clips
 from clipflow.plans.tables import CLIPS, FRAMES, frames, table
 from clipflow.plans.text import bleu_sql, chrf_sql, stats_sql, summed
 from clipflow.sources import readers as R
+from clipflow.sources import ledger as L
 from clipflow.sources import sinks as K
 from clipflow.sources.shared import shared_dir
 
@@ -152,13 +153,17 @@ def sink_manifest(spark, sf):
     return spark.read.schema("id string, category string, reference string").json(path)
 
 
-@query("ledger_append", f"WITH {SEGMENTS} SELECT session_id, count(*) AS clips FROM clips GROUP BY session_id")
+@query("ledger_append", f"WITH {SEGMENTS} SELECT session_id || ':' || start_idx AS id, session_id, start_idx FROM clips")
 def ledger_append(spark, sf):
-    """Two batches of finished records, appended one after the other."""
-    path, c = shared_dir(spark, "ledger"), clips(spark, sf)
-    for part in ("session_id % 2 = 0", "session_id % 2 = 1"):
-        K.append_ledger(c.where(part).select("session_id", "start_idx"), path)
-    return spark.read.parquet(path).groupBy("session_id").agg(F.count("*").alias("clips"))
+    """Finished records of a stream, a file a batch, into the ledger; the second batch is committed twice more."""
+    path, source, c = shared_dir(spark, "ledger"), shared_dir(spark, "finished"), clips(spark, sf)
+    records = c.select(F.concat_ws(":", "session_id", "start_idx").alias("id"), "session_id", "start_idx")
+    for part in range(3):
+        records.where(f"session_id % 3 = {part}").coalesce(1).write.mode("append").parquet(source)
+    L.stream(spark.readStream.schema(records.schema).option("maxFilesPerTrigger", 1).parquet(source), path, f"{path}-state").trigger(availableNow=True).start().awaitTermination()
+    again = spark.read.schema("value string").text(f"{path}/batch=0000000001").select(F.from_json("value", "id string, session_id long, start_idx long").alias("r")).select("r.*")
+    L.commit(again, 3, path)  # the same records under another number: the last of an id counts once
+    return L.read(spark, path, "id string, session_id long, start_idx long")
 
 
 @query("sql_functions", "SELECT c_custkey AS id, round(CASE WHEN c_mktsegment = upper(n_name) THEN 1.0::DOUBLE ELSE 1.0::DOUBLE - levenshtein(c_mktsegment, upper(n_name)) / greatest(length(c_mktsegment), length(n_name))::DOUBLE END, 6) AS similarity FROM customer JOIN nation ON c_nationkey = n_nationkey")

@@ -1,4 +1,4 @@
-"""Sinks: sorted JSON lines, nested documents, partitioned landmarks, the resume ledger and the log tee."""
+"""Sinks: sorted JSON lines, nested documents, partitioned landmarks and the log tee; the resume ledger is in ledger.py."""
 
 from __future__ import annotations
 
@@ -25,11 +25,6 @@ def write_landmarks(df: DataFrame, path: str, clip: str = "clip") -> None:
     df.repartition(clip).write.partitionBy(clip).parquet(path)
 
 
-def append_ledger(batch: DataFrame, path: str) -> None:
-    """Finished records, appended; a record is there or not, never in part."""
-    batch.write.mode("append").parquet(path)
-
-
 def tee(batch: DataFrame, full: str, transcript: str, prefix: str = "Signer: ") -> None:
     """All lines to one folder, those with the prefix to another."""
     batch.write.mode("append").text(full)

@@ -21,6 +21,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.listener import StreamingQueryListener
 
@@ -133,11 +134,11 @@ class Late(StreamingQueryListener):
         pass
 
     def onQueryProgress(self, event) -> None:
-        if event.progress.runId == self.id:
+        if str(event.progress.runId) == self.id:
             self.rows += sum(s.numRowsDroppedByWatermark for s in event.progress.stateOperators)
 
     def onQueryTerminated(self, event) -> None:
-        if event.runId == self.id:
+        if str(event.runId) == self.id:
             self.over.set()
 
 
@@ -159,7 +160,7 @@ class Drained:
     late: int
 
 
-def run(build: Callable[[DataFrame], DataFrame], source: str, schema: str, out: str, files: int) -> tuple[str, Late]:
+def run(build: Callable[[DataFrame], DataFrame], source: str, schema: str, out: str, files: int) -> tuple[T.StructType, Late]:
     """Everything that ``source`` holds and that the checkpoint below ``out`` has not seen, ``files`` files a batch, appended to ``out``."""
     spark, late = SparkSession.active(), Late()
     spark.streams.addListener(late)
@@ -167,7 +168,7 @@ def run(build: Callable[[DataFrame], DataFrame], source: str, schema: str, out:
         with rocksdb(spark):
             frames = build(spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(source))
             q = frames.writeStream.format("parquet").option("path", f"{out}/data").option("checkpointLocation", f"{out}/checkpoint").outputMode("append").trigger(availableNow=True).start()
-            late.id = q.runId
+            late.id = str(q.runId)
             q.awaitTermination()
         late.over.wait(30)
     finally:

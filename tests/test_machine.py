@@ -127,3 +127,51 @@ def test_vote_is_cleared_on_a_start():
     for i in range(2):
         M.advance(gate, state, i, i * SEC // 10, 2.0, True)
     assert state["clip"] is not None and state["votes"] == []
+
+
+def straight(gate, rows):
+    """The idle decision of the pre-gated vote with profile and arming, by hand: indices of starts; a start ends the look."""
+    recent, votes, above = [], [], 0
+    start, stop, _ = gate.profile
+    for i, (score, present) in enumerate(rows):
+        recent = [*recent, score][-gate.smooth :]
+        hot = round(sum(recent) / len(recent), 6) > start / gate.factor
+        armed = i + 1 >= gate.arming
+        above = above + 1 if armed and hot else 0
+        votes = [*votes, bool(present) and hot][-gate.vote_n :]
+        if armed and above >= gate.debounce and sum(votes) >= gate.vote_k:
+            return i
+    return None
+
+
+def test_still_frames_with_hands_count_as_absent():
+    """Four still frames with hands and one moving frame without: the pre-gated vote starts nothing, the vote on every frame does."""
+    rows = [(0.0, True)] * 4 + [(3.0, False)]
+    for gated in (False, True):
+        gate = M.Gate(start=1.0, stop=0.5, smooth=1, debounce=1, still=SEC, vote_k=3, vote_n=5, gated_vote=gated)
+        state = M.new_state()
+        for i, (score, present) in enumerate(rows):
+            M.advance(gate, state, i, i * SEC // 30, score, present)
+        assert (state["clip"] is None) == gated
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from([0.0, 0.5, 0.9, 1.1, 2.0]), st.booleans()), max_size=40), st.integers(1, 12), st.sampled_from([1.0, 1.25, 2.0]))
+def test_pre_gated_start_with_a_profile(rows, arming, factor):
+    gate = M.Gate(smooth=2, debounce=2, still=SEC, vote_k=2, vote_n=4, gated_vote=True, factor=factor, profile=(1.0, 0.25, None), arming=arming)
+    state, found = M.new_state(), None
+    for i, (score, present) in enumerate(rows):
+        M.advance(gate, state, i, i * SEC // 30, score, present)
+        if state["clip"] is not None:
+            found = i
+            break
+    assert found == straight(gate, rows)
+
+
+def test_profile_drifts_with_the_floor_and_within_bounds():
+    gate = M.Gate(profile=(2.0, 0.5, 0.1), arming=60, still=SEC)
+    state, _ = run(gate, [0.12] * 200)
+    assert state["floor"] == pytest.approx(0.12) and M.thresholds(gate, state) == pytest.approx((2.4, 0.6))
+    state, _ = run(gate, [0.4] * 200)
+    assert M.thresholds(gate, state) == pytest.approx((2.8, 0.7))  # 4 times the profile's floor: held at 1.4
+    assert M.thresholds(gate, M.new_state()) == (2.0, 0.5)

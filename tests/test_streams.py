@@ -44,6 +44,15 @@ def shuffled(rows, rng, width):
     return [moved[i : i + n] for i in range(0, len(moved), n)]
 
 
+@pytest.fixture(autouse=True)
+def two_partitions(spark):
+    """A state store and a worker for each partition and batch are what these tests' time goes to."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 @pytest.fixture(scope="module")
 def rows():
     rng = random.Random(9)

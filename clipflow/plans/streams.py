@@ -83,9 +83,9 @@ def adaptive_floor(spark, sf):
 DISORDER, IDLE = 24 * HOUR, 400 * 24 * HOUR
 
 
-def landed(spark, sf, files=4):
+def landed(spark, sf, files=4, keep="true"):
     """Frames as files in the order of their times, moved by up to DISORDER; no order inside a file. One file after the other, as they would come."""
-    path, f = shared_dir(spark, "frames"), frames(spark, sf).select(*E.FRAME)
+    path, f = shared_dir(spark, "frames"), frames(spark, sf).select(*E.FRAME).where(keep)
     moved = f.withColumn("at", F.col("t") + F.pmod(F.xxhash64("session_id", "idx"), F.lit(DISORDER)))
     a, b = moved.agg(F.min("at"), F.max("at")).first()
     part = F.least(F.floor((F.col("at") - a) * files / (b - a + 1)), F.lit(files - 1))
@@ -103,10 +103,8 @@ def stream_segment(spark, sf):
 @query("in_order_emit", f"WITH {FRAMES} SELECT session_id, idx, row_number() OVER (PARTITION BY session_id ORDER BY idx) - 1 AS n FROM frames WHERE idx % 13 <> 7")
 def in_order_emit(spark, sf):
     """Every 13th index of a session never comes: the gap ends by the watermark, and the frames after it are released."""
-    path = shared_dir(spark, "gaps")
-    for k, name in enumerate(sorted(r.path for r in spark.read.format("binaryFile").load(landed(spark, sf)).select("path", "modificationTime").orderBy("modificationTime").collect())):
-        spark.read.schema(COLUMNS).parquet(name).where("idx % 13 <> 7").coalesce(1).write.mode("append").parquet(path)
-    return E.drained(spark, path, COLUMNS, lambda d: E.in_order(d, "48 hours", IDLE), shared_dir(spark, "ordered")).rows
+    source = landed(spark, sf, keep="idx % 13 <> 7")
+    return E.drained(spark, source, COLUMNS, lambda d: E.in_order(d, "48 hours", IDLE), shared_dir(spark, "ordered")).rows
 
 
 @query("latest_only", f"WITH {FRAMES} SELECT session_id, arg_max(idx, idx) AS idx, arg_max(t, idx) AS t, arg_max(score, idx) AS score FROM frames GROUP BY session_id")

@@ -301,17 +301,19 @@ def between(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return both.select(pairs.columns)
 
 
-def settled(open_pairs: DataFrame, sets: DataFrame, sure: DataFrame | None, rounds: int = 6) -> tuple[DataFrame, DataFrame]:
-    """Verify ``open_pairs`` as far as they matter: (pairs verified so far, their components).
+def settled(open_pairs: DataFrame, sets: DataFrame, sure: DataFrame | None, n: int, rounds: int = 6) -> tuple[DataFrame, DataFrame]:
+    """Verify ``open_pairs`` as far as they matter: (pairs verified so far, their components). n: the distinct texts of the table.
 
-    In a round each text is compared with its nearest by sketch; then pairs inside a component need no comparison. When there are not
-    many more pairs than texts left, or after ``rounds``, all that still lie between components are compared at once.
+    In a round each text is compared with its nearest by sketch; then pairs inside a component need no comparison. When the pairs are
+    not many more than the texts among them, or half as many as those of the table, or after ``rounds``, all that still lie between
+    components are compared at once: a comparison costs less than finding the components of a further round.
     """
     roots = None
     for k in range(rounds):
-        best = staged(nearest(open_pairs), "nearest")
         left = open_pairs.count()
-        last = left <= 2 * best.count() or k == rounds - 1
+        last = left <= n // 2 or k == rounds - 1
+        best = None if last else staged(nearest(open_pairs), "nearest")
+        last = last or left <= 2 * best.count()
         found = verified(open_pairs if last else best, sets)
         sure = staged(found if sure is None else sure.union(found), "sure")
         roots = staged(components(sure), "groups")
@@ -345,8 +347,8 @@ def deduplicate(docs: DataFrame, text: str = "text") -> DataFrame:
     names = contents.join(needed, "content", "left_semi").select(named(F.col("first.doc_id"), F.col("content")).alias("__name"))
     texts = boxed.select("content", "t", "__name").join(names, "__name", "left_semi").dropDuplicates(["__name"])
     sets = staged(shingle_sets(texts.select("content", "t")), "shingles")
-    sure, roots = settled(open_pairs, sets, None)
-    _, all_roots = settled(staged(likely(across(crowded, roots, sketches, n), sketches), "likely"), sets, sure)
+    sure, roots = settled(open_pairs, sets, None, n)
+    _, all_roots = settled(staged(likely(across(crowded, roots, sketches, n), sketches), "likely"), sets, sure, n)
     placed = contents.join(all_roots.withColumnRenamed("node", "content"), "content", "left").withColumn("root", F.coalesce("root", "content"))
     stays = placed.groupBy("root").agg(F.min("first").alias("first")).select(named(F.col("first.doc_id"), F.col("first.content")).alias("__name"))
     return boxed.select("row", "__name").join(stays, "__name", "left_semi").dropDuplicates(["__name"]).select("row.*")

@@ -37,19 +37,27 @@ def segments_by_count(df: DataFrame, start: float, stop: float, still_frames: in
 
 def segments_by_time(df: DataFrame, start: float, stop: float, still: int, least: int, score: str = "score") -> DataFrame:
     """Time rule: ends at the first frame ``still`` or later after the last motion; that tail counts. A clip still open at the end is lost."""
-    clips = segments(df, start, stop, 1, still, score).withColumnRenamed("end_t", "last_t").drop("end_idx")
-    later = df.select("session_id", F.col("idx").alias("end_idx"), F.col("t").alias("end_t"))
-    tail = clips.join(later, "session_id").where(F.col("end_t") - F.col("last_t") >= still)
-    first = tail.groupBy("session_id", "start_idx", "start_t", "last_t").agg(F.min(F.struct("end_idx", "end_t")).alias("e"))
-    return first.select("session_id", "start_idx", F.col("e.end_idx").alias("end_idx"), (F.col("e.end_t") - F.col("start_t")).alias("elapsed")).where(F.col("elapsed") >= least)
+    clips = segments(df, start, stop, 1, still, score).select("session_id", (F.col("end_t") + still).alias("t"), F.lit(None).cast("long").alias("idx"), F.struct("start_idx", "start_t").alias("__clip"))
+    both = df.select("session_id", "t", F.col("idx").cast("long").alias("idx"), F.lit(None).cast(clips.schema["__clip"].dataType).alias("__clip")).unionByName(clips)
+    # backwards in time, a clip's due time comes after the frames from it on: the last of those is the first frame not before it
+    back = W.partitionBy("session_id").orderBy(F.desc("t"), F.col("__clip").isNotNull(), F.desc("idx")).rowsBetween(W.unboundedPreceding, 0)
+    ended = both.withColumn("e", F.last(F.when(F.col("__clip").isNull(), F.struct("idx", "t")), ignorenulls=True).over(back)).where("__clip IS NOT NULL AND e IS NOT NULL")
+    return ended.select("session_id", F.col("__clip.start_idx").alias("start_idx"), F.col("e.idx").alias("end_idx"), (F.col("e.t") - F.col("__clip.start_t")).alias("elapsed")).where(F.col("elapsed") >= least)
 
 
 def moving_fraction(clips: DataFrame, frames: DataFrame, stop: float, score: str = "score") -> DataFrame:
-    """Adds moving_fraction: the share of a clip's scored frames above ``stop``; 1 if none is scored."""
-    f = frames.select("session_id", F.col("idx").alias("__i"), F.col(score).alias("__s"))
-    inside = clips.join(f, "session_id").where("__i BETWEEN start_idx AND end_idx")
-    share = F.coalesce(F.avg(F.when(F.col("__s").isNotNull(), F.when(F.col("__s") > stop, 1.0).otherwise(0.0))), F.lit(1.0))
-    return inside.groupBy(*clips.columns).agg(F.round(share, 6).alias("moving_fraction"))
+    """Adds moving_fraction: the share of a clip's scored frames above ``stop``; 1 if none is scored.
+
+    clips: start_idx and end_idx are frames of the session (a clip whose frames are not there goes). Scored and moving frames are
+    totalled along the session and looked up at the clip's two edges.
+    """
+    scored, moves = (F.when(c, 1).otherwise(0) for c in (F.col(score).isNotNull(), F.col(score) > stop))
+    upto = over(rows=(W.unboundedPreceding, 0))
+    totals = frames.select("session_id", F.col("idx").alias("__i"), scored.alias("__s"), moves.alias("__m"), F.sum(scored).over(upto).alias("__scored"), F.sum(moves).over(upto).alias("__moving"))
+    edges = clips.select("*", F.inline(F.array(F.struct(F.col("start_idx").alias("__i"), F.lit(-1).alias("__sign")), F.struct(F.col("end_idx").alias("__i"), F.lit(1).alias("__sign")))))
+    before = lambda total, own: F.when(F.col("__sign") > 0, F.col(total)).otherwise(F.col(own) - F.col(total))
+    held = edges.join(totals, ["session_id", "__i"]).groupBy(*clips.columns).agg(F.sum(before("__scored", "__s")).alias("__s"), F.sum(before("__moving", "__m")).alias("__m"))
+    return held.select(*clips.columns, F.round(F.coalesce(F.try_divide("__m", "__s"), F.lit(1.0)), 6).alias("moving_fraction"))
 
 
 def accepted(clips: DataFrame, least: int, fraction: float = 0.5) -> DataFrame:
@@ -73,12 +81,12 @@ def motion_onset(triggers: DataFrame, frames: DataFrame, stop: float, ring: int
     most), or the ring's first; then ``lead`` frames earlier, not before the ring.
     """
     w = over(rows=(1 - quiet, 0))
-    ends = frames.withColumn("__quiet", (F.max("score").over(w) <= stop) & (F.count("score").over(w) == quiet)).where("__quiet").select("session_id", F.col("idx").alias("__end"))
+    rests = (F.max("score").over(w) <= stop) & (F.count("score").over(w) == quiet)
+    marked = frames.select("session_id", "idx", F.when(rests, F.col("idx")).alias("__quiet"))
+    latest = marked.select("session_id", F.col("idx").alias("trigger_idx"), F.last("__quiet", ignorenulls=True).over(over(rows=(W.unboundedPreceding, 0))).alias("__end"))
     low = F.greatest(F.col("trigger_idx") - (ring - 1), F.lit(0))
-    near = triggers.withColumn("__low", low).join(ends, "session_id", "left")
-    inside = (F.col("__end") <= F.col("trigger_idx")) & (F.col("__end") - (quiet - 1) >= F.col("__low"))
-    found = near.groupBy("session_id", "trigger_idx", "__low").agg(F.max(F.when(inside, F.col("__end"))).alias("__end"))
-    onset = F.when(F.col("__end").isNull(), F.col("__low")).otherwise(F.least(F.col("__end") + 1, F.col("trigger_idx")))
+    found = triggers.select("session_id", "trigger_idx").join(latest, ["session_id", "trigger_idx"], "left").withColumn("__low", low)
+    onset = F.when(F.col("__end") - (quiet - 1) >= F.col("__low"), F.least(F.col("__end") + 1, F.col("trigger_idx"))).otherwise(F.col("__low"))
     return found.select("session_id", "trigger_idx", F.greatest(onset - lead, F.col("__low")).alias("onset_idx"))
 
 

@@ -3,7 +3,6 @@ form of the vectors' sums."""
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
@@ -12,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from clipflow.functions.ngrams import overlap_columns, parts
 from clipflow.functions.text import char_similarity, tokens_13a
 
 ORDERS, CHARS, BETA = 4, 6, 2.0
@@ -30,61 +30,49 @@ def grams(values: Column, n: int, text: bool = False) -> Column:
     return F.transform(F.array(values), cut)[0]  # bound to a variable, so that the values are made once and not for each gram
 
 
-def overlap(hyp, ref, orders: int) -> list[int]:
-    """Matches, hypothesis and reference totals of each order; a gram matches as often as both sides have it."""
-    matches, h_total, r_total = [], [], []
-    for n in range(1, orders + 1):
-        h, r = (Counter(zip(*(x[k:] for k in range(n)), strict=False)) for x in (hyp, ref))
-        matches.append(sum((h & r).values()))
-        h_total.append(max(0, len(hyp) - n + 1))
-        r_total.append(max(0, len(ref) - n + 1))
-    return matches + h_total + r_total
+def counted(df: DataFrame, keys: list[str], kinds: list[tuple[str, str, int, tuple[str, str, str]]]) -> DataFrame:
+    """Per row: for each (hypothesis, reference, orders, names) the overlap of these columns, token arrays or texts.
 
-
-def counted(df: DataFrame, keys: list[str], orders: int, names: tuple[str, str, str]) -> DataFrame:
-    """Per row: the overlap of its columns h and r, token arrays or texts. Counting stays in the row's task: exploding a clip into its
-    grams would shuffle some thousand rows for it."""
-    columns = [f"{k}{n}" for k in names for n in range(1, orders + 1)]
-    kept = [df.schema[k] for k in keys]
-    schema = T.StructType([*kept, *(T.StructField(c, T.LongType(), False) for c in columns)])
+    Counting stays in the row's task: exploding a clip into its grams would shuffle some thousand rows for it. Rows are counted
+    together in parts of bounded bytes.
+    """
+    columns = [f"{k}{n}" for _, _, orders, names in kinds for k in names for n in range(1, orders + 1)]
+    schema = T.StructType([*(df.schema[k] for k in keys), *(T.StructField(c, T.LongType(), False) for c in columns)])
+    pairs = [kind[:3] for kind in kinds]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [overlap(h, r, orders) for h, r in zip(b.column("h").to_pylist(), b.column("r").to_pylist(), strict=True)]
-            counts = zip(*rows, strict=True) if rows else [[] for _ in columns]
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keys), *(pa.array(c, pa.int64()) for c in counts)], names=[*keys, *columns])
+            for part in parts(b):
+                found = [c for h, r, orders in pairs for c in overlap_columns(part.column(h), part.column(r), orders).T]
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keys), *(pa.array(c, pa.int64()) for c in found)], names=[*keys, *columns])
 
-    return df.select(*keys, "h", "r").mapInArrow(run, schema)
+    return df.select(*keys, *(c for h, r, _ in pairs for c in (h, r))).mapInArrow(run, schema)
 
 
-def all_stats(df: DataFrame, keys: list[str], hyp: str, ref: str, chars: Column) -> DataFrame:
-    """The columns of BLEU and, for the rows where ``chars`` holds, of CHRF (else zeros), from one pass."""
-    names = [*BLEU[:-2], *(f"u{n}" for n in range(1, ORDERS + 1)), *CHRF]
-    schema = T.StructType([*(df.schema[k] for k in keys), *(T.StructField(c, T.LongType(), False) for c in names)])
-    bare = lambda c: F.when(chars, F.regexp_replace(c, r"\s+", ""))
-    prepared = df.select(*keys, tokens_13a(hyp).alias("h"), tokens_13a(ref).alias("r"), bare(hyp).alias("hc"), bare(ref).alias("rc"))
+def bare(text: str) -> Column:
+    """The text without white space, as chrF compares it."""
+    return F.regexp_replace(text, r"\s+", "")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            h, r, hc, rc = (b.column(c).to_pylist() for c in ("h", "r", "hc", "rc"))
-            rows = [overlap(h[i], r[i], ORDERS) + (overlap(hc[i], rc[i], CHARS) if hc[i] is not None else [0] * len(CHRF)) for i in range(b.num_rows)]
-            counts = zip(*rows, strict=True) if rows else [[] for _ in names]
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keys), *(pa.array(c, pa.int64()) for c in counts)], names=[*keys, *names])
 
-    found = prepared.mapInArrow(run, schema)
+OF_BLEU, OF_CHRF = ("h", "r", ORDERS, ("m", "t", "u")), ("hc", "rc", CHARS, ("cm", "ch", "cr"))
+
+
+def all_stats(df: DataFrame, keys: list[str], hyp: str, ref: str, chars: Column) -> DataFrame:
+    """The columns of BLEU and, for the rows where ``chars`` holds, of CHRF (else zeros), from one pass. A null text is an empty one."""
+    prepared = df.select(*keys, tokens_13a(hyp).alias("h"), tokens_13a(ref).alias("r"), F.when(chars, bare(hyp)).alias("hc"), F.when(chars, bare(ref)).alias("rc"))
+    found = counted(prepared, keys, [OF_BLEU, OF_CHRF])
     return found.withColumns({"hyp_len": F.col("t1"), "ref_len": F.col("u1")}).select(*keys, *BLEU, *CHRF)
 
 
 def bleu_stats(df: DataFrame, keys: list[str], hyp: str, ref: str) -> DataFrame:
     """The columns of BLEU, one row for each row of ``df``."""
-    found = counted(df.select(*keys, tokens_13a(hyp).alias("h"), tokens_13a(ref).alias("r")), keys, ORDERS, ("m", "t", "u"))
+    found = counted(df.select(*keys, tokens_13a(hyp).alias("h"), tokens_13a(ref).alias("r")), keys, [OF_BLEU])
     return found.withColumns({"hyp_len": F.col("t1"), "ref_len": F.col("u1")}).select(*keys, *BLEU)
 
 
 def chrf_stats(df: DataFrame, keys: list[str], hyp: str, ref: str) -> DataFrame:
     """The columns of CHRF, one row for each row of ``df``."""
-    bare = lambda c: F.regexp_replace(c, r"\s+", "")
-    return counted(df.select(*keys, bare(hyp).alias("h"), bare(ref).alias("r")), keys, CHARS, ("cm", "ch", "cr"))
+    return counted(df.select(*keys, bare(hyp).alias("hc"), bare(ref).alias("rc")), keys, [OF_CHRF])
 
 
 def bleu(get=F.col, effective: bool = False) -> Column:

@@ -8,8 +8,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes of text that are counted at a time; a single longer row is one part.
-PART_BYTES = 1 << 18
+#: Bytes of text that are counted at a time, few enough for a core's cache; a single longer row is one part.
+PART_BYTES = 1 << 15
 
 
 def parts(batch: pa.RecordBatch, most: int = PART_BYTES) -> Iterator[pa.RecordBatch]:

@@ -5,8 +5,11 @@ consecutive words of an item, or the whole of a shorter one. The automaton works
 positions at once, and those are mapped to offsets in the original text.
 
 Its patterns are ANCHOR words of an item, one every WINDOW - ANCHOR + 1, so that every window of the item holds one; a match is
-extended over the words around it in all items that have the anchor there, and counts where it reaches a window. So the automaton
-has about half a node for each benchmark word instead of ten. It is built inside each task from the items, which are
+extended over the words around it at all places of the anchor, and counts where it reaches a window. So the automaton has about half
+a node for each benchmark word instead of ten. An anchor that begins at more than PLACES places of the benchmark ("which of the following")
+is not used: each window that it was to cover gets the rarest ANCHOR words it holds, and a window all of whose words are so common
+is a pattern itself, with the list of its items. So an occurrence costs PLACES comparisons at most, whatever the items share, and
+the items of a window are gathered once a text. The automaton is built inside each task from the items, which are
 broadcast: BLOCK_BYTES of them at most. A larger benchmark is dealt over as many blocks as that takes by a hash of id and text (equal texts
 under many ids are dealt too); each block's automaton then reads the texts once and only what it finds is written, by the text's md5,
 never the texts. Nothing is left out.
@@ -30,6 +33,8 @@ from clipflow.llm.common import map_slices, staged
 from clipflow.llm.common import table as read
 
 WINDOW, ANCHOR, BLOCK_BYTES = 10, 4, 16 << 20
+#: Most places of an anchor in a block of the benchmark.
+PLACES = 8
 EVERY = WINDOW - ANCHOR + 1
 #: Found texts that are sent to all executors instead of being joined by a shuffle.
 FEW = 100_000
@@ -50,17 +55,24 @@ class Matcher:
         import ahocorasick
 
         self.names, self.number = [i for i, _ in items], {}
-        number, flat, starts, anchors, wholes = self.number, [-1] * EVERY, [], {}, {}  # -1: between items; words of no item are 0
-        for k, (_, text) in enumerate(items):
+        number, flat, starts, spans = self.number, [-1] * EVERY, [], []  # -1: between items; words of no item are 0
+        for _, text in items:
             ids = [number.setdefault(w, len(number) + 1) for w in words_of(text)]
             starts.append(len(flat))
-            if len(ids) >= WINDOW:
-                for at in range(0, len(ids) - ANCHOR + 1, EVERY):
-                    anchors.setdefault(tuple(ids[at : at + ANCHOR]), []).append(len(flat) + at)
-            elif ids:
-                wholes.setdefault(tuple(ids), []).append(k)
+            spans.append(len(ids))
             flat += [*ids, -1]
         self.flat, self.starts = np.array(flat + [-1] * WINDOW, np.int32), np.array(starts, np.int64)
+        often = occurrences(self.flat)
+        anchors: dict[tuple, list[int]] = {}
+        wholes: dict[tuple, list[int]] = {}
+        for k, (start, n) in enumerate(zip(starts, spans, strict=True)):
+            places, windows = chosen(often[start : start + n], n)
+            for at in places:
+                anchors.setdefault(tuple(flat[start + at : start + at + ANCHOR]), []).append(start + at)
+            for at in windows:
+                of = wholes.setdefault(tuple(flat[start + at : start + min(at + WINDOW, n)]), [])
+                if not of or of[-1] != k:
+                    of.append(k)
         patterns = list(dict.fromkeys([*anchors, *wholes]))
         self.anchors, self.wholes = ([held.get(p) for p in patterns] for held in (anchors, wholes))
         self.sizes = [len(p) for p in patterns]
@@ -79,14 +91,16 @@ class Matcher:
         found = list(self.automaton.iter(ids))
         if not found:
             return [], set()
-        edge, items = np.zeros(len(words) + 1, np.int64), set()
+        edge, items, listed = np.zeros(len(words) + 1, np.int64), set(), set()
         around = np.concatenate([np.full(EVERY, -2, np.int32), np.array(ids, np.int32), np.full(WINDOW, -2, np.int32)])
         for end, k in found:
             first = end + 1 - self.sizes[k]
             if (of := self.wholes[k]) is not None:
                 edge[first] += 1
                 edge[end + 1] -= 1
-                items.update(of)
+                if k not in listed:
+                    listed.add(k)
+                    items.update(of)
             if (at := self.anchors[k]) is not None:
                 left, right, which = self.extended(around, first, np.array(at, np.int64))
                 np.add.at(edge, first - left, 1)
@@ -106,6 +120,36 @@ class Matcher:
         return left[ok], right[ok], np.searchsorted(self.starts, at[ok], "right") - 1
 
 
+def occurrences(flat: np.ndarray) -> np.ndarray:
+    """For each place, how often the ANCHOR words that begin there occur, by a hash of them (equal hashes only make words look more common)."""
+    n = len(flat) - ANCHOR + 1
+    mixed = np.zeros(n, np.uint64)
+    for i in range(ANCHOR):
+        mixed = (mixed ^ flat[i : i + n].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+    _, which, counts = np.unique(mixed, return_inverse=True, return_counts=True)
+    return counts[which]
+
+
+def chosen(often: np.ndarray, n: int) -> tuple[list[int], list[int]]:
+    """Places of an item of ``n`` words that become anchors, and those of windows that are patterns themselves; they cover all its windows."""
+    if n < WINDOW:
+        return [], [0] if n else []
+    regular = np.arange(0, n - ANCHOR + 1, EVERY)
+    rare = often[regular] <= PLACES
+    if rare.all():
+        return regular.tolist(), []
+    places, windows = set(regular[rare].tolist()), []
+    for at in regular[~rare].tolist():
+        for first in range(max(0, at - EVERY + 1), min(at, n - WINDOW) + 1):
+            best = first + int(np.argmin(often[first : first + EVERY]))
+            if often[best] <= PLACES:
+                places.add(best)
+            else:
+                windows.append(first)
+    return sorted(places), windows
+
+
 def original_spans(text: str, ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Word ranges as code point offsets of the original text."""
     at = [m.span() for m in WORD.finditer(text)]

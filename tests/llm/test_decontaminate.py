@@ -2,6 +2,7 @@
 
 import random
 import resource
+import time
 
 import pytest
 
@@ -34,6 +35,34 @@ def test_matcher_by_brute_force():
         assert ({i for a, b in ranges for i in range(a, b)}, found) == brute(items, D.words_of(body))
 
 
+@pytest.mark.parametrize("most", [0, 1, 8])
+def test_common_openings_by_brute_force(monkeypatch, most):
+    """Anchors given up for rarer ones and for whole windows find the same."""
+    monkeypatch.setattr(D, "PLACES", most)
+    rng = random.Random(most)
+    for _ in range(150):
+        text = lambda n: " ".join(rng.choice("abcdef") for _ in range(n))
+        opening = text(rng.choice([4, 9, 12, 20]))
+        items = [(f"i{rng.randint(0, 30)}", f"{opening} {text(rng.choice([0, 3, 12]))} {opening if rng.random() < 0.2 else ''}") for _ in range(rng.randint(1, 40))]
+        body = " ".join(rng.choice([opening, rng.choice(items)[1], text(5)]) for _ in range(6))
+        ranges, found = D.Matcher(items)(D.words_of(body))
+        assert ({i for a, b in ranges for i in range(a, b)}, found) == brute(items, D.words_of(body))
+
+
+@pytest.mark.parametrize("shared", [4, 12])
+def test_fifty_thousand_items_with_one_opening(shared):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(5000)]
+    opening = " ".join(f"o{i}" for i in range(shared))
+    items = [(str(i), f"{opening} {' '.join(rng.choices(words, k=20))}") for i in range(50_000)]
+    m = D.Matcher(items)
+    body = D.words_of(" ".join(f"{opening} {rng.choice(words)}" for _ in range(10_000 // (shared + 1))) + " " + items[4][1])
+    began = time.process_time()
+    ranges, found = m(body)
+    assert time.process_time() - began < 1 and (len(found) == 50_000 if shared > 10 else found == {"4"})
+    assert ranges[-1] == (len(body) - shared - 20, len(body)) if shared < 10 else ranges[-1][1] == len(body)
+
+
 def test_twenty_megabytes_in_a_few_scans(spark, monkeypatch):
     """A text is read once for 16 MB of benchmark, and the automaton is small."""
     rng = random.Random(9)

@@ -17,6 +17,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(df: DataFrame) -> None:
+    """Ask the driver's JVM to collect: Spark removes the shuffle files of plans nothing refers to any more only then, so those of an
+    iteration would otherwise lie on the executors' disks until its heap fills."""
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
 def large_star(edges: DataFrame) -> DataFrame:
     """Hang each node's larger neighbours under the least node around."""
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -45,4 +51,5 @@ def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
             return roots.union(now.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
         state = tuple(seen)
         now = cut(small_star(large_star(now)))
+        release(now)
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")

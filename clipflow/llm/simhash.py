@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 
 from clipflow.llm.common import map_slices, staged
 from clipflow.llm.common import table as read
-from clipflow.llm.graph import components
+from clipflow.llm.graph import components, release
 
 SHINGLE, SEED, BITS_APART = 3, 42, 2
 SEGMENTS, GROUPS, CELL = 32, 5, 64
@@ -317,6 +317,7 @@ def settled(open_pairs: DataFrame, sets: DataFrame, sure: DataFrame | None, n: i
         found = verified(open_pairs if last else best, sets)
         sure = staged(found if sure is None else sure.union(found), "sure")
         roots = staged(components(sure), "groups")
+        release(roots)
         if last:
             break
         open_pairs = staged(between(open_pairs.join(best, ["a", "b"], "left_anti"), roots), "open")
@@ -340,6 +341,7 @@ def deduplicate(docs: DataFrame, text: str = "text") -> DataFrame:
     n, sketches = contents.count(), contents.select("content", "sketch")
     close, crowded = candidates(contents.select("content", "fp", "bands"), n)
     open_pairs = staged(likely(close, sketches), "likely")
+    release(open_pairs)
 
     # doc_id and content together name a text, so that copies of one text are not dealt to one task
     boxed = docs.select(F.struct("*").alias("row"), F.col(text).alias("t"), F.xxhash64(text).alias("content"), named(F.col("doc_id"), F.xxhash64(text)).alias("__name"))

@@ -53,13 +53,36 @@ def padded_square(points: Column, width: int, height: int, pad: int = 10) -> Col
     return F.struct(clamp(x1 - more_x, width).alias("x1"), clamp(y1 - more_y, height).alias("y1"), clamp(x2 + more_x, width).alias("x2"), clamp(y2 + more_y, height).alias("y2"))
 
 
+def part_box(points: Column, which: tuple[int, ...], width: int, height: int) -> Column:
+    """The box of the points ``which``, in pixels cut off towards zero."""
+    xs, ys = (pixels(F.array(*(points[i] for i in which)), i, size) for i, size in ((0, width), (1, height)))
+    return F.struct(F.array_min(xs).alias("x1"), F.array_min(ys).alias("y1"), F.array_max(xs).alias("x2"), F.array_max(ys).alias("y2"))
+
+
+def padded_union(parts: list[Column], width: int, height: int, pad: int = 10) -> Column:
+    """The box around all ``parts`` with ``pad`` pixels, clamped to the image; then the shorter side gets half the difference on each side and is clamped again."""
+    least = lambda n: F.least(*(p[n] for p in parts)) if len(parts) > 1 else parts[0][n]
+    most = lambda n: F.greatest(*(p[n] for p in parts)) if len(parts) > 1 else parts[0][n]
+    inside = lambda low, high, more, size: (F.greatest(F.lit(0), low - more), F.least(F.lit(size), high + more))
+    (x1, x2), (y1, y2) = inside(least("x1"), most("x2"), pad, width), inside(least("y1"), most("y2"), pad, height)
+    wanting = lambda own, other: F.greatest(F.floor((other - own) / 2).cast("int"), F.lit(0))
+    (x1, x2), (y1, y2) = inside(x1, x2, wanting(x2 - x1, y2 - y1), width), inside(y1, y2, wanting(y2 - y1, x2 - x1), height)
+    return F.struct(x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2"))
+
+
 def unit(seed: int, *parts: Column) -> Column:
     """A number in [-1, 1] that depends on nothing but the seed and ``parts``."""
     return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *(p.cast("string") for p in parts))), 1, 8), 16, 10).cast("double") / 4294967295.0 * 2 - 1
 
 
-def jittered(box: Column, seed: int, stream: Column, index: Column, most_scale: float, most_shift: float, width: int, height: int) -> Column:
-    """The box scaled about its centre and moved, rounded half to even and clamped; one pixel at least remains."""
+def jittered(box: Column, seed: int, stream: Column, index: Column, most_scale: float, most_shift: float, width: int, height: int, static: bool = False, streams: tuple[str, ...] | None = None) -> Column:
+    """The box scaled about its centre and moved, rounded half to even and clamped; one pixel at least remains.
+
+    ``static``: the same displacement for every frame. ``streams``: boxes of other streams stay as they are; none at all is an error.
+    """
+    if streams is not None and not streams:
+        raise ValueError("no streams to perturb")
+    index = F.lit(0) if static else index
     draw = lambda what: unit(seed, stream, index, F.lit(what))
     scale = 1 + most_scale * draw("scale")
 
@@ -71,7 +94,8 @@ def jittered(box: Column, seed: int, stream: Column, index: Column, most_scale:
         return a, F.greatest(b, a + 1)
 
     (x1, x2), (y1, y2) = side("x1", "x2", width, "x"), side("y1", "y2", height, "y")
-    return F.struct(x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2"))
+    moved = F.struct(x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2"))
+    return moved if streams is None else F.when(stream.isin(*streams), moved).otherwise(box)
 
 
 def distance(p: Column, q: Column, dims: int = 2) -> Column:

@@ -26,6 +26,25 @@ def compared(runs: DataFrame) -> DataFrame:
     return wide.select("category", "metric", "a", "b", F.round(F.col("b") - F.col("a"), 4).alias("delta"))
 
 
+def speeds(runs: DataFrame, millis: str = "millis") -> DataFrame:
+    """Per category and overall (ALL): mean seconds a clip of both runs, and how many times faster b is. Clips without a time don't count.
+
+    Times are whole milliseconds, so sums do not depend on their order. A run without times has null; so has a ratio to no time at all.
+    """
+    sets = runs.groupingSets([[F.col("run")], [F.col("category"), F.col("run")]], "category", "run")
+    each = sets.agg(F.sum(millis).alias("ms"), F.count(millis).alias("n"), F.grouping("category").alias("all"))
+    named = each.select(F.when(F.col("all") == 1, "ALL").otherwise(F.col("category")).alias("category"), "run", F.try_divide("ms", F.col("n") * 1000).alias("mean"))
+    wide = named.groupBy("category").agg(*(F.max(F.when(F.col("run") == r, F.col("mean"))).alias(r) for r in "ab"))
+    return wide.select("category", F.round("a", 4).alias("seconds_a"), F.round("b", 4).alias("seconds_b"), F.round(F.try_divide("a", "b"), 4).alias("speed_up"))
+
+
+def recalls(nouns: DataFrame) -> DataFrame:
+    """nouns: run, best (similarity of each reference noun). The share found exactly in both runs, in hundredths, and the difference; no row unless both have nouns."""
+    share = lambda r: F.try_divide(100.0 * F.count_if((F.col("run") == r) & (F.col("best") == 1)), F.count_if(F.col("run") == r))
+    both = nouns.agg(share("a").alias("a"), share("b").alias("b")).where("a is not null and b is not null")
+    return both.select(F.lit("proper_noun_recall").alias("metric"), F.round("a", 4).alias("a"), F.round("b", 4).alias("b"), F.round(F.col("b") - F.col("a"), 4).alias("delta"))
+
+
 def paired(stats: DataFrame) -> DataFrame:
     """One row per clip: the BLEU statistics of both runs as a_... and b_..."""
     return stats.groupBy("id").agg(*(F.max(F.when(F.col("run") == r, F.col(n))).alias(f"{r}_{n}") for r in "ab" for n in M.BLEU))

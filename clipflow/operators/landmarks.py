@@ -60,3 +60,16 @@ def resampled(df: DataFrame, clip: str, frame: str, value: str, n: int = 128) ->
     slots = sizes.select(clip, "__n", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("slot"))
     source = F.when(F.col("__n") > n, F.floor(F.col("slot") * (F.col("__n") - 1) / (n - 1))).otherwise(F.col("slot"))
     return slots.withColumn(frame, source.cast("long")).join(df.select(clip, frame, value), [clip, frame], "left").select(clip, "slot", F.coalesce(value, F.lit(0.0)).alias(value))
+
+
+def crop_sources(df: DataFrame, by: list[str], frame: str, landmarks: str, parts: list[str]) -> DataFrame:
+    """For each frame and part, what its crop shows: adds {part}_crop, a struct of ``image`` (the frame that is cut) and ``box``; null: a blank.
+
+    ``landmarks`` is a struct of ``pose`` (boolean) and a box for each part, and null where the whole frame was missed. Then the last frame's
+    landmarks stand in, on this frame's image. A part that has no box, or a frame without a pose, keeps the part's last crop.
+    """
+    upto = W.partitionBy(*by).orderBy(frame).rowsBetween(W.unboundedPreceding, 0)
+    d = df.withColumn("__now", F.last(landmarks, ignorenulls=True).over(upto))
+    now = F.col("__now")
+    fresh = lambda part: F.when(now["pose"] & now[part].isNotNull(), F.struct(F.col(frame).alias("image"), now[part].alias("box")))
+    return d.withColumns({f"{part}_crop": F.last(fresh(part), ignorenulls=True).over(upto) for part in parts}).drop("__now")

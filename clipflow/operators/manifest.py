@@ -69,6 +69,20 @@ def not_done(inputs: DataFrame, done: DataFrame, problems: DataFrame) -> DataFra
     return inputs.join(done.select("stem"), "stem", "left_anti").join(problems.select("path"), "path", "left_anti")
 
 
+def not_named(inputs: DataFrame, lines: DataFrame, path: str = "path", line: str = "line") -> DataFrame:
+    """Inputs whose path is no part of any line of a problem list. Null paths stay; an empty path is a part of any line.
+
+    A line that holds a path holds the path's last letters at its end, so each line names all its pieces as long as the shortest path, and only
+    pieces equal to a path's end are searched: an equality in place of all paths times all lines.
+    """
+    least = inputs.agg(F.min(F.length(path))).first()[0] or 0
+    text = lines.select(F.col(line).alias("__line")).where("__line is not null")
+    starts = F.sequence(F.lit(1), F.length("__line") - least + 1)
+    pieces = text.where(F.length("__line") >= least).select("__line", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substr("__line", i, F.lit(least))))).alias("__end"))
+    d = inputs.withColumn("__key", F.right(path, F.lit(least)))
+    return d.join(pieces, (d["__key"] == pieces["__end"]) & F.contains(pieces["__line"], d[path]), "left_anti").drop("__key")
+
+
 def subset(rows: DataFrame, available: Column, videos: int = 6, clips: int = 60, least: float = 0.8) -> DataFrame:
     """A bounded subset of annotations: yid, start (text), end, start_s, end_s, first (the video's first place).
 

@@ -25,6 +25,13 @@ def write_landmarks(df: DataFrame, path: str, clip: str = "clip") -> None:
     df.repartition(clip).write.partitionBy(clip).parquet(path)
 
 
+def write_stats(df: DataFrame, path: str, clip: str = "clip") -> None:
+    """JSON lines of each clip's frames in a folder of its own, beside its landmarks; the row with no frame holds the clip's largest counts."""
+    counts = [c for c in df.columns if c not in (clip, "frame")]
+    every = df.groupingSets([[F.col(clip), F.col("frame")], [F.col(clip)]], clip, "frame").agg(*(F.max(c).alias(c) for c in counts))
+    every.repartition(clip).sortWithinPartitions(clip, F.col("frame").asc_nulls_last()).write.partitionBy(clip).json(path)
+
+
 def tee(batch: DataFrame, full: str, transcript: str, prefix: str = "Signer: ") -> None:
     """All lines to one folder, those with the prefix to another."""
     batch.write.mode("append").text(full)

@@ -9,7 +9,7 @@ import pytest
 from clipflow.plans import ORACLES, QUERIES
 
 
-@pytest.mark.parametrize("name", ["joint_subset", "norm_points", "pack_slots"])
+@pytest.mark.parametrize("name", ["joint_subset", "norm_points", "pack_slots", "pad_batch"])
 def test_negative_zeros(spark, name):
     sf = tempfile.mkdtemp(prefix="spark-")
     rows = [(i, [(-1) ** (i + j) * 10.0 ** -(j % 9 + 1) for j in range(64)], i % 2) for i in range(12)] + [(12, [-0.0] * 64, 0)]

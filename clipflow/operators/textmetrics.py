@@ -99,6 +99,14 @@ def chrf(get=F.col) -> Column:
 
 
 def best_similarity(nouns: Column, tokens: Column) -> Column:
-    """For each noun the highest similarity to a token; 0 without tokens."""
-    best = lambda t: F.transform(nouns, lambda w: F.coalesce(F.array_max(F.transform(t, lambda g: char_similarity(w, g))), F.lit(0.0)))
+    """For each noun the highest similarity to a token; 0 without tokens.
+
+    A noun that is a token has 1 without any edit distance; for others a token whose length alone keeps it from being better is passed over.
+    """
+
+    def most(t: Column, w: Column) -> Column:
+        bound = lambda g: 1.0 - F.abs(F.length(w) - F.length(g)) / F.greatest(F.length(w), F.length(g))
+        return F.aggregate(t, F.lit(0.0), lambda x, g: F.when(bound(g) <= x, x).otherwise(F.greatest(x, char_similarity(w, g))))
+
+    best = lambda t: F.transform(nouns, lambda w: F.when(F.array_contains(t, w), 1.0).otherwise(most(t, w)))
     return F.transform(F.array(F.array_distinct(tokens)), best)[0]  # bound to a variable, as above; a repeat can't be better

@@ -9,10 +9,11 @@ from clipflow.functions import text as X
 from clipflow.operators import compare as C
 from clipflow.operators import landmarks as L
 from clipflow.operators import manifest as A
+from clipflow.operators import textmetrics as M
 from clipflow.plans.landmarks import H_, HB, MOVED, V, W_, boxed, vectors
 from clipflow.plans.registry import query
 from clipflow.plans.tables import CLIPS, clips, table
-from clipflow.plans.text import BEST, nouns_sql, noun_rows
+from clipflow.plans.text import BEST, nouns_sql
 from clipflow.sources import sinks as K
 from clipflow.sources.shared import shared_dir
 
@@ -96,5 +97,6 @@ def run_speed(spark, sf):
 nb AS (SELECT run, round(unnest({BEST}), 6) AS best FROM n), r AS (SELECT 100.0::DOUBLE * count(*) FILTER (WHERE run = 'a' AND best = 1) / count(*) FILTER (WHERE run = 'a') AS a, 100.0::DOUBLE * count(*) FILTER (WHERE run = 'b' AND best = 1) / count(*) FILTER (WHERE run = 'b') AS b FROM nb HAVING count(*) > 0)
 SELECT 'proper_noun_recall' AS metric, round(a, 4) AS a, round(b, 4) AS b, round(b - a, 4) AS delta FROM r""")
 def run_recall(spark, sf):
-    of = lambda run: noun_rows(spark, sf, X.letters(F.lower(f"hyp_{run}"))).select(F.lit(run).alias("run"), "best")
-    return C.recalls(of("a").union(of("b")))
+    c = clips(spark, sf).select(X.proper_nouns("reference").alias("nouns"), *(X.letters(F.lower(f"hyp_{r}")).alias(r) for r in "ab"))
+    runs = F.array(*(F.struct(F.lit(r).alias("run"), M.best_similarity(F.col("nouns"), F.col(r)).alias("all")) for r in "ab"))
+    return C.recalls(c.select(F.inline(runs)).select("run", F.explode("all").alias("best")).withColumn("best", F.round("best", 6)))

@@ -26,11 +26,14 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_runs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Evaluation runs, one JSON object each: (run, outputs exploded) and (run, open configuration as a map)."""
+    """Evaluation runs, one JSON object each or several numbered by ``output_part``: (run, outputs exploded) and (run, open configuration as a map)."""
     raw = spark.read.text(path)
-    parsed = raw.select(F.from_json("value", f"tag string, outputs array<struct<{schemas.OUTPUT.replace(' string', ':string').replace(' double', ':double')}>>").alias("r"), F.from_json("value", "map<string,string>").alias("all"))
+    parsed = raw.select(F.from_json("value", f"tag string, output_part long, outputs array<struct<{schemas.OUTPUT.replace(' string', ':string').replace(' double', ':double')}>>").alias("r"))
     outputs = parsed.select(F.col("r.tag").alias("run"), F.inline("r.outputs"))
-    config = parsed.select(F.col("r.tag").alias("run"), F.map_filter("all", lambda k, v: ~k.isin("outputs", "results", "tag")).alias("config"))
+    own = F.from_json("value", "tag string, output_part long").alias("r"), F.from_json("value", "map<string,string>").alias("all")
+    # every part holds the configuration: that of the least one counts
+    least = raw.select(*own).select(F.col("r.tag").alias("run"), F.coalesce("r.output_part", F.lit(0)).alias("part"), F.map_filter("all", lambda k, v: ~k.isin("outputs", "results", "tag", "output_part")).alias("config"))
+    config = least.groupBy("run").agg(F.min_by("config", "part").alias("config"))
     return outputs, config
 
 

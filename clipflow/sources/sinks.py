@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Letters of a run's outputs that are held as one JSON object, about: one longer text is still one.
+PART_LETTERS = 4_000_000
 
 
 def write_jsonl(df: DataFrame, path: str, by: str) -> None:
@@ -12,10 +16,18 @@ def write_jsonl(df: DataFrame, path: str, by: str) -> None:
 
 
 def write_runs(outputs: DataFrame, config: DataFrame, path: str) -> None:
-    """One JSON object per run: its configuration, and its outputs as an array. outputs: run and the output columns; config: run, config map."""
+    """JSON objects of a run, a line each: its configuration, and its outputs as an array. outputs: run, id and the other output columns; config: run, config map.
+
+    A run of more than PART_LETTERS letters is dealt by id over several objects, all with its tag and configuration, so that none grows with the
+    run; ``output_part`` counts them from 0.
+    """
     names = [c for c in outputs.columns if c != "run"]
-    held = outputs.groupBy("run").agg(F.sort_array(F.collect_list(F.struct(*names))).alias("outputs"))  # a run's clips: thousands
-    doc = held.join(config, "run").select(F.to_json(F.struct(F.col("run").alias("tag"), "outputs")).alias("a"), F.to_json("config").alias("b"))
+    texts = [f.name for f in outputs.schema if f.name != "run" and isinstance(f.dataType, T.StringType)]
+    letters = sum((F.coalesce(F.length(n), F.lit(0)) for n in texts), F.lit(100)).cast("long")
+    of = outputs.groupBy("run").agg(F.ceil(F.sum(letters) / PART_LETTERS).alias("parts")).join(config, "run")
+    dealt = outputs.join(F.broadcast(of), "run").withColumn("part", F.pmod(F.xxhash64("id"), "parts"))  # a row a run
+    held = dealt.groupBy("run", "part").agg(F.sort_array(F.collect_list(F.struct(*names))).alias("outputs"), F.first("config").alias("config"))
+    doc = held.select(F.to_json(F.struct(F.col("run").alias("tag"), F.col("part").alias("output_part"), "outputs")).alias("a"), F.to_json("config").alias("b"))
     merged = F.when(F.col("b") == "{}", F.col("a")).otherwise(F.concat(F.expr("substring(a, 1, length(a) - 1)"), F.lit(","), F.expr("substring(b, 2, length(b))")))
     doc.select(merged.alias("value")).write.text(path)
 

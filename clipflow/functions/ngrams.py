@@ -10,6 +10,8 @@ import pyarrow.compute as pc
 
 #: Bytes of text that are counted at a time, few enough for a core's cache; a single longer row is one part.
 PART_BYTES = 1 << 15
+#: Most entries of a table that is indexed by a gram and its next unit; beyond it grams are numbered by hashing.
+TABLE = 1 << 23
 
 
 def parts(batch: pa.RecordBatch, most: int = PART_BYTES) -> Iterator[pa.RecordBatch]:
@@ -38,6 +40,27 @@ def char_codes(columns: list[pa.Array]) -> tuple[np.ndarray, int, list[np.ndarra
     return np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64), 0x110000, sizes
 
 
+def word_codes(sides: list[list[list[str]]]) -> tuple[np.ndarray, int, list[np.ndarray]]:
+    """Each side's texts as lists of words, like ``token_codes``."""
+    number: dict[str, int] = {}
+    codes = [number.setdefault(w, len(number)) for side in sides for text in side for w in text]
+    return np.array(codes, np.int64), len(number) + 1, [np.array([len(t) for t in side], np.int64) for side in sides]
+
+
+def bare_codes(sides: list[list[str]]) -> tuple[np.ndarray, int, list[np.ndarray]]:
+    """Each side's texts without ASCII white space as numbers of the code points that occur, like ``token_codes``."""
+    points = np.frombuffer("".join(t for side in sides for t in side).encode("utf-32-le"), np.uint32)
+    lengths = [np.array([len(t) for t in side], np.int64) for side in sides]
+    solid = (points != 32) & ((points < 9) | (points > 13))
+    upto = np.concatenate([[0], np.cumsum(solid)])
+    ends = np.cumsum(np.concatenate(lengths))
+    sizes = np.diff(np.concatenate([[0], upto[ends]]))
+    seen = np.zeros(int(points.max(initial=0)) + 1, np.int64)
+    seen[points[solid]] = 1
+    bound = int(seen.sum()) + 1
+    return (np.cumsum(seen) - 1)[points[solid]], bound, np.split(sizes, [len(lengths[0])])
+
+
 def overlaps(codes: np.ndarray, bound: int, sizes: list[np.ndarray], orders: int) -> np.ndarray:
     """Per row: matches, hypothesis and reference totals of each order; a gram matches as often as both sides have it.
 
@@ -48,11 +71,17 @@ def overlaps(codes: np.ndarray, bound: int, sizes: list[np.ndarray], orders: int
     row = np.repeat(np.tile(np.arange(rows), 2), lengths)
     left, split = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(codes)), int(sizes[0].sum())
     ids, out = row.copy(), np.zeros((rows, 3 * orders), np.int64)
+    place = np.empty(len(codes) * bound, np.int32) if 0 < len(codes) * bound <= TABLE and rows <= len(codes) else None
     for n in range(1, orders + 1):
         at = np.flatnonzero(left >= n)
         own = int(np.searchsorted(at, split))
-        found = pa.array(ids[at] * bound + codes[at + n - 1]).dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        kinds = int(found.max()) + 1 if len(found) else 0
+        pair = ids[at] * bound + codes[at + n - 1]
+        if place is not None:  # a gram's number is one of its places: below len(codes), so that pairs index the table
+            place[pair] = np.arange(len(pair), dtype=np.int32)
+            found, kinds = place[pair].astype(np.int64), len(pair)
+        else:
+            found = pa.array(pair).dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            kinds = int(found.max()) + 1 if len(found) else 0
         h, r = np.bincount(found[:own], minlength=kinds), np.bincount(found[own:], minlength=kinds)
         of = np.zeros(kinds, np.int64)
         of[found] = row[at]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,10 +25,30 @@ def proper_nouns(s: Column | str) -> Column:
     return F.array_distinct(F.transform(later, F.lower))
 
 
+def lowered(s: Column | str) -> Column:
+    """The first step of ``normalized_numbers``: small letters, ``$5`` as ``5 dollars``."""
+    return F.lower(F.regexp_replace(s, r"\$\s*(\d+)", "$1 dollars"))
+
+
+NUMBER_WORDS = {w: str(n) for w, n in NUMBERS.items()}
+WORD = re.compile(r"[A-Za-z']+|\d+|[^\sA-Za-z\d']", re.ASCII)
+TENS_AND_UNITS = re.compile(r" (0*[2-9]0)  (0*[1-9]) ")
+ORDINAL_ENDS = re.compile(r" ([0-9]+) (?: (?:st|nd|rd|th) )+")
+
+
+def numbers_as_digits(low: str) -> str:
+    """The other steps of ``normalized_numbers`` on a text that is ``lowered``, for code that runs in a task."""
+    words = WORD.findall(low)
+    if not words:
+        return ""
+    spaced = f" {'  '.join([NUMBER_WORDS.get(w, w) for w in words])} "
+    joined = TENS_AND_UNITS.sub(lambda m: f" {int(m[1]) + int(m[2])} ", spaced)
+    return ORDINAL_ENDS.sub(r" \1 ", joined).replace("  ", " ").strip(" ")
+
+
 def normalized_numbers(s: Column | str) -> Column:
     """Number words as digits, ``$5`` as ``5 dollars``, tens and units joined, ordinal endings after digits dropped."""
-    t = F.lower(F.regexp_replace(s, r"\$\s*(\d+)", "$1 dollars"))
-    tokens = F.regexp_extract_all(t, F.lit(r"([A-Za-z']+|\d+|[^\sA-Za-z\d'])"), F.lit(1))
+    tokens = F.regexp_extract_all(lowered(s), F.lit(r"([A-Za-z']+|\d+|[^\sA-Za-z\d'])"), F.lit(1))
     number = F.create_map(*(x for w, n in NUMBERS.items() for x in (F.lit(w), F.lit(str(n)))))
     words = F.transform(tokens, lambda w: F.coalesce(F.try_element_at(number, w), w))
 
@@ -58,6 +80,21 @@ def tokens_13a(s: Column | str) -> Column:
     return F.filter(F.split(t, r"\s+"), lambda w: w != "")
 
 
+REPLACED = (("<skipped>", ""), ("-\n", ""), ("\n", " "), ("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"))
+SPLIT = tuple((re.compile(a), b) for a, b in ((r"([\{-\~\[-\`!-\&\(-\+\:-\@\/])", r" \1 "), (r"([^0-9])([\.,])", r"\1 \2 "), (r"([\.,])([^0-9])", r" \1 \2"), (r"([0-9])(-)", r"\1 \2 ")))
+SOLID = re.compile(r"\S+", re.ASCII)
+
+
+def words_13a(text: str) -> list[str]:
+    """``tokens_13a`` for code that runs in a task."""
+    for a, b in REPLACED:
+        text = text.replace(a, b)
+    text = f" {text} "
+    for a, b in SPLIT:
+        text = a.sub(b, text)
+    return SOLID.findall(text)
+
+
 def path_stem(s: Column | str) -> Column:
     """The base name without its last extension."""
     return F.regexp_replace(F.regexp_extract(s, r"([^/]*)$", 1), r"\.[^.]*$", "")

@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from clipflow.functions.text import normalized_numbers
 from clipflow.operators import textmetrics as M
 
 
@@ -95,8 +94,9 @@ def paired_bootstrap(runs: DataFrame, resamples: int = 2000, seed: int = 7, metr
     number that depends on clip and resample alone. Each task adds up its clips' statistics for all resamples, so nothing is joined
     and ``resamples`` rows a task are shuffled, whatever the number of clips.
     """
-    kinds = F.array(F.struct(F.lit("raw").alias("kind"), F.col("hyp").alias("hyp"), F.col("ref").alias("ref")), F.struct(F.lit("numbers").alias("kind"), normalized_numbers("hyp").alias("hyp"), normalized_numbers("ref").alias("ref")))
-    stats = M.all_stats(runs.select("id", "run", F.inline(kinds)), ["id", "run", "kind"], "hyp", "ref", F.col("kind") == "numbers")
+    kinds = F.array(F.struct(F.lit("raw").alias("kind"), F.col("hyp").alias("hyp"), F.col("ref").alias("ref")), F.struct(F.lit("numbers").alias("kind"), "hyp", "ref"))
+    numbers = F.col("kind") == "numbers"
+    stats = M.all_stats(runs.select("id", "run", F.inline(kinds)), ["id", "run", "kind"], "hyp", "ref", chars=numbers, numbers=numbers)
     columns = {f"{r}_{k}_{n}": (r, k, n) for r in "ab" for k, ns in (("raw", M.BLEU), ("numbers", M.BLEU + M.CHRF)) for n in ns}
     key = F.conv(F.substring(F.md5(F.col("id").cast("string")), 1, 8), 16, 10).cast("long").alias("key")
     wide = stats.groupBy("id").agg(*(F.sum(F.when((F.col("run") == r) & (F.col("kind") == k), F.col(n))).alias(c) for c, (r, k, n) in columns.items()))

@@ -3,16 +3,18 @@ form of the vectors' sums."""
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clipflow.functions.ngrams import overlap_columns, parts
-from clipflow.functions.text import char_similarity, tokens_13a
+from clipflow.functions.ngrams import bare_codes, overlaps, parts, word_codes
+from clipflow.functions.text import char_similarity, lowered, numbers_as_digits, words_13a
 
 ORDERS, CHARS, BETA = 4, 6, 2.0
 BLEU = [f"{k}{n}" for k in ("m", "t") for n in range(1, ORDERS + 1)] + ["hyp_len", "ref_len"]
@@ -30,49 +32,57 @@ def grams(values: Column, n: int, text: bool = False) -> Column:
     return F.transform(F.array(values), cut)[0]  # bound to a variable, so that the values are made once and not for each gram
 
 
-def counted(df: DataFrame, keys: list[str], kinds: list[tuple[str, str, int, tuple[str, str, str]]]) -> DataFrame:
-    """Per row: for each (hypothesis, reference, orders, names) the overlap of these columns, token arrays or texts.
+def counted(df: DataFrame, keys: list[str], hyp: str, ref: str, words: bool = True, chars: Column | None = None, numbers: Column | None = None) -> DataFrame:
+    """Per row the overlaps of tokens (``words``) and, where ``chars`` holds, of characters (else zeros). A null text is an empty one.
 
-    Counting stays in the row's task: exploding a clip into its grams would shuffle some thousand rows for it. Rows are counted
-    together in parts of bounded bytes.
+    Where ``numbers`` holds, numbers are normalised first. Texts travel as they are and become tokens in the row's task: token arrays and
+    exploded grams are many times as large. Rows are counted together in parts of bounded bytes.
     """
-    columns = [f"{k}{n}" for _, _, orders, names in kinds for k in names for n in range(1, orders + 1)]
+    orders = {k: n for used, of, n in ((words, ("m", "t", "u"), ORDERS), (chars is not None, ("cm", "ch", "cr"), CHARS)) if used for k in of}
+    columns = [f"{k}{n}" for k, most in orders.items() for n in range(1, most + 1)]
     schema = T.StructType([*(df.schema[k] for k in keys), *(T.StructField(c, T.LongType(), False) for c in columns)])
-    pairs = [kind[:3] for kind in kinds]
+    flags = {"__chars": chars, "__numbers": numbers}
+    given = [c.alias(n) for n, c in flags.items() if c is not None]
+    # lower case by Spark, as everywhere else: alphabets differ by Unicode version
+    text = lambda c: F.col(c) if numbers is None else F.when(numbers, lowered(c)).otherwise(F.col(c))
+
+    scored, normalised = chars is not None, numbers is not None
+
+    def count(part: pa.RecordBatch) -> Iterator[np.ndarray]:
+        sides = [part.column(side).to_pylist() for side in ("__hyp", "__ref")]
+        if normalised:
+            plain = functools.cache(numbers_as_digits)  # a clip's rows follow each other and share their reference
+            marked = part.column("__numbers").to_pylist()
+            sides = [[plain(t) if t and n else t for t, n in zip(side, marked, strict=True)] for side in sides]
+        if words:
+            cut = functools.cache(words_13a)
+            yield from overlaps(*word_codes([[cut(t or "") for t in side] for side in sides]), ORDERS).T
+        if scored:
+            marked = part.column("__chars").to_pylist()
+            yield from overlaps(*bare_codes([[t if t and n else "" for t, n in zip(side, marked, strict=True)] for side in sides]), CHARS).T
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part in parts(b):
-                found = [c for h, r, orders in pairs for c in overlap_columns(part.column(h), part.column(r), orders).T]
-                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keys), *(pa.array(c, pa.int64()) for c in found)], names=[*keys, *columns])
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keys), *(pa.array(c, pa.int64()) for c in count(part))], names=[*keys, *columns])
 
-    return df.select(*keys, *(c for h, r, _ in pairs for c in (h, r))).mapInArrow(run, schema)
+    return df.select(*keys, text(hyp).alias("__hyp"), text(ref).alias("__ref"), *given).mapInArrow(run, schema)
 
 
-def bare(text: str) -> Column:
-    """The text without white space, as chrF compares it."""
-    return F.regexp_replace(text, r"\s+", "")
-
-
-OF_BLEU, OF_CHRF = ("h", "r", ORDERS, ("m", "t", "u")), ("hc", "rc", CHARS, ("cm", "ch", "cr"))
-
-
-def all_stats(df: DataFrame, keys: list[str], hyp: str, ref: str, chars: Column) -> DataFrame:
-    """The columns of BLEU and, for the rows where ``chars`` holds, of CHRF (else zeros), from one pass. A null text is an empty one."""
-    prepared = df.select(*keys, tokens_13a(hyp).alias("h"), tokens_13a(ref).alias("r"), F.when(chars, bare(hyp)).alias("hc"), F.when(chars, bare(ref)).alias("rc"))
-    found = counted(prepared, keys, [OF_BLEU, OF_CHRF])
+def all_stats(df: DataFrame, keys: list[str], hyp: str, ref: str, chars: Column, numbers: Column | None = None) -> DataFrame:
+    """The columns of BLEU and, for the rows where ``chars`` holds, of CHRF (else zeros), from one pass; where ``numbers`` holds, with numbers normalised."""
+    found = counted(df, keys, hyp, ref, chars=chars, numbers=numbers)
     return found.withColumns({"hyp_len": F.col("t1"), "ref_len": F.col("u1")}).select(*keys, *BLEU, *CHRF)
 
 
 def bleu_stats(df: DataFrame, keys: list[str], hyp: str, ref: str) -> DataFrame:
     """The columns of BLEU, one row for each row of ``df``."""
-    found = counted(df.select(*keys, tokens_13a(hyp).alias("h"), tokens_13a(ref).alias("r")), keys, [OF_BLEU])
-    return found.withColumns({"hyp_len": F.col("t1"), "ref_len": F.col("u1")}).select(*keys, *BLEU)
+    return counted(df, keys, hyp, ref).withColumns({"hyp_len": F.col("t1"), "ref_len": F.col("u1")}).select(*keys, *BLEU)
 
 
 def chrf_stats(df: DataFrame, keys: list[str], hyp: str, ref: str) -> DataFrame:
     """The columns of CHRF, one row for each row of ``df``."""
-    return counted(df.select(*keys, bare(hyp).alias("hc"), bare(ref).alias("rc")), keys, [OF_CHRF])
+    return counted(df, keys, hyp, ref, words=False, chars=F.lit(True))
 
 
 def bleu(get=F.col, effective: bool = False) -> Column:

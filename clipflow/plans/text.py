@@ -107,15 +107,15 @@ VARIANTS = CLIPS + f""", variants AS (SELECT id, category, 'raw' AS kind, hyp_a
 
 
 def variants(spark, sf, hyp="hyp_a"):
-    """Each clip as it is and with its numbers normalised."""
+    """Each clip twice: to be scored as it is and with its numbers normalised."""
     c = clips(spark, sf)
-    both = F.array(F.struct(F.lit("raw").alias("kind"), F.col(hyp).alias("hyp"), F.col("reference").alias("ref")), F.struct(F.lit("numbers").alias("kind"), X.normalized_numbers(hyp).alias("hyp"), X.normalized_numbers("reference").alias("ref")))
+    both = F.array(F.struct(F.lit("raw").alias("kind"), F.col(hyp).alias("hyp"), F.col("reference").alias("ref")), F.struct(F.lit("numbers").alias("kind"), F.col(hyp).alias("hyp"), F.col("reference").alias("ref")))
     return c.select("id", "category", F.inline(both))
 
 
 def scored(spark, sf, hyp="hyp_a"):
     """Per category and overall (ALL): clips, bleu_raw, bleu and chrf."""
-    stats = M.all_stats(variants(spark, sf, hyp), ["category", "kind"], "hyp", "ref", F.col("kind") == "numbers")
+    stats = M.all_stats(variants(spark, sf, hyp), ["category", "kind"], "hyp", "ref", chars=F.col("kind") == "numbers", numbers=F.col("kind") == "numbers")
     sets = stats.groupingSets([[F.col("kind")], [F.col("category"), F.col("kind")]], "category", "kind")
     sums = sets.agg(F.grouping("category").alias("all"), F.count("*").alias("clips"), *(F.sum(n).alias(n) for n in M.BLEU + M.CHRF))
     each = sums.select(F.when(F.col("all") == 1, "ALL").otherwise(F.col("category")).alias("category"), "kind", "clips", F.round(M.bleu(), 4).alias("b"), F.round(M.chrf(), 4).alias("c"))

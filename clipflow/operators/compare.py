@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from clipflow.operators import textmetrics as M
+from clipflow.sources.shared import shared_dir
 
 
 def compared(runs: DataFrame) -> DataFrame:
@@ -53,19 +54,22 @@ def of(run: str, f=F.col):
     return lambda n: f(f"{run}_{n}")
 
 
-def gains(runs: DataFrame) -> DataFrame:
+def gains(runs: DataFrame, stats: DataFrame | None = None) -> DataFrame:
+    """id and gain in sentence BLEU from a to b of the clips whose text changed. ``stats``: what ``paired`` gives for the runs, where it is at hand."""
     changed = runs.groupBy("id").agg(F.max(F.when(F.col("run") == "a", F.col("hyp"))).alias("x"), F.max(F.when(F.col("run") == "b", F.col("hyp"))).alias("y")).where("x <> y").select("id")
-    p = paired(M.bleu_stats(runs, ["id", "run"], "hyp", "ref")).join(changed, "id", "left_semi")
+    p = (paired(M.bleu_stats(runs, ["id", "run"], "hyp", "ref")) if stats is None else stats).join(changed, "id", "left_semi")
     a, b = (F.round(M.bleu(of(r), effective=True), 6) for r in "ab")
     return p.select("id", F.round(b - a, 4).alias("gain"))
 
 
 def without_winners(runs: DataFrame, drops: tuple[int, ...] = (1, 2, 5)) -> DataFrame:
-    """The difference of corpus BLEU without the clips that gained most. Sums are taken once; the winners' share is subtracted."""
-    stats = paired(M.bleu_stats(runs, ["id", "run"], "hyp", "ref"))
+    """The difference of corpus BLEU without the clips that gained most. Texts are counted and sums taken once; the winners' share is subtracted."""
+    once, path = paired(M.bleu_stats(runs, ["id", "run"], "hyp", "ref")), shared_dir(runs.sparkSession, "stats")
+    once.write.parquet(path)
+    stats = runs.sparkSession.read.schema(once.schema).parquet(path)
     names = [f"{r}_{n}" for r in "ab" for n in M.BLEU]
     total = stats.agg(*(F.sum(n).alias(n) for n in names))
-    top = gains(runs).orderBy(F.desc("gain"), F.desc("id")).limit(max(drops))
+    top = gains(runs, stats).orderBy(F.desc("gain"), F.desc("id")).limit(max(drops))
     ranked = top.withColumn("rank", F.row_number().over(W.orderBy(F.desc("gain"), F.desc("id")))).join(stats, "id")  # max(drops) rows
     grid = ranked.select("rank", *names, F.explode(F.array(*map(F.lit, drops))).alias("drop_n"))
     lost = grid.groupBy("drop_n").agg(*(F.sum(F.when(F.col("rank") <= F.col("drop_n"), F.col(n)).otherwise(0)).alias(f"x_{n}") for n in names), F.max("rank").alias("changed")).where("changed >= drop_n")

@@ -1,7 +1,7 @@
 """Sessions of a stream with event time: frames put in order, ends by timer, a drain, and a count of what came too late.
 
-State is keyed by session. Frames that arrive before their turn wait in a map keyed by index, one entry a frame; what has been
-released is not kept, so the map holds no more than the disorder within the watermark's delay. When the watermark has passed a waiting
+State is keyed by session. Frames that arrive before their turn wait in a list, which is read and written as a whole, once a batch and
+session: a call to the store for each frame took most of the time. What has been released is not kept, so the list holds no more than the disorder within the watermark's delay. When the watermark has passed a waiting
 frame, those before it can't come any more: the gap is given up and the frame is released. A session ends when the watermark is
 ``idle`` past its last frame; then its open clip is flushed, once, and its state is removed. Frames behind the watermark are dropped
 by Spark and counted (``Drained.late``). A session that goes on after its end begins anew.
@@ -43,14 +43,14 @@ class Session(StatefulProcessor):
         self.handle = handle
         self.own = handle.getValueState("own", "state string")  # what ``step`` keeps: bounded by its rings
         self.place = handle.getValueState("place", "next long, last_t long, timer long")
-        self.held = handle.getMapState("held", "idx long", "t long, score double, present boolean")
+        self.held = handle.getListState("held", "idx long, t long, score double, present boolean")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         arrived = {}
         for batch in rows:
-            for r in batch[FRAME].astype(object).where(batch[FRAME].notna(), None).itertuples(index=False):
-                if r.idx != MARKER:
-                    arrived[int(r.idx)] = (int(r.t), r.score, r.present)
+            for i, t, *seen in zip(*(batch[c].tolist() for c in FRAME[1:]), strict=True):
+                if i != MARKER:
+                    arrived[int(i)] = (int(t), *(None if pd.isna(x) else x for x in seen))
         if arrived:
             yield self.advanced(key, arrived, None)
 
@@ -61,8 +61,8 @@ class Session(StatefulProcessor):
         """Release what is next; with a ``watermark``, also what waits for frames that can't come, and the end of the session."""
         next_, last_t, timer = self.place.get() if self.place.exists() else (0, None, None)
         state = json.loads(self.own.get()[0]) if self.own.exists() else self.start()
-        waiting = {k[0]: v for k, v in self.held.iterator()} if self.held.exists() else {}
-        stored = set(waiting)
+        stored = {i: (t, score, present) for i, t, score, present in self.held.get()} if self.held.exists() else {}
+        waiting = dict(stored)
         waiting |= {i: v for i, v in arrived.items() if i >= next_}
         out = []
         for i in sorted(waiting):
@@ -72,10 +72,11 @@ class Session(StatefulProcessor):
             out += self.step(state, {"idx": i, "t": t, "score": score, "present": present})
             next_, last_t = i + 1, t
             del waiting[i]
-        for i in stored - set(waiting):
-            self.held.removeKey((i,))
-        for i in set(waiting) - stored:
-            self.held.updateValue((i,), waiting[i])
+        if waiting != stored:
+            if waiting:
+                self.held.put([(i, *v) for i, v in waiting.items()])
+            else:
+                self.held.clear()
         over = watermark is not None and not waiting and last_t is not None and watermark >= last_t + self.idle
         due = None
         if over:
@@ -92,7 +93,7 @@ class Session(StatefulProcessor):
                 self.handle.deleteTimer(timer)
             if due is not None:
                 self.handle.registerTimer(due)
-        return pd.DataFrame([{"session_id": key[0]} | r for r in out], columns=self.columns)
+        return pd.DataFrame({c: [key[0]] * len(out) if c == "session_id" else [r.get(c) for r in out] for c in self.columns})
 
     def close(self) -> None:
         pass

@@ -1,0 +1,52 @@
+"""Waiting frames are read and written together, not by a call to the store each."""
+
+import pandas as pd
+
+from clipflow.streaming.sessions import FRAME, Session
+
+
+class Value:
+    def __init__(self, calls):
+        self.calls, self.held = calls, None
+
+    def exists(self):
+        return self.held is not None
+
+    def get(self):
+        self.calls.append("get")
+        return self.held
+
+    def put(self, value):
+        self.calls.append("put")
+        self.held = value
+
+    update = put
+
+    def clear(self):
+        self.held = None
+
+
+class Handle:
+    def __init__(self):
+        self.calls = []
+
+    def getValueState(self, *_):
+        return Value(self.calls)
+
+    getListState = getValueState
+
+    def registerTimer(self, _):
+        pass
+
+    deleteTimer = registerTimer
+
+
+def test_calls_do_not_grow_with_the_frames_that_wait():
+    handle = Handle()
+    s = Session(dict, lambda state, r: [r], lambda state: [], ["session_id", "idx", "t", "score", "present"], 10)
+    s.init(handle)
+    late = pd.DataFrame([(7, i, i * 5, None if i == 3 else i / 2, i % 2 == 0) for i in range(1, 200)], columns=FRAME)
+    assert sum(len(d) for d in s.handleInputRows((7,), iter([late]), None)) == 0
+    assert len(handle.calls) < 8 and len(s.held.held) == 199  # 199 writes before
+    out = pd.concat(s.handleInputRows((7,), iter([pd.DataFrame([(7, 0, 0, 1.0, True)], columns=FRAME)]), None))
+    assert out["idx"].tolist() == list(range(200)) and pd.isna(out["score"][3]) and s.held.held is None and set(out["session_id"]) == {7}

@@ -14,8 +14,8 @@ rows a point, so a large group of near copies costs in proportion to its size.
 0.8 or more. Such texts differ in 2 to 20 bits or so, where no grid of popcounts tells them from others, so the pairs within two bits are
 only some of its candidates; the others share one of BANDS bands of ROWS least hashes of their shingles. A pair at the least
 similarity is missed with a chance of 0.00065, whatever the size of the table. Sketches sift the candidates, and what is left is compared
-shingle by shingle. In a cell of more than CROWDED texts each is first compared with the least; then texts that are not yet in one group
-with the NEAREST by sketch of other groups, in each block of each cell they share (``across``).
+shingle by shingle. In a cell of more than CROWDED texts each is first compared with the least; then all that are not yet in one group
+are held against each other, block by block: sketches name the texts with a likely partner, and the shingles of those are compared (``across``).
 
 Only distinct fingerprints (``deduplicate``: distinct texts) take part, so exact copies, and all texts without words (fingerprint zero), are one point.
 Null text: no words. Null doc_id: kept as a row; it is never a component's id unless the whole component has none.
@@ -45,9 +45,8 @@ MOST_HOT, LEAST_HOT = 1000, 500
 WORDS, SIMILARITY = 5, 0.8
 #: Bands of ROWS least hashes each: a pair of SIMILARITY exactly shares none with a chance of (1 - 0.8 ** 8) ** 40 = 0.00065.
 BANDS, ROWS = 40, 8
-#: A cell of more texts than this is not paired at once; then its rows are compared in blocks.
-#: NEAREST: the texts of other groups in a block that one is compared with.
-CROWDED, BLOCK, NEAREST = 16, 1024, 4
+#: A cell of more texts than this is not paired at once; then its rows are compared in blocks of about BLOCK texts or LOAD shingles, whichever are fewer.
+CROWDED, BLOCK, LOAD = 16, 1024, 1 << 17
 #: Bins of a sketch, and most that differ: 24 expected at SIMILARITY, with a deviation of 4.4.
 BINS, MOST_BINS = 128, 42
 FACTORS = np.random.default_rng(SEED).integers(1 << 62, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
@@ -81,18 +80,18 @@ def fingerprint(text: str | None) -> int:
 
 
 def fingerprints(docs: DataFrame, text: str = "text", near: bool = False) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long), content, a 64-bit hash of the text, and, if asked for, bands and sketch of its near copies."""
+    """doc_id, fp (the fingerprint as a signed long), content, a 64-bit hash of the text, and, if asked for, size, bands and sketch of its shingles."""
 
     def step(batch):
         texts = batch.column("t").to_pylist()
         found = {"doc_id": batch.column("doc_id"), "content": batch.column("content"), "fp": np.array([fingerprint(t) for t in texts], np.int64)}
         if near:
             longs, sets = pa.list_(pa.int64()), [shingle_set(t) for t in texts]
-            found |= {"bands": pa.array(map(bands, sets), longs), "sketch": pa.array(map(sketch, sets), longs)}
+            found |= {"size": np.array([len(s) for s in sets], np.int64), "bands": pa.array(map(bands, sets), longs), "sketch": pa.array(map(sketch, sets), longs)}
         return found
 
-    arrays = [T.StructField(name, T.ArrayType(T.LongType())) for name in ("bands", "sketch")] if near else []
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("content", T.LongType()), T.StructField("fp", T.LongType(), False), *arrays])
+    more = [T.StructField("size", T.LongType()), *(T.StructField(name, T.ArrayType(T.LongType())) for name in ("bands", "sketch"))] if near else []
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("content", T.LongType()), T.StructField("fp", T.LongType(), False), *more])
     return map_slices(docs.select("doc_id", F.xxhash64(text).alias("content"), F.col(text).alias("t")), step, schema)
 
 
@@ -186,45 +185,94 @@ def candidates(points: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
     return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), crowded
 
 
-def across(crowded: DataFrame, roots: DataFrame, sketches: DataFrame, n: int) -> DataFrame:
-    """Pairs a < b of crowded cells that the components so far leave apart: of each text the NEAREST by sketch in each block of its cells.
+def kind(size):
+    """Texts whose kinds are more than one apart differ so much in size that they are less than SIMILARITY alike."""
+    return F.floor(F.log(1 / SIMILARITY, size))
+
+
+def blocks(n, kind):
+    """Into how many blocks the texts of a kind go in a cell of ``n`` texts."""
+    return F.ceil(n * F.greatest(F.lit(1 / BLOCK), F.pow(F.lit(1 / SIMILARITY), kind + 1) / LOAD))
+
+
+def across(crowded: DataFrame, roots: DataFrame, points: DataFrame, sets: DataFrame, n: int) -> DataFrame:
+    """points: content, size, bands, sketch. Returns pairs a < b that are SIMILARITY or more alike, which join all components so far that likely pairs of crowded cells join.
 
     A cell whose texts are one component, as in a large group of copies, has none. In others the texts outside the largest
-    component are held against all, block by block.
+    component are held against all, block by block. No pair is written: the first pass keeps the texts that have a likely partner in a
+    pair of blocks, the second compares their shingles there and keeps the pairs that join two components.
     """
     hot = max(LEAST_HOT, n // MOST_HOT)
     own = crowded.select("content", "cell", "n").join(roots.select(F.col("node").alias("content"), "root"), "content", "left").withColumn("root", F.coalesce("root", "content"))
     own = staged(own, "owned")
     sizes = own.groupBy("cell", "n", "root").agg(F.count("*").alias("held"))
     mixed = sizes.groupBy("cell", "n").agg(F.max(F.struct("held", "root")).alias("most")).where(F.col("most.held") < F.col("n"))
-    rows = by_cell(own, mixed, hot).join(sketches, "content").withColumn("blocks", F.ceil(F.col("n") / BLOCK))
-    rows = staged(rows.withColumn("p", F.struct("content", "root", "sketch")).select("cell", "blocks", "most", "p"), "mixed")
-    block = F.pmod(F.xxhash64("p.content"), F.col("blocks")).alias("block")
-    held = rows.groupBy("cell", block).agg(F.collect_list("p").alias("held"))  # about BLOCK texts
-    asking = rows.where(F.col("p.root") != F.col("most.root")).groupBy("cell", "blocks", block.alias("from")).agg(F.collect_list("p").alias("asking"))
-    met = asking.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).join(held, ["cell", "block"])
-    return map_slices(met.select("asking", "held"), nearest_apart, "a long, b long", rows=1).distinct()
-
-
-def nearest_apart(batch: pa.RecordBatch) -> dict:
-    """For one block of asking texts against one of held: the pairs of each with its NEAREST by sketch in other components."""
-    content, root, lines = [], [], []
+    rows = by_cell(own, mixed, hot).join(points.withColumn("kind", kind(F.col("size"))), "content")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("content"), blocks(F.col("n"), F.col("kind")))).withColumn("p", F.struct("content", "root", "sketch", "bands"))
+    rows = staged(rows.select("cell", "n", F.col("most.root").alias("most"), "kind", "block", "p"), "mixed")
+    held = rows.groupBy("cell", "kind", "block").agg(F.collect_list("p").alias("held"))
+    asking = rows.where(F.col("p.root") != F.col("most")).groupBy("cell", "n", "most", F.col("kind").alias("of"), F.col("block").alias("from")).agg(F.collect_list("p").alias("asking"))
+    asking = asking.withColumn("kind", F.explode(F.array(*(F.col("of") + i for i in (-1, 0, 1)))))
+    met = asking.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), blocks(F.col("n"), F.col("kind")) - 1))).join(held, ["cell", "kind", "block"])
+    tile = ["cell", "of", "from", "kind", "block"]
+    marked = map_slices(met.select(*tile, "most", "asking", "held"), likely_apart, "".join(f"`{c}` long, " for c in tile) + "asks boolean, content long, root long", rows=1)
+    p = F.struct("content", "root", "shingles")
+    full = staged(marked, "marked").join(sets, "content").groupBy(*tile).agg(F.collect_list(F.when(F.col("asks"), p)).alias("asking"), F.collect_list(F.when(~F.col("asks"), p)).alias("held"))
+    return map_slices(full.select("asking", "held"), alike_apart, "a long, b long", rows=1).distinct()
+
+
+def likely_apart(batch: pa.RecordBatch) -> dict:
+    """For one block of asking texts against one of held: the texts with a likely partner of another component.
+
+    A pair counts in the first cell that its bands share alone, and once if both ask."""
+    cell, most = (batch.column(name)[0].as_py() for name in ("cell", "most"))
+    content, root, lines, cells = [], [], [], []
     for name in ("asking", "held"):
         texts = batch.column(name).flatten()  # the one row's list; ``values`` would be those of all rows
-        ids, roots, sketches = texts.flatten()
+        ids, roots, sketches, all_bands = texts.flatten()
         content.append(ids.to_numpy()), root.append(roots.to_numpy())
         lines.append(sketches.flatten().to_numpy().reshape(len(texts), -1).view(np.uint64))
-    a, b = [], []
+        cells.append(all_bands.flatten().to_numpy().reshape(len(texts), -1))
+    marks = [np.zeros(len(ids), bool) for ids in content]
     for at in range(0, len(content[0]), 64):
         x = lines[0][at : at + 64, None] ^ lines[1][None]
         x |= x >> np.uint64(1)
         x |= x >> np.uint64(2)
         bins = np.bitwise_count(x & np.uint64(0x1111111111111111)).sum(2, dtype=np.int64)
-        bins[root[0][at : at + 64, None] == root[1][None]] = BINS + 1
-        for i, near in enumerate(np.argsort(bins, 1, kind="stable")[:, :NEAREST]):
-            y = content[1][near[bins[i, near] <= MOST_BINS]]
-            a.append(np.minimum(y, content[0][at + i])), b.append(np.maximum(y, content[0][at + i]))
-    return {"a": np.concatenate(a), "b": np.concatenate(b)}
+        once = (root[1] == most) | (content[0][at : at + 64, None] < content[1])
+        i, j = np.nonzero((bins <= MOST_BINS) & once & (root[0][at : at + 64, None] != root[1]))
+        first = (cells[0][at + i] == cells[1][j]).argmax(1)
+        here = cells[1][j, first] == cell
+        marks[0][at + i[here]] = marks[1][j[here]] = True
+    count = marks[0].sum() + marks[1].sum()
+    tile = {name: np.full(count, batch.column(name)[0].as_py()) for name in ("cell", "of", "from", "kind", "block")}
+    both = lambda of: np.concatenate([values[mark] for values, mark in zip(of, marks, strict=True)])
+    return tile | {"asks": np.arange(count) < marks[0].sum(), "content": both(content), "root": both(root)}
+
+
+def alike_apart(batch: pa.RecordBatch) -> dict:
+    """For asking against held texts: pairs that are SIMILARITY or more alike, those alone that join two components."""
+    content, root, sizes, hashes = [], [], [], []
+    for name in ("asking", "held"):
+        ids, roots, shingles = batch.column(name).flatten().flatten()
+        content.append(ids.to_numpy()), root.append(roots.to_numpy().copy())
+        sizes.append(shingles.value_lengths().to_numpy().astype(np.int64)), hashes.append(shingles.flatten().to_numpy())
+    _, number = np.unique(np.concatenate(hashes), return_inverse=True)
+    asking, held = np.split(number, [len(hashes[0])])
+    starts, seen = np.cumsum(sizes[1]) - sizes[1], np.zeros(len(number), bool)
+    a, b = [], []
+    for i, own in enumerate(np.split(asking, np.cumsum(sizes[0])[:-1])):
+        if (root[1] == root[0][i]).all():
+            continue
+        seen[own] = True
+        shared = np.add.reduceat(seen[held], starts, dtype=np.int64)
+        seen[own] = False
+        for j in np.flatnonzero((shared >= SIMILARITY * (len(own) + sizes[1] - shared)) & (root[1] != root[0][i])):
+            if (old := root[1][j]) != (new := root[0][i]):
+                a.append(min(content[0][i], content[1][j])), b.append(max(content[0][i], content[1][j]))
+                for of in root:
+                    of[of == old] = new
+    return {"a": np.array(a, np.int64), "b": np.array(b, np.int64)}
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -301,14 +349,14 @@ def between(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return both.select(pairs.columns)
 
 
-def settled(open_pairs: DataFrame, sets: DataFrame, sure: DataFrame | None, n: int, rounds: int = 6) -> tuple[DataFrame, DataFrame]:
+def settled(open_pairs: DataFrame, sets: DataFrame, n: int, rounds: int = 6) -> tuple[DataFrame, DataFrame]:
     """Verify ``open_pairs`` as far as they matter: (pairs verified so far, their components). n: the distinct texts of the table.
 
     In a round each text is compared with its nearest by sketch; then pairs inside a component need no comparison. When the pairs are
     not many more than the texts among them, or half as many as those of the table, or after ``rounds``, all that still lie between
     components are compared at once: a comparison costs less than finding the components of a further round.
     """
-    roots = None
+    sure = roots = None
     for k in range(rounds):
         left = open_pairs.count()
         last = left <= n // 2 or k == rounds - 1
@@ -332,12 +380,12 @@ def deduplicate(docs: DataFrame, text: str = "text") -> DataFrame:
     """One document of each group of near copies: the one with the least doc_id (ties: least content hash); repeats of it go.
 
     Each text is first compared with its nearest candidates, by sketch; what lies in one group then needs no further comparison
-    (``settled``). So with the pairs of small cells and of each crowded cell's least text, then with each text's nearest in other
-    groups of crowded cells.
+    (``settled``). So with the pairs of small cells and of each crowded cell's least text; then all groups that share a crowded cell
+    are held against each other (``across``).
     """
     prints = staged(fingerprints(docs, text, near=True), "prints")
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "content")
-    contents = staged(prints.groupBy("content").agg(F.min(first).alias("first"), F.min("fp").alias("fp"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch")), "contents")
+    contents = staged(prints.groupBy("content").agg(F.min(first).alias("first"), F.min("fp").alias("fp"), *(F.any_value(c).alias(c) for c in ("size", "bands", "sketch"))), "contents")
     n, sketches = contents.count(), contents.select("content", "sketch")
     close, crowded = candidates(contents.select("content", "fp", "bands"), n)
     open_pairs = staged(likely(close, sketches), "likely")
@@ -349,8 +397,10 @@ def deduplicate(docs: DataFrame, text: str = "text") -> DataFrame:
     names = contents.join(needed, "content", "left_semi").select(named(F.col("first.doc_id"), F.col("content")).alias("__name"))
     texts = boxed.select("content", "t", "__name").join(names, "__name", "left_semi").dropDuplicates(["__name"])
     sets = staged(shingle_sets(texts.select("content", "t")), "shingles")
-    sure, roots = settled(open_pairs, sets, None, n)
-    _, all_roots = settled(staged(likely(across(crowded, roots, sketches, n), sketches), "likely"), sets, sure, n)
+    sure, roots = settled(open_pairs, sets, n)
+    joined = across(crowded, roots, contents.select("content", "size", "bands", "sketch"), sets, n)
+    all_roots = staged(components(sure.union(joined)), "groups")
+    release(all_roots)
     placed = contents.join(all_roots.withColumnRenamed("node", "content"), "content", "left").withColumn("root", F.coalesce("root", "content"))
     stays = placed.groupBy("root").agg(F.min("first").alias("first")).select(named(F.col("first.doc_id"), F.col("first.content")).alias("__name"))
     return boxed.select("row", "__name").join(stays, "__name", "left_semi").dropDuplicates(["__name"]).select("row.*")

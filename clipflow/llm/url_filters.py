@@ -7,7 +7,8 @@ threshold is the one with the best balanced accuracy on the URLs kept apart, fro
 
 The counts are exact sums over all such URLs in long integers, held as a distributed table with a row for each gram and each context.
 URLs are scored in blocks of BLOCK: the distinct codes of a block are joined to that table, and the block is scored with what it met.
-Nothing that grows with the corpus comes to the driver or is broadcast by request.
+Nothing that grows with the corpus comes to the driver or is broadcast. Left to itself Spark broadcasts the codes: it takes them for smaller
+than the URLs that they are made of, and they are some twenty times as large. So the join is told to merge.
 
 Null URLs, and URLs without ``://``, have an empty host and path, fit no rule and are scored as they are (null as empty). Without
 URLs of both kinds the models have no say and the verdict is allow. Repeated rows stay rows. Extra columns are not read.
@@ -122,7 +123,7 @@ def scored(df: DataFrame, table: DataFrame) -> DataFrame:
             out["code"].append(got.view(np.int64))
         return {k: np.concatenate(v) for k, v in out.items()}
 
-    met = map_slices(placed.select("__block", "u"), codes_of, "__block long, code long", BLOCK).join(table, "code")
+    met = map_slices(placed.select("__block", "u"), codes_of, "__block long, code long", BLOCK).join(table.hint("merge"), "code")
     schema = T.StructType([*df.schema.fields, T.StructField("score", T.DoubleType())])
     arrow = to_arrow(schema)
 

@@ -40,3 +40,11 @@ def test_op8_scores_by_brute_force(spark, sf):
 def test_op8_counts_above_float32(spark):
     grams = spark.createDataFrame([(0, 1 << 56 | 65, 2**24 + 1), (1, 1 << 56 | 65, 3)], "c int, code long, n long")
     assert {(r.n0, r.n1, r.k0, r.k1) for r in U.tabled(grams).collect()} == {(2**24 + 1, 3, 0, 0), (2**24 + 1, 3, 1, 1)}
+
+
+def test_op8_codes_of_urls_are_not_broadcast(spark, sf, capsys):
+    """Neither side of the join by code is broadcast, however small Spark takes it for: both grow with the corpus."""
+    judged = U.ruled(spark.read.parquet(f"{sf}/pages.parquet"))
+    U.scored(judged.selectExpr("page_id", "url AS u"), U.fit(judged).table).explain()
+    plan = capsys.readouterr().out
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes of text that are counted at a time, few enough for a core's cache; a single longer row is one part.
-PART_BYTES = 1 << 15
+#: Bytes of text that are counted at a time: enough for words to repeat, few enough for a core's cache; a single longer row is one part.
+PART_BYTES = 1 << 18
 #: Most entries of a table that is indexed by a gram and its next unit; beyond it grams are numbered by hashing.
 TABLE = 1 << 23
 
@@ -91,6 +91,79 @@ def overlaps(codes: np.ndarray, bound: int, sizes: list[np.ndarray], orders: int
     return out
 
 
+def sorted_overlaps(codes: np.ndarray, bound: int, sizes: list[np.ndarray], orders: int) -> np.ndarray:
+    """What ``overlaps`` returns, from one sort for all orders.
+
+    Each place's longest gram is one number: row, units in order (0: beyond the text), side. Sorted, equal grams of any order stand
+    together, and those of an order are found among those of the next longer one. Where such a number has more than 63 bits,
+    ``overlaps`` counts instead.
+    """
+    rows, lengths, bits = len(sizes[0]), np.concatenate(sizes), int(bound).bit_length()
+    if rows.bit_length() + orders * bits + 1 > 63 or not len(codes):
+        return overlaps(codes, bound, sizes, orders)
+    text = np.repeat(np.arange(2 * rows), lengths)
+    place = np.arange(len(codes)) + (orders - 1) * text  # zeros between the texts
+    units = np.zeros(len(codes) + (orders - 1) * 2 * rows, np.int64)
+    units[place] = codes + 1
+    gram = units.copy()
+    for k in range(1, orders):
+        gram <<= bits
+        gram[:-k] |= units[k:]
+    split = int(sizes[0].sum())
+    key = gram[place]
+    text[split:] -= rows
+    key |= text << (orders * bits)
+    key <<= 1
+    key[:split] |= 1
+    key.sort()
+    of_hyp = np.concatenate([[0], np.cumsum(key & 1)])
+    key >>= 1
+    at = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1])
+    ends = np.append(at[1:], len(key))
+    key, hyp = key[at], of_hyp[ends] - of_hyp[at]
+    ref, out = ends - at - hyp, np.zeros((rows, 3 * orders), np.int64)
+    for n in range(orders, 0, -1):
+        if n < orders:
+            key >>= bits
+            at = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1])
+            key, hyp, ref = key[at], np.add.reduceat(hyp, at), np.add.reduceat(ref, at)
+        whole = (key & ((1 << bits) - 1)) > 0  # others are cut off by the end of the text
+        upto = np.concatenate([[0], np.cumsum(np.minimum(hyp, ref) * whole)])
+        out[:, n - 1] = np.diff(upto[np.searchsorted(key, np.arange(rows + 1) << (n * bits))])
+        out[:, orders + n - 1], out[:, 2 * orders + n - 1] = (np.maximum(0, s - (n - 1)) for s in sizes)
+    return out
+
+
+def spread(of: np.ndarray, lengths: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The values of each item of ``of``, one after the other; item i has ``lengths[i]`` of ``values``, which follow each other."""
+    count = lengths[of]
+    first = (np.cumsum(lengths) - lengths)[of] - (np.cumsum(count) - count)
+    return values[np.repeat(first, count) + np.arange(int(count.sum()))]
+
+
+def cut_words(sides: list[pa.Array], cut: Callable[[str], tuple[str, ...]]) -> tuple[np.ndarray, list[str], list[np.ndarray]]:
+    """The tokens of each side's texts, where white space always parts tokens: numbers of tokens, the tokens, and each text's count. Each distinct word is cut once."""
+    words = pc.ascii_split_whitespace(pc.fill_null(pa.concat_arrays(sides), ""))
+    coded = words.flatten().dictionary_encode()
+    number: dict[str, int] = {}
+    cuts = [cut(w) for w in coded.dictionary.to_numpy(zero_copy_only=False)]
+    tokens = np.array([number.setdefault(t, len(number)) for c in cuts for t in c], np.int64)
+    lengths = np.array([len(c) for c in cuts], np.int64)
+    of = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    upto = np.concatenate([[0], np.cumsum(lengths[of])])
+    sizes = np.diff(upto[words.offsets.to_numpy() - words.offsets[0].as_py()])
+    return spread(of, lengths, tokens), list(number), np.split(sizes, [len(sides[0])])
+
+
+def point_codes(codes: np.ndarray, tokens: list[str], sizes: list[np.ndarray]) -> tuple[np.ndarray, int, list[np.ndarray]]:
+    """Texts as the numbers of their tokens' code points, like ``token_codes``."""
+    lengths = np.array([len(t) for t in tokens], np.int64)
+    seen, points = np.unique(np.frombuffer("".join(tokens).encode("utf-32-le"), np.uint32), return_inverse=True)
+    upto = np.concatenate([[0], np.cumsum(lengths[codes])])
+    ends = np.cumsum(np.concatenate(sizes))
+    return spread(codes, lengths, points.astype(np.int64)), len(seen) + 1, np.split(np.diff(np.concatenate([[0], upto[ends]])), [len(sizes[0])])
+
+
 def overlap_columns(hyp: pa.Array, ref: pa.Array, orders: int) -> np.ndarray:
     """``overlaps`` of two columns of token arrays or of texts."""
     coded = char_codes if pa.types.is_string(hyp.type) or pa.types.is_large_string(hyp.type) else token_codes

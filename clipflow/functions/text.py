@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 import re
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,7 +31,8 @@ def proper_nouns(s: Column | str) -> Column:
 
 def lowered(s: Column | str) -> Column:
     """The first step of ``normalized_numbers``: small letters, ``$5`` as ``5 dollars``."""
-    return F.lower(F.regexp_replace(s, r"\$\s*(\d+)", "$1 dollars"))
+    t = F.col(s) if isinstance(s, str) else s
+    return F.lower(F.when(F.contains(t, F.lit("$")), F.regexp_replace(t, r"\$\s*(\d+)", "$1 dollars")).otherwise(t))
 
 
 NUMBER_WORDS = {w: str(n) for w, n in NUMBERS.items()}
@@ -46,6 +51,42 @@ def numbers_as_digits(low: str) -> str:
     return ORDINAL_ENDS.sub(r" \1 ", joined).replace("  ", " ").strip(" ")
 
 
+TEN, UNIT = re.compile("0*[2-9]0"), re.compile("0*[1-9]")
+ENDS = frozenset(("st", "nd", "rd", "th"))
+
+
+@functools.lru_cache(1 << 16)
+def number_parts(word: str) -> tuple[str, ...]:
+    return tuple(NUMBER_WORDS.get(w, w) for w in WORD.findall(word))
+
+
+def number_tokens(word: str) -> tuple[str, ...]:
+    """A word's part of the tokens of ``numbers_as_digits``, before they act on each other."""
+    return (NUMBER_WORDS.get(word, word),) if word.isalpha() and word.isascii() else number_parts(word)
+
+
+def numbers_joined(codes: np.ndarray, tokens: list[str], sizes: list[np.ndarray]) -> tuple[np.ndarray, list[str], list[np.ndarray]]:
+    """Texts as numbers of ``number_tokens``, with what ``numbers_as_digits`` does to neighbours: tens and units are joined, ordinal endings dropped."""
+    if not len(codes):
+        return codes, tokens, sizes
+    lengths = np.concatenate(sizes)
+    text = np.repeat(np.arange(len(lengths)), lengths)
+    number = [t.isdigit() and t.isascii() for t in tokens]
+    ten, unit = (np.array([n and bool(p.fullmatch(t)) for t, n in zip(tokens, number, strict=True)])[codes] for p in (TEN, UNIT))
+    first = np.flatnonzero(ten[:-1] & unit[1:] & (text[:-1] == text[1:]))  # a token is not both, so pairs don't share any
+    if len(first):
+        codes, kept, place = codes.copy(), np.ones(len(codes), bool), {t: i for i, t in enumerate(tokens)}
+        for i in first:
+            codes[i] = place.setdefault(str(int(tokens[codes[i]]) + int(tokens[codes[i + 1]])), len(place))
+        kept[first + 1] = False
+        number += [True] * (len(place) - len(tokens))
+        codes, text, tokens = codes[kept], text[kept], list(place)
+    end, digits = np.array([t in ENDS for t in tokens])[codes], np.array(number)[codes]
+    last = np.maximum.accumulate(np.where(end, 0, np.arange(len(codes))))  # the latest token that is no ending
+    kept = ~(end & digits[last] & (text[last] == text))
+    return codes[kept], tokens, np.split(np.bincount(text[kept], minlength=len(lengths)), [len(sizes[0])])
+
+
 def normalized_numbers(s: Column | str) -> Column:
     """Number words as digits, ``$5`` as ``5 dollars``, tens and units joined, ordinal endings after digits dropped."""
     tokens = F.regexp_extract_all(lowered(s), F.lit(r"([A-Za-z']+|\d+|[^\sA-Za-z\d'])"), F.lit(1))
@@ -95,6 +136,26 @@ def words_13a(text: str) -> list[str]:
     return SOLID.findall(text)
 
 
+def tokens_of_word(word: str) -> tuple[str, ...]:
+    """The 13a tokens of a word of a ``replaced`` text: no rule looks beyond the white space around it."""
+    return (word,) if word.isalnum() else parts_of_word(word)
+
+
+@functools.lru_cache(1 << 16)
+def parts_of_word(word: str) -> tuple[str, ...]:
+    word = f" {word} "
+    for a, b in SPLIT:
+        word = a.sub(b, word)
+    return tuple(SOLID.findall(word))
+
+
+def replaced(texts: pa.Array) -> pa.Array:
+    """What the 13a tokens do to whole texts before white space parts them."""
+    for a, b in REPLACED:
+        texts = pc.replace_substring(texts, a, b)
+    return texts
+
+
 def path_stem(s: Column | str) -> Column:
     """The base name without its last extension."""
     return F.regexp_replace(F.regexp_extract(s, r"([^/]*)$", 1), r"\.[^.]*$", "")

@@ -3,7 +3,6 @@ form of the vectors' sums."""
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 from functools import reduce
 
@@ -13,8 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clipflow.functions.ngrams import bare_codes, overlaps, parts, word_codes
-from clipflow.functions.text import char_similarity, lowered, numbers_as_digits, words_13a
+from clipflow.functions.ngrams import bare_codes, cut_words, parts, point_codes, sorted_overlaps
+from clipflow.functions.text import char_similarity, lowered, number_tokens, numbers_joined, replaced, tokens_of_word
 
 ORDERS, CHARS, BETA = 4, 6, 2.0
 BLEU = [f"{k}{n}" for k in ("m", "t") for n in range(1, ORDERS + 1)] + ["hyp_len", "ref_len"]
@@ -48,18 +47,25 @@ def counted(df: DataFrame, keys: list[str], hyp: str, ref: str, words: bool = Tr
 
     scored, normalised = chars is not None, numbers is not None
 
-    def count(part: pa.RecordBatch) -> Iterator[np.ndarray]:
-        sides = [part.column(side).to_pylist() for side in ("__hyp", "__ref")]
-        if normalised:
-            plain = functools.cache(numbers_as_digits)  # a clip's rows follow each other and share their reference
-            marked = part.column("__numbers").to_pylist()
-            sides = [[plain(t) if t and n else t for t, n in zip(side, marked, strict=True)] for side in sides]
-        if words:
-            cut = functools.cache(words_13a)
-            yield from overlaps(*word_codes([[cut(t or "") for t in side] for side in sides]), ORDERS).T
-        if scored:
-            marked = part.column("__chars").to_pylist()
-            yield from overlaps(*bare_codes([[t if t and n else "" for t, n in zip(side, marked, strict=True)] for side in sides]), CHARS).T
+    def count(part: pa.RecordBatch) -> np.ndarray:
+        out = np.zeros((part.num_rows, len(columns)), np.int64)
+        flag = lambda name, used: part.column(name).fill_null(False).to_numpy(zero_copy_only=False) if used else np.zeros(part.num_rows, bool)
+        digits, wanted = flag("__numbers", normalised), flag("__chars", scored)
+        for rows in (np.flatnonzero(~digits), np.flatnonzero(digits)):
+            if not len(rows):
+                continue
+            sides = [part.column(side).take(pa.array(rows)) for side in ("__hyp", "__ref")]
+            found = None
+            if digits[rows[0]]:  # such tokens are their own 13a tokens
+                found = numbers_joined(*cut_words(sides, number_tokens))
+            elif words:
+                found = cut_words([replaced(side) for side in sides], tokens_of_word)
+            if words:
+                out[rows, : 3 * ORDERS] = sorted_overlaps(found[0], len(found[1]) + 1, found[2], ORDERS)
+            if wanted[rows].any():
+                coded = point_codes(*found) if digits[rows[0]] else bare_codes([[t or "" for t in side.to_pylist()] for side in sides])
+                out[rows, -3 * CHARS :] = sorted_overlaps(*coded, CHARS) * wanted[rows][:, None]
+        return out.T
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

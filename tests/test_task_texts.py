@@ -34,3 +34,37 @@ def test_grams_by_table_and_by_hash(monkeypatch):
     by_table = N.overlaps(*N.word_codes(sides), 4)
     monkeypatch.setattr(N, "TABLE", 0)
     assert np.array_equal(by_table, N.overlaps(*N.word_codes(sides), 4))
+
+
+def same_tokens(found, sides):
+    codes, tokens, sizes = found
+    each = np.concatenate(sizes)
+    got = [[tokens[c] for c in codes[e - n : e]] for e, n in zip(np.cumsum(each), each, strict=True)]
+    assert got == [words for side in sides for words in side]
+
+
+def test_words_are_cut_once_and_joined_as_in_whole_texts():
+    """Tokens of distinct words, put together, are those of the whole texts; numbers act on their neighbours, not on those of the next text."""
+    ends = ["twenty", "5 th st rd x", "", "th 20", "5", "20 5 30 6 th", "nd", "٣ ² 0020 005", " \x0b\x1c20\x1c5"]
+    for some in (texts(800), ends, ["", ""], [t + "\n" for t in texts(60)] + ["a-<skipped>\nb &amp;quot; -", "..,.-1,2.3-- .", "1-\n2 . .5"]):
+        half = len(some) // 2
+        sides, arrays = [some[:half], some[half:]], [pa.array(some[:half], pa.string()), pa.array(some[half:], pa.string())]
+        same_tokens(N.cut_words([X.replaced(a) for a in arrays], X.tokens_of_word), [[X.words_13a(t) for t in side] for side in sides])
+        low = [[t.lower() for t in side] for side in sides]
+        found = X.numbers_joined(*N.cut_words([pa.array(side, pa.string()) for side in low], X.number_tokens))
+        plain = [[X.numbers_as_digits(t) for t in side] for side in low]
+        same_tokens(found, [[X.words_13a(t) for t in side] for side in plain])
+        if 2 * half == len(some):
+            assert np.array_equal(N.overlaps(*N.bare_codes(plain), 6), N.sorted_overlaps(*N.point_codes(*found), 6))
+    seen = []
+    N.cut_words([pa.array(["a b a", None]), pa.array(["b  a", "a c"])], lambda w: seen.append(w) or (w,))
+    assert sorted(seen) == ["", "a", "b", "c"] or sorted(seen) == ["a", "b", "c"]  # each occurrence was cut before
+
+
+def test_grams_by_one_sort():
+    some = [[t.split(" ") for t in texts(90)], [t.split(" ") for t in texts(180)[90:]]]
+    for sides in (some, [[["a"], [], ["a", "b", "a"]], [[], ["b"], ["a", "b", "c", "a", "b"]]], [[[]], [[]]]):
+        codes, bound, sizes = N.word_codes(sides)
+        want = N.overlaps(codes, bound, sizes, 4)
+        assert np.array_equal(want, N.sorted_overlaps(codes, bound, sizes, 4))
+        assert np.array_equal(want, N.sorted_overlaps(codes * 2**20, bound * 2**20, sizes, 4))  # too large for one number

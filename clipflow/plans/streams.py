@@ -85,8 +85,10 @@ DISORDER, IDLE = 24 * HOUR, 400 * 24 * HOUR
 
 def landed(spark, sf, files=4, keep="true"):
     """Frames as files in the order of their times, moved by up to DISORDER; no order inside a file. One file after the other, as they would come."""
-    path, f = shared_dir(spark, "frames"), frames(spark, sf).select(*E.FRAME).where(keep)
-    moved = f.withColumn("at", F.col("t") + F.pmod(F.xxhash64("session_id", "idx"), F.lit(DISORDER)))
+    path, once, f = shared_dir(spark, "frames"), shared_dir(spark, "moved"), frames(spark, sf).select(*E.FRAME).where(keep)
+    each = f.withColumn("at", F.col("t") + F.pmod(F.xxhash64("session_id", "idx"), F.lit(DISORDER)))
+    each.write.parquet(once)  # frames are numbered once, not for each file
+    moved = spark.read.schema(each.schema).parquet(once)
     a, b = moved.agg(F.min("at"), F.max("at")).first()
     part = F.least(F.floor((F.col("at") - a) * files / (b - a + 1)), F.lit(files - 1))
     for k in range(files):

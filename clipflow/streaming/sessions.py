@@ -1,7 +1,7 @@
 """Sessions of a stream with event time: frames put in order, ends by timer, a drain, and a count of what came too late.
 
-State is keyed by session. Frames that arrive before their turn wait in a map keyed by index, one entry a frame; what has been
-released is not kept, so the map holds no more than the disorder within the watermark's delay. When the watermark has passed a waiting
+State is kept by session, for a hash group of sessions at a time. Frames that arrive before their turn wait in a map keyed by index, one entry a frame, stored as arrays; what
+has been released is not kept, so the map holds no more than the disorder within the watermark's delay. When the watermark has passed a waiting
 frame, those before it can't come any more: the gap is given up and the frame is released. A session ends when the watermark is
 ``idle`` past its last frame; then its open clip is flushed, once, and its state is removed. Frames behind the watermark are dropped
 by Spark and counted (``Drained.late``). A session that goes on after its end begins anew.
@@ -17,13 +17,14 @@ import threading
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.listener import StreamingQueryListener
+from pyspark.sql.streaming.state import GroupState
 
 from clipflow.streaming import machine as M
 from clipflow.streaming.folds import CLIP
@@ -33,32 +34,103 @@ FRAME = ["session_id", "idx", "t", "score", "present"]
 MARKER, AHEAD = -1, 50 * 365 * 86_400_000_000
 
 
-class Session(StatefulProcessor):
-    """Puts a session's frames in order and folds ``step`` over them; ``end`` gives the last rows when the session is over."""
+#: Sessions are dealt over so many groups; null sessions are one more. A call of Python for each session would take longer than its frames.
+BUCKETS = 1 << 13
+#: A group's state between two calls. Of each session: what ``step`` keeps (bounded by its rings), its place and how many frames wait; then all those frames.
+STATE = "session array<{}>, own array<string>, next array<long>, last_t array<long>, due array<long>, waiting array<int>, idx array<long>, t array<long>, score array<double>, present array<boolean>"
 
-    def __init__(self, start: Callable[[], dict], step: Callable[[dict, dict], list[dict]], end: Callable[[dict], list[dict]], columns: list[str], idle: int):
-        self.start, self.step, self.end, self.columns, self.idle = start, step, end, columns, idle
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.own = handle.getValueState("own", "state string")  # what ``step`` keeps: bounded by its rings
-        self.place = handle.getValueState("place", "next long, last_t long, timer long")
-        self.held = handle.getMapState("held", "idx long", "t long, score double, present boolean")
+class Value:
+    """One value of the session at hand."""
+
+    def __init__(self, value: tuple | None = None):
+        self.value = value
+
+    def exists(self) -> bool:
+        return self.value is not None
+
+    def get(self) -> tuple:
+        return self.value
+
+    def update(self, value: tuple) -> None:
+        self.value = value
+
+    def clear(self) -> None:
+        self.value = None
+
+
+class Waiting(dict):
+    """The frames of the session at hand that wait for their turn, by index."""
+
+    exists = lambda self: len(self) > 0
+    iterator = dict.items
+    updateValue, removeKey = dict.__setitem__, dict.__delitem__
+
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        arrived = {}
-        for batch in rows:
-            for r in batch[FRAME].astype(object).where(batch[FRAME].notna(), None).itertuples(index=False):
-                if r.idx != MARKER:
-                    arrived[int(r.idx)] = (int(r.t), r.score, r.present)
-        if arrived:
-            yield self.advanced(key, arrived, None)
+class Timers:
+    """The session's one timer is part of its place; the first one of a group is set as its timeout at the end of each call."""
+
+    def registerTimer(self, due: int) -> None:
+        pass
+
+    deleteTimer = registerTimer
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield self.advanced(key, {}, timerValues.getCurrentWatermarkInMs() * 1000)
+
+class Session:
+    """Puts a session's frames in order and folds ``step`` over them; ``end`` gives the last rows when the session is over.
+
+    State comes with a group's rows and goes back with the result: a call for each frame or value would cost a round trip to the executor.
+    """
+
+    def __init__(self, start: Callable[[], dict], step: Callable[[dict, dict], list[dict]], end: Callable[[dict], list[dict]], columns: list[str], idle: int):
+        self.start, self.step, self.end, self.columns, self.idle = start, step, end, columns, idle
+        self.handle = Timers()
+
+    def called(self, key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        """One group: the sessions that have new frames, and those whose timer is due."""
+        arrived: dict = {}
+        for batch in batches:
+            known = lambda c: [None if x is None or x != x else x for x in batch[c].tolist()]  # noqa: E731, B023
+            for session, i, t, score, present in zip(known("session_id"), batch["idx"].tolist(), batch["t"].tolist(), known("score"), known("present"), strict=True):
+                if i != MARKER:
+                    arrived.setdefault(session, {})[int(i)] = (int(t), score, present)
+        if not arrived and not state.exists:
+            return
+        kept, watermark, out = self.loaded(state.get) if state.exists else {}, state.getCurrentWatermarkMs(), []
+        for session in [*kept, *(s for s in arrived if s not in kept)]:
+            self.own, self.place, self.held = kept.get(session) or (Value(), Value(), Waiting())
+            if session in arrived or self.place.get()[2] <= watermark:
+                out += self.released((session,), arrived.get(session, {}), watermark * 1000)
+                kept[session] = self.own, self.place, self.held
+                if not self.place.exists():
+                    del kept[session]
+        if kept:
+            state.update(self.stored(kept))
+            state.setTimeoutTimestamp(max(min(place.get()[2] for _, place, _ in kept.values()) - 1, watermark, 1))  # runs out when the watermark is past it
+        elif state.exists:
+            state.remove()
+        if out:
+            yield self.framed(out)
+
+    def loaded(self, stored: tuple) -> dict:
+        """The sessions of a group's state."""
+        session, own, next_, last_t, due, waiting, *frames = stored
+        each = (((i,), frame) for i, *frame in zip(*frames, strict=True))
+        return {s: (Value((o,)), Value((n, t, d)), Waiting(islice(each, w))) for s, o, n, t, d, w in zip(session, own, next_, last_t, due, waiting, strict=True)}
+
+    def stored(self, kept: dict) -> tuple:
+        each = [(session, *own.get(), *place.get(), len(held)) for session, (own, place, held) in kept.items()]
+        frames = [(i, *frame) for _, _, held in kept.values() for (i,), frame in held.items()]
+        return (*map(list, zip(*each, strict=True)), *(map(list, zip(*frames, strict=True)) if frames else ([], [], [], [])))
+
+    def framed(self, rows: list[dict]) -> pd.DataFrame:
+        return pd.DataFrame({c: [r.get(c) for r in rows] for c in self.columns})
 
     def advanced(self, key, arrived: dict, watermark: int | None) -> pd.DataFrame:
-        """Release what is next; with a ``watermark``, also what waits for frames that can't come, and the end of the session."""
+        return self.framed(self.released(key, arrived, watermark))
+
+    def released(self, key, arrived: dict, watermark: int | None) -> list[dict]:
+        """Of the session at hand release what is next; with a ``watermark``, also what waits for frames that can't come, and the end of the session."""
         next_, last_t, timer = self.place.get() if self.place.exists() else (0, None, None)
         state = json.loads(self.own.get()[0]) if self.own.exists() else self.start()
         waiting = {k[0]: v for k, v in self.held.iterator()} if self.held.exists() else {}
@@ -92,17 +164,16 @@ class Session(StatefulProcessor):
                 self.handle.deleteTimer(timer)
             if due is not None:
                 self.handle.registerTimer(due)
-        return pd.DataFrame([{"session_id": key[0]} | r for r in out], columns=self.columns)
-
-    def close(self) -> None:
-        pass
+        return [{"session_id": key[0]} | r for r in out]
 
 
 def sessions(frames: DataFrame, start, step, end, schema: str, delay: str, idle: int) -> DataFrame:
     """``step`` folded over each session of a stream of frames, which may arrive in any order within ``delay`` of the latest time seen."""
     columns = [c.split()[0] for c in schema.split(", ")]
-    timed = frames.select(*FRAME, F.timestamp_micros("t").alias("at")).withWatermark("at", delay)
-    return timed.groupBy("session_id").transformWithStateInPandas(Session(start, step, end, columns, idle), schema, "append", "eventTime")
+    bucket = F.when(F.col("session_id").isNull(), -1).otherwise(F.pmod(F.xxhash64("session_id"), F.lit(BUCKETS)))
+    timed = frames.select(*FRAME, F.timestamp_micros("t").alias("at"), bucket.alias("bucket")).withWatermark("at", delay)
+    session, state = Session(start, step, end, columns, idle), STATE.format(frames.schema["session_id"].dataType.simpleString())
+    return timed.groupBy("bucket").applyInPandasWithState(lambda *a: session.called(*a), schema, state, "append", "EventTimeTimeout")
 
 
 def clips(frames: DataFrame, gate: M.Gate, delay: str, idle: int) -> DataFrame:
@@ -144,7 +215,7 @@ class Late(StreamingQueryListener):
 
 @contextmanager
 def rocksdb(spark: SparkSession):
-    """The state store that keyed state with timers needs, for queries started inside."""
+    """A state store that keeps state outside the heap, for queries started inside."""
     name, provider = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     before = spark.conf.get(name, None)
     spark.conf.set(name, provider)

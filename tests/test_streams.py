@@ -134,6 +134,41 @@ def test_waiting_frames_are_all_that_the_map_holds(spark, rows):
     assert out == order and not p.held
 
 
+def test_state_of_many_sessions_is_written_once_a_call():
+    """Three sessions of one group, one with a gap: one read and one write a call; the gap ends when its timer is due, the other sessions are as they were."""
+    import pandas as pd
+
+    class State:
+        hasTimedOut, value, wm, writes, due = False, None, 0, 0, None
+        exists = property(lambda self: self.value is not None)
+        get = property(lambda self: self.value)
+        getCurrentWatermarkMs = lambda self: self.wm
+        setTimeoutTimestamp = lambda self, t: setattr(self, "due", t)
+
+        def update(self, value):
+            self.value, self.writes = value, self.writes + 1
+
+        def remove(self):
+            self.value = None
+
+    frames_ = lambda rows: iter([pd.DataFrame(rows, columns=S.FRAME)])
+    step = lambda s, r: [{"idx": r["idx"], "score": r["score"], "present": r["present"]}]
+    p, state = S.Session(lambda: {"n": 0}, step, lambda s: [{"idx": -9}], ["session_id", "idx", "score", "present"], 100 * SEC), State()
+    first = [(7, 0, SEC, 0.5, True), (7, 2, 3 * SEC, None, None), (7, 3, 4 * SEC, 1.5, False), (8, 1, 2 * SEC, 2.0, True), (9, 0, SEC, 3.0, None)]
+    got = next(p.called((1,), frames_(first), state))
+    assert sorted(zip(got.session_id, got.idx, strict=True)) == [(7, 0), (9, 0)] and state.writes == 1 and state.due == 2000  # 8 waits from 2 s on
+    state.wm, state.hasTimedOut = 2500, True
+    got = next(p.called((1,), iter([]), state))
+    assert list(zip(got.session_id, got.idx, strict=True)) == [(8, 1)] and state.writes == 2 and state.due == 3000
+    state.wm = 5000
+    got = next(p.called((1,), frames_([(9, 1, 6 * SEC, 4.0, True), (None, S.MARKER, 0, None, None)]), state))
+    rows = [(s, i, None if x is None or x != x else x, y) for s, i, x, y in got.itertuples(index=False)]
+    assert sorted(rows, key=lambda r: r[:2]) == [(7, 2, None, None), (7, 3, 1.5, False), (9, 1, 4.0, True)] and state.writes == 3
+    state.wm = 10**9
+    assert sorted(next(p.called((1,), iter([]), state)).session_id) == [7, 8, 9] and state.value is None  # all are over
+    assert list(p.called((1,), frames_([(None, S.MARKER, 0, None, None)]), state)) == [] and state.value is None
+
+
 # newest
 
 

@@ -118,19 +118,17 @@ def sorted_overlaps(codes: np.ndarray, bound: int, sizes: list[np.ndarray], orde
     key.sort()
     of_hyp = np.concatenate([[0], np.cumsum(key & 1)])
     key >>= 1
-    at = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1])
-    ends = np.append(at[1:], len(key))
-    key, hyp = key[at], of_hyp[ends] - of_hyp[at]
-    ref, out = ends - at - hyp, np.zeros((rows, 3 * orders), np.int64)
-    for n in range(orders, 0, -1):
-        if n < orders:
-            key >>= bits
-            at = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1])
-            key, hyp, ref = key[at], np.add.reduceat(hyp, at), np.add.reduceat(ref, at)
-        whole = (key & ((1 << bits) - 1)) > 0  # others are cut off by the end of the text
-        upto = np.concatenate([[0], np.cumsum(np.minimum(hyp, ref) * whole)])
+    at, out = np.arange(len(key) + 1), np.zeros((rows, 3 * orders), np.int64)
+    for n in range(orders, 0, -1):  # at: where each gram's places begin, and their end
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        key, at = key[first], np.append(at[first], at[-1])
+        hyp, both = np.diff(of_hyp[at]), np.diff(at)
+        found = np.minimum(hyp, both - hyp)
+        found[(key & ((1 << bits) - 1)) == 0] = 0  # cut off by the end of the text
+        upto = np.concatenate([[0], np.cumsum(found)])
         out[:, n - 1] = np.diff(upto[np.searchsorted(key, np.arange(rows + 1) << (n * bits))])
         out[:, orders + n - 1], out[:, 2 * orders + n - 1] = (np.maximum(0, s - (n - 1)) for s in sizes)
+        key >>= bits
     return out
 
 

@@ -51,7 +51,9 @@ def numbers_as_digits(low: str) -> str:
     return ORDINAL_ENDS.sub(r" \1 ", joined).replace("  ", " ").strip(" ")
 
 
-TEN, UNIT = re.compile("0*[2-9]0"), re.compile("0*[1-9]")
+#: Signs that part from the word before them.
+MARKS = frozenset(".,;:!?)")
+TEN, UNIT = re.compile(r"0*[2-9]0\Z"), re.compile(r"0*[1-9]\Z")
 ENDS = frozenset(("st", "nd", "rd", "th"))
 
 
@@ -62,7 +64,12 @@ def number_parts(word: str) -> tuple[str, ...]:
 
 def number_tokens(word: str) -> tuple[str, ...]:
     """A word's part of the tokens of ``numbers_as_digits``, before they act on each other."""
-    return (NUMBER_WORDS.get(word, word),) if word.isalpha() and word.isascii() else number_parts(word)
+    if word.isascii():
+        if word.isalpha():
+            return (NUMBER_WORDS.get(word, word),)
+        if word[-1:] in MARKS and (start := word[:-1]).isalpha():  # most of the others
+            return NUMBER_WORDS.get(start, start), word[-1]
+    return number_parts(word)
 
 
 def numbers_joined(codes: np.ndarray, tokens: list[str], sizes: list[np.ndarray]) -> tuple[np.ndarray, list[str], list[np.ndarray]]:
@@ -72,7 +79,7 @@ def numbers_joined(codes: np.ndarray, tokens: list[str], sizes: list[np.ndarray]
     lengths = np.concatenate(sizes)
     text = np.repeat(np.arange(len(lengths)), lengths)
     number = [t.isdigit() and t.isascii() for t in tokens]
-    ten, unit = (np.array([n and bool(p.fullmatch(t)) for t, n in zip(tokens, number, strict=True)])[codes] for p in (TEN, UNIT))
+    ten, unit = (np.array([n and bool(p.match(t)) for t, n in zip(tokens, number, strict=True)])[codes] for p in (TEN, UNIT))
     first = np.flatnonzero(ten[:-1] & unit[1:] & (text[:-1] == text[1:]))  # a token is not both, so pairs don't share any
     if len(first):
         codes, kept, place = codes.copy(), np.ones(len(codes), bool), {t: i for i, t in enumerate(tokens)}
@@ -138,7 +145,11 @@ def words_13a(text: str) -> list[str]:
 
 def tokens_of_word(word: str) -> tuple[str, ...]:
     """The 13a tokens of a word of a ``replaced`` text: no rule looks beyond the white space around it."""
-    return (word,) if word.isalnum() else parts_of_word(word)
+    if word.isalnum():
+        return (word,)
+    if word[-1:] in MARKS and (start := word[:-1]).isalnum():  # most of the others
+        return start, word[-1]
+    return parts_of_word(word)
 
 
 @functools.lru_cache(1 << 16)

@@ -61,6 +61,12 @@ def test_words_are_cut_once_and_joined_as_in_whole_texts():
     assert sorted(seen) == ["", "a", "b", "c"] or sorted(seen) == ["a", "b", "c"]  # each occurrence was cut before
 
 
+def test_ends_of_words():
+    for word in [a + b + c for a in ("", "ab", "7", "a7", "é", "²", "a-", "1.5", "x'") for b in ("", *".,;:!?)-'\"(%") for c in ("", *".,;:!?)-'")]:
+        assert X.tokens_of_word(word) == tuple(X.words_13a(word)), word
+        assert X.number_tokens(word) == X.number_parts(word), word
+
+
 def test_grams_by_one_sort():
     some = [[t.split(" ") for t in texts(90)], [t.split(" ") for t in texts(180)[90:]]]
     for sides in (some, [[["a"], [], ["a", "b", "a"]], [[], ["b"], ["a", "b", "c", "a", "b"]]], [[[]], [[]]]):
